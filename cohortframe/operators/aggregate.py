@@ -41,29 +41,39 @@ def crosstab(df: DataFrame, rows: str, columns: str, levels: list) -> DataFrame:
     return df.groupBy(rows).agg(*cells, F.count_if(F.col(columns).isNull()).alias("n_missing"))
 
 
-def table_one(df: DataFrame, by: str, numeric: list[str], categorical: dict[str, list]) -> DataFrame:
-    """One row per group, variable and level with n, percent of valid, mean, sd, missing percent.
+def table_one(
+    df: DataFrame, by: str, numeric: list[str], categorical: dict[str, list], weight: str | None = None
+) -> DataFrame:
+    """One row per group, variable and level: n, percent of valid, mean, sd, missing percent.
 
-    Every statistic is a sum over the same pass, so the result is one aggregate with no exploded rows.
+    Every statistic is a sum over the same pass, so the result is one aggregate with no exploded rows. Stacked
+    imputations average themselves, as each holds the same members.
     """
     total = F.count(F.lit(1))
-    items = [F.struct(
-        F.lit("n").alias("variable"), F.lit("n").alias("level"), total.alias("n"), F.lit(None).cast("double").alias("pct"),
-        F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("sd"),
-        F.lit(0.0).alias("missing"))]
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    none = F.lit(None).cast("double")
+
+    def item(variable: str, level: str, n, pct=none, mean=none, sd=none, missing=none):
+        names = dict(variable=F.lit(variable), level=F.lit(level), n=n, pct=pct, mean=mean, sd=sd, missing=missing)
+        return F.struct(*[value.alias(name) for name, value in names.items()])
+
+    items = [item("n", "n", total)]
     for c in numeric:
-        items.append(F.struct(
-            F.lit(c).alias("variable"), F.lit(c).alias("level"), F.count(c).alias("n"),
-            F.lit(None).cast("double").alias("pct"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"),
-            (100.0 * F.count_if(F.col(c).isNull()) / total).alias("missing")))
+        x, known = F.col(c), F.when(F.col(c).isNotNull(), w)
+        mean = F.sum(known * x) / F.sum(known)
+        squares = F.sum(known * x * x) - F.sum(known) * mean * mean
+        sd = F.stddev_samp(x) if weight is None else F.sqrt(squares / (F.sum(known) - 1))
+        missing = 100.0 * F.count_if(x.isNull()) / total
+        items.append(item(c, c, F.count(x), mean=mean, sd=sd, missing=missing))
     for c, levels in categorical.items():
+        x = F.col(c)
+        valid = F.sum(F.when(x.isNotNull(), w))
+        missing = 100.0 * F.count_if(x.isNull()) / total
         for level in levels:
-            hit = F.count_if(F.col(c) == F.lit(level))
-            items.append(F.struct(
-                F.lit(c).alias("variable"), F.lit(str(level)).alias("level"), hit.alias("n"),
-                F.try_divide(100.0 * hit, F.count(c)).alias("pct"), F.lit(None).cast("double").alias("mean"),
-                F.lit(None).cast("double").alias("sd"),
-                (100.0 * F.count_if(F.col(c).isNull()) / total).alias("missing")))
+            hit = F.sum(F.when(x == F.lit(level), w).otherwise(0.0))
+            items.append(
+                item(c, str(level), F.count_if(x == F.lit(level)), pct=F.try_divide(100.0 * hit, valid), missing=missing)
+            )
     grouped = df.groupBy(by).agg(F.array(*items).alias("__rows"))
     return grouped.select(by, F.explode("__rows").alias("r")).select(by, "r.*")
 

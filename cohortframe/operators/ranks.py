@@ -108,31 +108,42 @@ def value_ranks(df: DataFrame, x: str, by: list[str], cells: int = CELLS) -> tup
     return ranked, hot
 
 
+def rank_windows(x: str, by: list[str]) -> dict[str, Column]:
+    """Ranks by window, nulls last and nulled out. Every window clusters on ``by``, so several variables share one
+    shuffle."""
+    keys = [F.col(b) for b in by]
+    order = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())
+    ties = Window.partitionBy(*keys, F.col(x))
+    known = F.col(x).isNotNull()
+    return {
+        "__rank": F.when(known, F.rank().over(order)),
+        "__dense": F.when(known, F.dense_rank().over(order)),
+        "__ties": F.when(known, F.count(F.lit(1)).over(ties)),
+    }
+
+
 def add_ranks(
     df: DataFrame, x: str, by: list[str], max_group_rows: int = MAX_GROUP_ROWS, cells: int = CELLS
 ) -> DataFrame:
     """Adds __n, __mean, __sd of the group and __rank, __dense, __ties of the value; all null-aware."""
-    stats, small = group_stats(df, x, by)
-    largest = stats.agg(F.max("__n")).first()[0] or 0
-    with_stats = attach_stats(df, stats, by)
+    stats, largest = many_stats(df, [x], by)
+    names = {f"__n_{x}": "__n", f"__mean_{x}": "__mean", f"__sd_{x}": "__sd"}
+    with_stats = attach_stats(df, stats.drop("__rows").withColumnsRenamed(names), by)
     if largest <= max_group_rows:
-        # nulls get a partition of their own, spread by hash: their ranks are dropped anyway
-        spread = F.when(F.col(x).isNull(), 1 + F.pmod(F.xxhash64(*df.columns), F.lit(1024))).otherwise(F.lit(0))
-        parts = [*[F.col(b) for b in by], spread]
-        order = Window.partitionBy(*parts).orderBy(x)
-        ties = Window.partitionBy(*parts, F.col(x))
-        known = F.col(x).isNotNull()
-        return with_stats.withColumns(
-            {
-                "__rank": F.when(known, F.rank().over(order)),
-                "__dense": F.when(known, F.dense_rank().over(order)),
-                "__ties": F.when(known, F.count(F.lit(1)).over(ties)),
-            }
-        )
+        return with_stats.withColumns(rank_windows(x, by))
     ranked, hot = value_ranks(df, x, by, cells)
     return lookup_hot(with_stats, ranked, [*by, x], hot)
 
 
+def many_stats(df: DataFrame, columns: list[str], by: list[str]) -> tuple[DataFrame, int]:
+    """n, mean, sd of several variables per group from one aggregate, and the size of the largest group."""
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for x in columns:
+        aggs += [F.count(x).alias(f"__n_{x}"), F.avg(x).alias(f"__mean_{x}"), F.stddev_samp(x).alias(f"__sd_{x}")]
+    stats, _ = bounded(df.groupBy(*by).agg(*aggs))
+    return stats, stats.agg(F.max("__rows")).first()[0] or 0
+
+
 HELPERS = ("__n", "__mean", "__sd", "__rank", "__dense", "__ties")
 
 
@@ -163,6 +174,28 @@ def add_scores(
     return ranked.withColumns({out: scores[kind] for kind, out in kinds.items()}).drop(*HELPERS)
 
 
+def add_scores_many(
+    df: DataFrame, columns: dict[str, str], by: list[str], kinds: list[str], max_group_rows: int = MAX_GROUP_ROWS,
+    cells: int = CELLS,
+) -> DataFrame:
+    """Scores of several variables within the same groups; outputs are ``<stub>_<kind>``.
+
+    While groups are moderate all windows cluster on the same keys: one shuffle serves every variable.
+    """
+    stats, largest = many_stats(df, list(columns), by)
+    out = attach_stats(df, stats.drop("__rows"), by) if largest <= max_group_rows else df
+    for x, stub in columns.items():
+        if largest <= max_group_rows:
+            own = {f"__{k}": F.col(f"__{k}_{x}") for k in ("n", "mean", "sd")}
+            out = out.withColumns({**own, **rank_windows(x, by)})
+        else:
+            out = add_ranks(out, x, by, max_group_rows, cells)
+        scores = score_columns(x)
+        out = out.withColumns({f"{stub}_{k}": scores[k] for k in kinds}).drop(*HELPERS)
+        out = out.drop(f"__n_{x}", f"__mean_{x}", f"__sd_{x}")
+    return out
+
+
 def group_quantiles(
     df: DataFrame, x: str, by: list[str], probs: list[float], max_group_rows: int = MAX_GROUP_ROWS,
     cells: int = CELLS,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from cohortframe.functions import clean as c
 from cohortframe.functions import normal as nd
 from cohortframe.functions import text as t
+from cohortframe.functions.draws import hash_uniform_sql
 from cohortframe.operators import joins as j
 from cohortframe.operators import reshape as rs
 from cohortframe.operators import samples as sm
 from cohortframe.operators import select as sel
 from cohortframe.plans.fixtures import ADULT_BMI, AGES, BMI, Data, q6, r6
 from cohortframe.plans.registry import query
-from cohortframe.session import bounded
-from cohortframe.sources.tables import cohort_union, decode_labels, decode_labels_from
+from cohortframe.operators.posteriors import class_order
+from cohortframe.session import bounded, shared_folder
+from cohortframe.sources.tables import cohort_union, decode_labels, decode_labels_from, load_table, save_table
 
 # Label text of the social class codes (fixed values).
 CLASS_LABELS = {
@@ -846,12 +848,28 @@ def _(d: Data) -> DataFrame:
     return d.members().select("cohort", "id", "cog").orderBy("cohort", F.col("cog").desc_nulls_last(), "id")
 
 
-_HASH = "(id * 7919 % 65521)"
-
-
 @query(
     "srt_sample_k_per_group",
-    None,
+    f"""SELECT cohort, id, CAST(k AS INTEGER) AS draw FROM (SELECT cohort, id, row_number() OVER (PARTITION BY cohort ORDER BY u, id) AS k
+        FROM (SELECT cohort, id, {hash_uniform_sql('id', '0')} AS u FROM members)) WHERE k <= 10""",
 )
 def _(d: Data) -> DataFrame:
     return sm.sample_per_group(d.members(), "cohort", "id", 10)
+
+
+@query(
+    "srt_rank_relabel",
+    """WITH s AS (SELECT CAST(right(name, 1) AS INTEGER) AS class, round(sum(value) * 100 / sum(sum(value)) OVER (), 2) AS class_prop
+                  FROM posteriors_long GROUP BY name),
+            o AS (SELECT *, 'Class ' || CAST(row_number() OVER (ORDER BY class_prop DESC, class) AS VARCHAR) AS class_ord FROM s)
+       SELECT class, class_ord, class_prop, class_ord || ' (' || printf('%.1f', class_prop) || '%)' AS class_long FROM o""",
+)
+def _(d: Data) -> DataFrame:
+    return class_order(d.posteriors_long())
+
+
+@query("sink_cohort_table", "SELECT id, age, bmi, cohort FROM bmi_long")
+def _(d: Data) -> DataFrame:
+    path = f"{shared_folder(d.spark)}/cohort_table_{uuid.uuid4().hex}"
+    save_table(d.bmi_long().select("id", "age", "bmi", "cohort"), path)
+    return load_table(d.spark, path)

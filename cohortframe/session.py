@@ -41,6 +41,12 @@ def _checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as named by spark.checkpoint.dir."""
+    _checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder and read it from there.
 
