@@ -174,6 +174,35 @@ def add_scores(
     return ranked.withColumns({out: scores[kind] for kind, out in kinds.items()}).drop(*HELPERS)
 
 
+def weighted_value_ranks(df: DataFrame, x: str, by: list[str], weight: str, max_values: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Average rank of each distinct value under whole-number weights: mass below plus (own mass + 1) / 2.
+
+    Large groups are cut into cells by the order of the values, as in ``value_ranks``.
+    """
+    values = df.groupBy(*by, x).agg(F.sum(weight).alias("__mass"))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__k"))
+    largest = sizes.agg(F.max("__k")).first()[0] or 0
+    if largest <= max_values:
+        order = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+        below = F.coalesce(F.sum("__mass").over(order), F.lit(0.0))
+        return values.select(*by, x, (below + (F.col("__mass") + 1) / 2).alias("__wrank"))
+    points = CELLS * CELLS
+    probs = [i / points for i in range(points)]
+    splits, _ = bounded(values.groupBy(*by).agg(F.percentile_approx(x, probs, 10 * points).alias("__points")))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.slice("__points", i * CELLS + 1, F.lit(CELLS))
+    )
+    celled = join_null_safe(values, splits.withColumn("__splits", blocks).drop("__points"), by, "inner")
+    celled = celled.withColumn("__cell", _cell(F.col(x), F.col("__splits"))).drop("__splits")
+    totals = celled.groupBy(*by, "__cell").agg(F.sum("__mass").alias("__total"))
+    before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0.0))).drop("__total")
+    inner = Window.partitionBy(*by, "__cell").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    joined = join_null_safe(celled, offsets, [*by, "__cell"], "inner")
+    below = F.col("__before") + F.coalesce(F.sum("__mass").over(inner), F.lit(0.0))
+    return joined.select(*by, x, (below + (F.col("__mass") + 1) / 2).alias("__wrank"))
+
+
 def add_scores_many(
     df: DataFrame, columns: dict[str, str], by: list[str], kinds: list[str], max_group_rows: int = MAX_GROUP_ROWS,
     cells: int = CELLS,

@@ -76,7 +76,8 @@ def ns_lookup(df: DataFrame, x: str, by: list[str], degrees: int = 2, stub: str
 
 
 def natural_columns(x: Column, knots: list[Column]) -> list[Column]:
-    """Natural spline columns of row-level x by truncated powers on the unit interval; zero at the first knot.
+    """Natural spline columns of row-level x by truncated powers on the unit interval; zero at the first knot,
+    straight lines beyond the outer knots.
 
     They span the same functions as the lookup columns, so fits and residuals agree.
     """
@@ -84,7 +85,7 @@ def natural_columns(x: Column, knots: list[Column]) -> list[Column]:
     u = (x - low) / (high - low)
     places = [(k - low) / (high - low) for k in knots[:-1]]
     cube = lambda v: F.when(v > 0, v * v * v).otherwise(0.0)
-    pieces = [cube(u - p) / (1 - p) for p in places]
+    pieces = [(cube(u - p) - cube(u - 1)) / (1 - p) for p in places]
     return [u] + [piece - pieces[-1] for piece in pieces[:-1]]
 
 

@@ -135,7 +135,10 @@ class Data:
         )
 
     def imputed(self, m: int = IMPUTATIONS) -> DataFrame:
-        """Observed rows (imp 0) and m completed copies filled by a fixed rule."""
+        """Observed rows (imp 0) and m completed copies filled by a fixed rule.
+
+        ``missing_waves`` lists the adult waves without an observed value, the same on every copy of a member.
+        """
         study = self.study()
         stats, _ = bounded(
             study.groupBy("cohort").agg(
@@ -154,12 +157,13 @@ class Data:
             elif c == "mother_edu_level":
                 value = (key % 2).cast("int")
             else:
-                value = F.round(F.col(f"m_{c}") + F.col(f"s_{c}") * shift, 6)
+                value = F.col(f"m_{c}") + F.col(f"s_{c}") * shift
             return F.when(first, F.col(c)).otherwise(F.coalesce(F.col(c), value)).alias(c)
 
         return rows.select(
             "imp", "id", "cohort", "male", "survey_weight", fill("father_class"), fill("mother_edu_level"),
             *[fill(c) for c in ("birth_weight", "cog", *BMI)],
+            F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ADULT_BMI])).alias("missing_waves"),
         )
 
     def posteriors(self) -> DataFrame:
@@ -192,7 +196,7 @@ def _filled(c: str) -> str:
     elif c == "mother_edu_level":
         value = f"CAST({key} % 2 AS INTEGER)"
     else:
-        value = f"round(s.m_{c} + s.s_{c} * (CAST({key} % 2001 AS DOUBLE) / 1000 - 1), 6)"
+        value = f"s.m_{c} + s.s_{c} * (CAST({key} % 2001 AS DOUBLE) / 1000 - 1)"
     return f"CASE WHEN k.imp = 0 THEN w.{c} ELSE coalesce(w.{c}, {value}) END AS {c}"
 
 
