@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cohortframe.functions.draws import hash_uniform
+from cohortframe.operators.clean_rows import model_rows
+from cohortframe.operators.joins import attach_stats, join_null_safe
+from cohortframe.operators.multinomial import fit_groups
+from cohortframe.session import bounded, stage
 
 
 def imputed_long(observed: DataFrame, cells: DataFrame, ident: list[str], columns: list[str], m: int) -> DataFrame:
@@ -23,3 +31,171 @@ def imputed_long(observed: DataFrame, cells: DataFrame, ident: list[str], column
         for c in columns
     }
     return joined.withColumns(filled).select("imp", *observed.columns)
+
+
+# ---- chained imputation ------------------------------------------------------------------------------------------
+
+ROOT = -1
+SALT_DONORS = 500_000
+
+
+def chained_imputation(
+    df: DataFrame,
+    ident: str,
+    by: list[str],
+    numeric: list[str],
+    categorical: dict[str, list],
+    m: int,
+    sweeps: int = 10,
+    helpers: list[str] | None = None,
+    trees: int = 10,
+    depth: int = 5,
+    seed: int = 1,
+) -> DataFrame:
+    """m completed copies (column ``imp``) by chained equations within the groups ``by``.
+
+    Numeric variables are drawn from observed donors that share a forest leaf with the row; categorical ones (codes)
+    from a multinomial model with drawn coefficients. ``helpers`` are complete numeric predictors; the id never
+    predicts. The loop runs over sweeps and variables only: all chains and groups share each fit.
+    """
+    helpers = helpers or []
+    variables = [*numeric, *categorical]
+    stack = _start_values(df.select(ident, *by, *helpers, *variables), ident, by, numeric, categorical, m)
+    missing = {
+        c: n for c, n in stack.agg(*[F.sum(f"__miss_{c}").alias(c) for c in variables]).first().asDict().items() if n
+    }
+    for sweep in range(1, sweeps + 1):
+        for position, target in enumerate(variables):
+            if not missing.get(target):
+                continue
+            others = [*helpers, *[c for c in variables if c != target]]
+            round_ = (sweep * 1000 + position) * 1000
+            if target in categorical:
+                drawn = _draw_categorical(stack, ident, by, target, categorical[target], others, round_, seed)
+            else:
+                drawn = _draw_donors(stack, ident, by, target, others, m, trees, depth, round_, seed)
+            filled = stack.join(drawn, ["imp", ident], "left")
+            value = F.when(F.col(f"__miss_{target}") == 1, F.coalesce("__new", F.col(target))).otherwise(F.col(target))
+            stack = stage(filled.withColumn(target, value).drop("__new"))
+    types = {c: df.schema[c].dataType for c in variables}
+    return stack.select(
+        "imp", ident, *by, *helpers, *[F.col(c).cast(types[c]).alias(c) for c in variables]
+    )
+
+
+def _start_values(df, ident, by, numeric, categorical, m) -> DataFrame:
+    """Missing cells start at the group's middle value (numeric) or most common code; flags remember them."""
+    middles = [F.percentile_approx(F.col(c).cast("double"), 0.5, 1000).alias(f"__f_{c}") for c in numeric]
+    modes = [F.mode(F.col(c).cast("double")).alias(f"__f_{c}") for c in categorical]
+    fill, _ = bounded(df.groupBy(*by).agg(*middles, *modes))
+    rows = attach_stats(df, fill, by)
+    columns = {}
+    for c in [*numeric, *categorical]:
+        columns[f"__miss_{c}"] = F.col(c).isNull().cast("int")
+        columns[c] = F.coalesce(F.col(c).cast("double"), F.col(f"__f_{c}"))
+    flags = {k: v for k, v in columns.items() if k.startswith("__miss_")}
+    values = {k: v for k, v in columns.items() if not k.startswith("__miss_")}
+    rows = rows.withColumns(flags).withColumns(values).drop(*[f"__f_{c}" for c in [*numeric, *categorical]])
+    return stage(rows.withColumn("imp", F.explode(F.sequence(F.lit(1), F.lit(m)))))
+
+
+def _draw_donors(stack, ident, by, target, others, m, trees, depth, round_, seed) -> DataFrame:
+    """New values for missing cells: pool the donors of the row's leaves over the chain's trees, take one at random.
+
+    Donors are numbered within (chain, group, tree, leaf, salt), so a draw is a number and the value arrives by an
+    equi-join: no row ever meets its whole donor pool, and a big leaf is split over salts.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import RandomForestRegressor
+
+    features = VectorAssembler(inputCols=others, outputCol="__x").transform(stack)
+    known = features.filter(F.col(f"__miss_{target}") == 0)
+    forest = RandomForestRegressor(
+        featuresCol="__x", labelCol=target, numTrees=trees * m, maxDepth=depth, minInstancesPerNode=5,
+        leafCol="__leaf", predictionCol="__fit", seed=seed + round_,
+    ).fit(known)
+    total = known.count()
+    salts = int(total // SALT_DONORS) + 1
+    leaves = forest.transform(features).select(
+        "imp", ident, *by, F.col(target).alias("__value"), F.col(f"__miss_{target}").alias("__miss"),
+        F.slice(vector_to_array("__leaf"), (F.col("imp") - 1) * trees + 1, trees).alias("__leaves"),
+    )
+    # the last entry is the whole group: used when no leaf holds a donor of the row's own group
+    slots = F.concat(
+        F.transform("__leaves", lambda leaf, i: F.struct(i.alias("tree"), leaf.cast("int").alias("leaf"))),
+        F.array(F.struct(F.lit(ROOT).alias("tree"), F.lit(0).alias("leaf"))),
+    )
+    placed = leaves.select("imp", ident, *by, "__value", "__miss", F.explode(slots).alias("s")).select(
+        "imp", ident, *by, "__value", "__miss", F.col("s.tree").alias("tree"), F.col("s.leaf").alias("leaf")
+    )
+    cell = ["imp", *by, "tree", "leaf"]
+    salt = F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int")
+    donors = placed.filter("__miss = 0").withColumn("salt", salt)
+    number = F.row_number().over(Window.partitionBy(*cell, "salt").orderBy(ident))
+    donors = donors.select(*cell, "salt", number.alias("number"), F.col("__value").alias("__new"))
+    sizes = donors.groupBy(*cell, "salt").agg(F.count(F.lit(1)).alias("__n"))
+    asking = join_null_safe(placed.filter("__miss = 1").select("imp", ident, *by, "tree", "leaf"), sizes, cell, "inner")
+    person = Window.partitionBy("imp", ident)
+    in_leaves = F.sum(F.when(F.col("tree") != ROOT, F.col("__n"))).over(person)
+    asking = asking.withColumn("__total", F.coalesce(in_leaves, F.lit(0)))
+    asking = asking.filter((F.col("tree") != ROOT) | (F.col("__total") == 0))
+    order = person.orderBy("tree", "salt").rowsBetween(Window.unboundedPreceding, 0)
+    u = hash_uniform(F.col(ident), F.col("imp") + round_, seed)
+    asking = asking.withColumn("__below", F.sum("__n").over(order) - F.col("__n"))
+    asking = asking.withColumn("__pick", F.floor(u * F.sum("__n").over(person)))
+    inside = (F.col("__pick") >= F.col("__below")) & (F.col("__pick") < F.col("__below") + F.col("__n"))
+    chosen = asking.filter(inside).withColumn("number", (F.col("__pick") - F.col("__below") + 1).cast("int"))
+    chosen = chosen.select("imp", ident, *by, "tree", "leaf", "salt", "number")
+    return join_null_safe(chosen, donors, [*cell, "salt", "number"], "inner").select("imp", ident, "__new")
+
+
+def _draw_categorical(stack, ident, by, target, levels, others, round_, seed) -> DataFrame:
+    """New codes for missing cells from multinomial models per (chain, group) with coefficients drawn around the fit."""
+    keys = ["imp", *by]
+    means = stack.agg(*[F.avg(c).alias(c) for c in others], *[F.stddev_pop(c).alias(f"s_{c}") for c in others]).first()
+    scaled = {f"__z{i}": (F.col(c) - F.lit(means[c])) / F.lit(means[f"s_{c}"] or 1.0) for i, c in enumerate(others)}
+    rows = stack.withColumns(scaled)
+    design = list(scaled)
+    known = rows.filter(F.col(f"__miss_{target}") == 0).withColumn("__level", F.col(target).cast("int").cast("string"))
+    labels = [str(v) for v in levels]
+    prepared = model_rows(known, keys, "__level", labels, design, None)
+    fits = fit_groups(prepared, keys, ["__one", *design], len(levels), ridge=1.0)
+    width, free = 1 + len(design), len(levels) - 1
+    out = []
+    for number, ((key, _), fit) in enumerate(sorted(fits.items(), key=lambda kv: repr(kv[0]))):
+        values, vectors = np.linalg.eigh((fit["cov"] + fit["cov"].T) / 2)
+        noise = np.random.default_rng([seed, round_, number]).standard_normal(len(values))
+        theta = fit["theta"] + vectors @ (np.sqrt(np.clip(values, 0, None)) * noise)
+        out.append((*key, [float(v) for v in theta]))
+    fields = [stack.schema[k] for k in keys] + [T.StructField("__theta", T.ArrayType(T.DoubleType()))]
+    drawn = F.broadcast(stack.sparkSession.createDataFrame(out, T.StructType(fields)))
+    asking = join_null_safe(rows.filter(F.col(f"__miss_{target}") == 1), drawn, keys, "inner")
+    x = [F.lit(1.0), *[F.col(c) for c in design]]
+    weights = [F.lit(1.0)]
+    for a in range(free):
+        eta = F.lit(0.0)
+        for i in range(width):
+            eta = eta + x[i] * F.col("__theta")[a * width + i]
+        weights.append(F.exp(F.least(eta, F.lit(500.0))))
+    total = weights[0]
+    for w in weights[1:]:
+        total = total + w
+    u = hash_uniform(F.col(ident), F.col("imp") + round_, seed)
+    asking = asking.withColumn("__w", F.array(*weights)).withColumn("__u", u * total)
+    running, chain = F.lit(0.0), None
+    for i, level in enumerate(levels[:-1]):
+        running = running + F.col("__w")[i]
+        hit = running > F.col("__u")
+        chain = F.when(hit, F.lit(float(level))) if chain is None else chain.when(hit, F.lit(float(level)))
+    return asking.select("imp", ident, chain.otherwise(F.lit(float(levels[-1]))).alias("__new"))
+
+
+def impute_age(
+    df: DataFrame, ident: str, by: list[str], ages: list[str], tests: list[str], sweeps: int = 10, seed: int = 1
+) -> DataFrame:
+    """One forest imputation of missing test ages, then null again for rows with no test score at all."""
+    done = chained_imputation(df, ident, by, [*ages, *tests], {}, m=1, sweeps=sweeps, seed=seed).select(ident, *ages)
+    seen = df.select(ident, F.coalesce(*[F.col(t).cast("double") for t in tests]).isNotNull().alias("__seen"))
+    joined = done.join(seen, ident)
+    return joined.select(ident, *[F.when(F.col("__seen"), F.col(a)).alias(a) for a in ages])

@@ -42,7 +42,10 @@ def first_component(df: DataFrame, items: list[str], by: list[str]) -> DataFrame
                     matrix[i, j] = matrix[j, i] = r
                 values, vectors = np.linalg.eigh(matrix)
                 loading = vectors[:, -1] * np.sqrt(values[-1])
-                loading = loading if loading.sum() > 0 else -loading
+                total = loading.sum()
+                # loadings that cancel leave the sign open: then the first one is positive
+                flip = total < 0 if abs(total) > 1e-8 else loading[0] < 0
+                loading = -loading if flip else loading
                 out.append([*[getattr(row, b) for b in by], values[-1], loading, row.means, row.sds])
             yield pd.DataFrame(out, columns=schema.names)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortframe.plans import group_queries, model_queries, shape_queries  # noqa: F401
+from cohortframe.plans import group_queries, iterative_queries, model_queries, shape_queries  # noqa: F401
 from cohortframe.plans.registry import ORACLES, QUERIES
 
 

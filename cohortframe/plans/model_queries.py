@@ -464,7 +464,8 @@ def _pca_sql(items: list[str], tag: str, squarings: int = 14) -> str:
         f"WHEN r_{j}_{j} THEN r_{{i}}_{j}" for j in range(p)) + " END"
     raw = ", ".join(biggest.replace("{i}", str(i)) + f" AS w_{i}" for i in range(p))
     norm = "sqrt(" + " + ".join(f"w_{i} * w_{i}" for i in range(p)) + ")"
-    sign = "CASE WHEN " + " + ".join(f"w_{i}" for i in range(p)) + " > 0 THEN 1 ELSE -1 END"
+    total = " + ".join(f"w_{i}" for i in range(p))
+    sign = f"CASE WHEN {total} > 1e-8 * {norm} THEN 1 WHEN {total} < -1e-8 * {norm} THEN -1 WHEN w_0 > 0 THEN 1 ELSE -1 END"
     unit = ", ".join(f"w_{i} / {norm} * {sign} AS v_{i}" for i in range(p))
     parts.append(f"{tag}_v AS MATERIALIZED (SELECT cohort, {unit} FROM (SELECT cohort, {raw} FROM {top}))")
     value = " + ".join(f"v_{i} * v_{j} * r_{i}_{j}" for i, j in cells)
