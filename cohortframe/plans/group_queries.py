@@ -163,7 +163,7 @@ def _(d: Data) -> DataFrame:
     return both[0].unionByName(both[1]).select("kept", "x", "y", r6("r").alias("r"))
 
 
-_SPEARMAN = [("cog", "bmi_40"), ("bmi_10", "bmi_40"), ("father_class", "cog")]
+SPEARMAN_PAIRS = [("cog", "bmi_40"), ("bmi_10", "bmi_40"), ("father_class", "cog")]
 
 
 def _spearman_sql(a: str, b: str) -> str:
@@ -173,9 +173,9 @@ def _spearman_sql(a: str, b: str) -> str:
       FROM members_wide WHERE {a} IS NOT NULL AND {b} IS NOT NULL) GROUP BY cohort"""
 
 
-@query("agg_spearman", " UNION ALL ".join(_spearman_sql(a, b) for a, b in _SPEARMAN))
+@query("agg_spearman", " UNION ALL ".join(_spearman_sql(a, b) for a, b in SPEARMAN_PAIRS))
 def _(d: Data) -> DataFrame:
-    return ag.spearman(d.members_wide(), _SPEARMAN, ["cohort"]).select("cohort", "x", "y", "n", r6("rho").alias("rho"))
+    return ag.spearman(d.members_wide(), SPEARMAN_PAIRS, ["cohort"]).select("cohort", "x", "y", "n", r6("rho").alias("rho"))
 
 
 _TRI = ["bmi_10", "bmi_15", "bmi_20", "cog"]

@@ -13,10 +13,12 @@ from cohortframe.operators import bccg, bootstrap, classes, impute, mixed, multi
 from cohortframe.operators import posteriors as po
 from cohortframe.operators import samples
 from cohortframe.operators.aggregate import spearman
+from cohortframe.operators.design import design
 from cohortframe.operators.inference import pool_multi
 from cohortframe.operators.ranks import add_zscore
 from cohortframe.plans.fixtures import Data
-from cohortframe.plans.model_queries import _SPEARMAN, items_by_cohort, ranked_long
+from cohortframe.plans.group_queries import SPEARMAN_PAIRS
+from cohortframe.plans.model_queries import items_by_cohort, ranked_long
 from cohortframe.plans.registry import query
 from cohortframe.session import bounded
 
@@ -41,8 +43,6 @@ def _(d: Data) -> DataFrame:
     m = d.imputed(5).filter("imp > 0").select("imp", "id", "male", "survey_weight", "cog", "cohort", "father_class", "mother_edu_level")
     rows = add_zscore(m, "cog", ["imp", "cohort", "male"], "g", "survey_weight").join(draws.drop("cohort"), ["imp", "id"])
     rows = rows.withColumn("class_ord", F.concat(F.lit("Class "), F.col("pseudo").cast("string")))
-    from cohortframe.operators.design import design
-
     levels = {"cohort": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], "father_class": [1, 2, 3, 4, 5, 6]}
     frame, names = design(rows, ["cohort*g", "male", "father_class", "mother_edu_level"], levels, ["imp", "class_ord", "survey_weight"])
     clean = {n: n.replace(":", "_x_") for n in names}
@@ -114,7 +114,7 @@ def _(d: Data) -> DataFrame:
 @query("mdl_spearman_ci")
 def _(d: Data) -> DataFrame:
     wide = d.members_wide()
-    rho = spearman(wide, _SPEARMAN, ["cohort"])
-    boots = bootstrap.bootstrap_spearman(wide, "id", _SPEARMAN, ["cohort"], 200)
+    rho = spearman(wide, SPEARMAN_PAIRS, ["cohort"])
+    boots = bootstrap.bootstrap_spearman(wide, "id", SPEARMAN_PAIRS, ["cohort"], 200)
     limits = bootstrap.percentile_interval(boots, "rho", ["cohort", "x", "y"]).drop("median")
     return rho.join(limits, ["cohort", "x", "y"])
