@@ -13,19 +13,23 @@ DRAW_FACTOR = 104729
 ROUND_SHIFT = 48271
 
 
-def _round(value: Column) -> Column:
-    return F.pmod(value * (value + ROUND_SHIFT), F.lit(PRIME))
+ROUNDS = 3
 
 
 def hash_uniform(key: Column, draw: Column, seed: int = 1) -> Column:
-    """Uniform number in (0, 1) for an integer key and draw number."""
+    """Uniform number in (0, 1) for an integer key and draw number.
+
+    The mixing rounds run inside one ``aggregate``, so the expression stays small however often it is referenced.
+    """
     start = F.pmod(
         F.pmod(key.cast("long"), F.lit(PRIME)) * KEY_FACTOR
         + F.pmod(draw.cast("long"), F.lit(PRIME)) * DRAW_FACTOR
         + F.lit(seed * 15485863 % PRIME),
         F.lit(PRIME),
     )
-    return (_round(_round(_round(start))) + 0.5) / float(PRIME)
+    shifts = F.array(*[F.lit(ROUND_SHIFT).cast("long")] * ROUNDS)
+    mixed = F.aggregate(shifts, start.cast("long"), lambda v, s: F.pmod(v * (v + s), F.lit(PRIME).cast("long")))
+    return (mixed + 0.5) / float(PRIME)
 
 
 def hash_uniform_sql(key: str, draw: str, seed: int = 1) -> str:
@@ -33,7 +37,7 @@ def hash_uniform_sql(key: str, draw: str, seed: int = 1) -> str:
         f"(((CAST({key} AS BIGINT) % {PRIME}) * {KEY_FACTOR} + (CAST({draw} AS BIGINT) % {PRIME}) * {DRAW_FACTOR}"
         f" + {seed * 15485863 % PRIME}) % {PRIME})"
     )
-    for _ in range(3):
+    for _ in range(ROUNDS):
         text = f"({text} * ({text} + {ROUND_SHIFT}) % {PRIME})"
     return f"(({text} + CAST(0.5 AS DOUBLE)) / CAST({PRIME} AS DOUBLE))"
 
@@ -44,7 +48,7 @@ def hash_uniform_np(key: np.ndarray, draw: np.ndarray, seed: int = 1) -> np.ndar
         + (np.asarray(draw, dtype=np.int64) % PRIME) * DRAW_FACTOR
         + seed * 15485863 % PRIME
     ) % PRIME
-    for _ in range(3):
+    for _ in range(ROUNDS):
         value = value * (value + ROUND_SHIFT) % PRIME
     return (value + 0.5) / float(PRIME)
 

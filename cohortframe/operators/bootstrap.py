@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortframe.functions.draws import hash_uniform, hash_uniform_np, poisson_weight, poisson_weight_np
+from cohortframe.operators.clean_rows import complete_rows
 from cohortframe.operators.moments import full_matrix, invert, pairs
 from cohortframe.operators.ranks import group_quantiles
 
@@ -32,7 +33,8 @@ def bootstrap_moments(
     rows = df.select(
         *by, F.col(key).cast("long").alias("__key"), w.cast("double").alias("__w"),
         *[c.cast("double").alias(f"__v{i}") for i, c in enumerate(columns)],
-    ).dropna(subset=[f"__v{i}" for i in range(k)])
+    )
+    rows = complete_rows(rows, ["__w", *[f"__v{i}" for i in range(k)]])
     sums = [f"s{i}_{j}" for i, j in pairs(k)]
     schema = T.StructType([
         *[rows.schema[b] for b in by], T.StructField("replicate", T.IntegerType()),

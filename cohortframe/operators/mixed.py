@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortframe.operators.clean_rows import complete_rows
 from cohortframe.operators.iterate import grouped_sums, squarem
 from cohortframe.session import stage
 
@@ -26,7 +27,7 @@ def person_moments(df: DataFrame, ids: list[str], y: str, basis: list[str], cova
     """
     a, b = (F.col(c).cast("double") for c in basis)
     v = F.col(y).cast("double")
-    rows = df.dropna(subset=[y, *basis, *covariates])
+    rows = complete_rows(df, [y, *basis, *covariates])
     sums = rows.groupBy(*ids).agg(
         F.count(F.lit(1)).cast("double").alias("k"),
         F.count(F.lit(1)).cast("double").alias("s00"), F.sum(a).alias("s01"), F.sum(b).alias("s02"),

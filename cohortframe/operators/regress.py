@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortframe.operators.clean_rows import complete_rows
 from cohortframe.operators.inference import with_t_interval
 from cohortframe.operators.joins import attach_stats
 from cohortframe.operators.moments import cross_products, full_matrix, invert, pairs
@@ -59,7 +60,7 @@ def fit_wls(df: DataFrame, y: str, xs: list[str], by: list[str], weight: str | N
     """
     keep = list(dict.fromkeys([*by, y, *xs, *([weight] if weight else [])]))
     rows = df.select(*[F.col(c).cast("double").alias(c) if c in (y, *xs, weight) else F.col(c) for c in keep])
-    rows = rows.dropna(subset=[c for c in keep if c not in by])
+    rows = complete_rows(rows, [c for c in keep if c not in by])
     rows, means = centred(rows, [*xs, y])
     values = [F.lit(1.0), *[F.col(x) for x in xs], F.col(y)]
     moments = cross_products(rows, by, values, F.col(weight) if weight else None)

@@ -47,13 +47,24 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, wide_design: bool = False) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder and read it from there.
 
-    Cuts the lineage of iterative work and survives the loss of an executor.
+    Cuts the lineage of iterative work and survives the loss of an executor. For wide designs (many columns derived
+    from the same few inputs) the optimizer's constraint inference, which grows exponentially there, is off while the
+    plan is made.
     """
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    _checkpoint_dir(spark)
+    if not wide_design:
+        return df.checkpoint(eager=True)
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
 
 
 def bounded(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
