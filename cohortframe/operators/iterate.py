@@ -102,6 +102,9 @@ def newton(
             s["step"], s["scale"] = s["cov"] @ score, 1.0
             s["converged"] = bool(score @ s["step"] < tolerance * (1 + abs(loglik)))
             s["done"] = s["converged"]
+            if s["done"]:
+                # the last step is below the tolerance: taking it costs no further pass
+                s["theta"] = s["base"] + s["step"]
     return {k: s for k, s in state.items() if s["theta"] is not None}
 
 

@@ -44,12 +44,14 @@ class Grid:
 
 SPEC_KEYS = ["cohort", "sex", "sample", "bmi_var", "cog_var"]
 BROADCAST_FITS = 20_000
-SALT_ROWS = 1_000_000
+SALT_ROWS = 200_000
 
 
 def _model_rows(stack: DataFrame, grid: Grid) -> tuple[DataFrame, dict[str, list[str]], list[str]]:
     """Scored long rows, the design columns of each covariate set, and all design columns."""
     own = F.when(F.col(grid.sex) == 1, "male").otherwise("female")
+    needed = list(dict.fromkeys([t for ts in grid.mods.values() for t in ts] + grid.outcomes + grid.exposures))
+    stack = stack.select(grid.cohort, "imp", "id", grid.sex, grid.weight, "missing_waves", *needed)
     strata = stack.withColumn("sex", F.explode(F.array(F.lit("all"), own)))
     scored = add_scores_many(
         strata, {c: c for c in grid.outcomes}, [grid.cohort, "imp", "sex"], list(grid.outcome_scores)
@@ -57,6 +59,8 @@ def _model_rows(stack: DataFrame, grid: Grid) -> tuple[DataFrame, dict[str, list
     scored = add_scores_many(
         scored, {c: c for c in grid.exposures}, [grid.cohort, "imp", "sex"], list(grid.exposure_scores)
     )
+    # two passes read the scored rows: keep them instead of sorting every variable twice
+    scored = stage(scored)
     columns = {m: [n for t in terms for n in term_columns(t, grid.factors)] for m, terms in grid.mods.items()}
     all_columns = list(dict.fromkeys(n for names in columns.values() for n in names))
     terms = list(dict.fromkeys(t for ts in grid.mods.values() for t in ts))
@@ -155,36 +159,73 @@ def spec_curve(stack: DataFrame, grid: Grid) -> DataFrame:
     return out.select(*keys, "mod", "bmi_score", "cog_score", "n", "beta", "se", "df")
 
 
+def _influence(rows: pd.DataFrame, fits: pd.DataFrame, names: list[str], grid: Grid, size: int) -> list[list]:
+    """Per fit of one design cell: sum over its rows of (weighted influence on the exposure)^2 e^2 / (1 - leverage)."""
+    covariates = rows[names].to_numpy(dtype=float)
+    w, complete = rows["w"].to_numpy(dtype=float), rows["complete"].to_numpy()
+    y = rows[[f"y_{k}" for k in grid.outcome_scores]].to_numpy(dtype=float)
+    out = []
+    for fit in fits.itertuples(index=False):
+        used = (complete & fit.bit) != 0
+        x = np.column_stack([
+            np.ones(used.sum()), rows[f"x_{fit.cog_score}"].to_numpy(dtype=float)[used], covariates[used]
+        ])
+        inverse = np.asarray(fit.inverse, dtype=float).reshape(size, size)
+        pull = x @ inverse
+        gap = 1 - w[used] * np.einsum("ij,ij->i", pull, x)
+        scale = np.where(gap > 1e-9, (w[used] * pull[:, 1]) ** 2 / np.where(gap > 1e-9, gap, 1.0), 0.0)
+        beta = np.column_stack([getattr(fit, f"b_{k}") for k in grid.outcome_scores])
+        e = y[used] - x @ beta
+        out.append([fit.mod, fit.cog_score, *(scale @ (e * e))])
+    return out
+
+
 def _leverage_sums(rows, fits, keys, names, grid: Grid, size: int) -> DataFrame:
-    """Robust variance of the exposure for every model: sum of squared, leverage-scaled influence."""
+    """Robust variance of the exposure for every model, as sums of per-batch matrix products.
+
+    Few fits travel to the tasks as a broadcast variable. Many fits are co-grouped with the rows of their cell, cells
+    being cut by a salt so that no group exceeds ``SALT_ROWS`` rows by much.
+    """
     fits, small = bounded(fits, BROADCAST_FITS)
-    left, on = rows.drop("headline"), keys
-    if not small:
-        # fits are too many to broadcast: shuffle both sides, and split large groups by a salt
+    values = [f"v_{k}" for k in grid.outcome_scores]
+    schema = T.StructType([
+        *[rows.schema[c] for c in keys], T.StructField("mod", T.StringType()), T.StructField("cog_score", T.StringType()),
+        *[T.StructField(v, T.DoubleType()) for v in values],
+    ])
+    xs = [f"x_{k}" for k in grid.exposure_scores]
+    left = rows.select(*keys, "id", "w", "complete", *names, *xs, *[f"y_{k}" for k in grid.outcome_scores])
+    if small:
+        table = {key: part for key, part in fits.toPandas().groupby(keys)}
+        shared = rows.sparkSession.sparkContext.broadcast(table)
+
+        def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for key, part in batch.groupby(keys):
+                    if key in shared.value:
+                        out += [[*key, *r] for r in _influence(part, shared.value[key], names, grid, size)]
+                yield pd.DataFrame(out, columns=schema.names)
+
+        partial = left.drop("id").mapInPandas(per_batch, schema)
+    else:
         largest = fits.agg(F.max("n")).first()[0] or 0
         salts = int(largest // SALT_ROWS) + 1
-        fits = fits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        left = left.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        spread = fits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = left.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).drop("id")
+
+        def per_cell(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if part.empty or own.empty:
+                return pd.DataFrame(columns=schema.names)
+            key = [part[k].iloc[0] for k in keys]
+            return pd.DataFrame([[*key, *r] for r in _influence(part, own, names, grid, size)], columns=schema.names)
+
         on = [*keys, "salt"]
-    joined = join_null_safe(left, fits, on, "inner").filter(F.col("complete").bitwiseAND(F.col("bit")) != 0)
-    exposure = F.lit(0.0)
-    for k in grid.exposure_scores:
-        exposure = F.when(F.col("cog_score") == k, F.col(f"x_{k}")).otherwise(exposure)
-    staged = joined.withColumn("__x", exposure)
-    x = [F.lit(1.0), F.col("__x"), *[F.col(n) for n in names]]
-
-    def dot(array: str, start: int):
-        return reduce(lambda a, b: a + b, [x[i] * F.col(array)[start + i] for i in range(size)])
-
-    leverage = reduce(lambda a, b: a + b, [x[i] * dot("inverse", i * size) for i in range(size)])
-    residuals = {f"__e_{k}": F.col(f"y_{k}") - dot(f"b_{k}", 0) for k in grid.outcome_scores}
-    staged = staged.withColumns({"__gap": 1 - F.col("w") * leverage, "__a": F.col("w") * dot("inverse", size), **residuals})
-    scale = F.when(F.col("__gap") > 1e-9, F.col("__a") * F.col("__a") / F.col("__gap")).otherwise(0.0)
-    return staged.groupBy(*keys, "headline", "mod", "cog_score").agg(
-        F.any_value("n").alias("n"), F.any_value("df").alias("df"),
-        *[F.any_value(F.col(f"b_{k}")[1]).alias(f"beta_{k}") for k in grid.outcome_scores],
-        *[F.sum(scale * F.col(f"__e_{k}") * F.col(f"__e_{k}")).alias(f"v_{k}") for k in grid.outcome_scores],
+        partial = salted.groupBy(*on).cogroup(spread.groupBy(*on)).applyInPandas(per_cell, schema)
+    sums = partial.groupBy(*keys, "mod", "cog_score").agg(*[F.sum(v).alias(v) for v in values])
+    slim = fits.select(
+        *keys, "mod", "cog_score", "headline", "n", "df", *[F.col(f"b_{k}")[1].alias(f"beta_{k}") for k in grid.outcome_scores]
     )
+    return join_null_safe(sums, F.broadcast(slim) if small else slim, [*keys, "mod", "cog_score"], "inner")
 
 
 def pooled_curve(fits: DataFrame) -> DataFrame:
