@@ -11,6 +11,7 @@ from cohortframe.functions.draws import hash_uniform
 from cohortframe.operators.clean_rows import model_rows
 from cohortframe.operators.joins import attach_stats, join_null_safe
 from cohortframe.operators.multinomial import fit_groups
+from cohortframe.operators.ranks import group_quantiles
 from cohortframe.session import bounded, stage
 
 
@@ -85,10 +86,14 @@ def chained_imputation(
 
 def _start_values(df, ident, by, numeric, categorical, m) -> DataFrame:
     """Missing cells start at the group's middle value (numeric) or most common code; flags remember them."""
-    middles = [F.percentile_approx(F.col(c).cast("double"), 0.5, 1000).alias(f"__f_{c}") for c in numeric]
-    modes = [F.mode(F.col(c).cast("double")).alias(f"__f_{c}") for c in categorical]
-    fill, _ = bounded(df.groupBy(*by).agg(*middles, *modes))
-    rows = attach_stats(df, fill, by)
+    rows = df
+    for c in numeric:
+        middle = group_quantiles(df.filter(F.col(c).isNotNull()), c, by, [0.5])
+        fill, _ = bounded(middle.select(*by, F.col("quantiles")[0].alias(f"__f_{c}")))
+        rows = attach_stats(rows, fill, by)
+    if categorical:
+        modes = [F.mode(F.col(c).cast("double"), True).alias(f"__f_{c}") for c in categorical]
+        rows = attach_stats(rows, bounded(df.groupBy(*by).agg(*modes))[0], by)
     columns = {}
     for c in [*numeric, *categorical]:
         columns[f"__miss_{c}"] = F.col(c).isNull().cast("int")
@@ -110,7 +115,9 @@ def _draw_donors(stack, ident, by, target, others, m, trees, depth, round_, seed
     from pyspark.ml.regression import RandomForestRegressor
 
     features = VectorAssembler(inputCols=others, outputCol="__x").transform(stack)
-    known = features.filter(F.col(f"__miss_{target}") == 0)
+    # bagging draws by partition and row order: fix both, so that a seed means one result
+    parts = int(stack.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = features.filter(F.col(f"__miss_{target}") == 0).repartition(parts, "imp", ident).sortWithinPartitions("imp", ident)
     forest = RandomForestRegressor(
         featuresCol="__x", labelCol=target, numTrees=trees * m, maxDepth=depth, minInstancesPerNode=5,
         leafCol="__leaf", predictionCol="__fit", seed=seed + round_,
