@@ -1 +1,8 @@
 """Longitudinal cohort and panel analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# task functions travel with their code, so executors need no installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -289,6 +289,6 @@ def fit_table(df: DataFrame, fits: dict[int, dict], persons: int) -> DataFrame:
         shares, curves, sigma2, _, _ = fit["model"].open(fit["theta"])
         free, ll = fit["model"].parameters, float(fit["loglik"])
         for c in range(k):
-            out.append((k, c + 1, float(shares[c]), *map(float, curves[c]), sigma2, ll, -2 * ll + 2 * free, -2 * ll + free * math.log(persons)))
-    schema = "groups int, class int, share double, intercept double, age_ns1 double, age_ns2 double, sigma2 double, log_lik double, aic double, bic double"
+            out.append((k, c + 1, float(shares[c]), *map(float, curves[c]), sigma2, ll, -2 * ll + 2 * free, -2 * ll + free * math.log(persons), bool(fit["converged"])))
+    schema = "groups int, class int, share double, intercept double, age_ns1 double, age_ns2 double, sigma2 double, log_lik double, aic double, bic double, converged boolean"
     return df.sparkSession.createDataFrame(out, schema)

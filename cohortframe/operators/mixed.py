@@ -180,8 +180,8 @@ def growth_curve_table(df: DataFrame, fits: dict, by: list[str], names: list[str
         rows = [(n, float(b), float(s)) for n, b, s in zip(names, fit["beta"], se)]
         rows += [(f"var_{i}{j}", float(fit["D"][i, j]), None) for i in range(Q) for j in range(i + 1)]
         rows.append(("sigma2", float(fit["sigma2"]), None))
-        out += [[*g, *r, float(fit["loglik"]), fit["n"], fit["persons"]] for r in rows]
-    frame = pd.DataFrame(out, columns=[*by, "term", "beta", "se", "loglik", "n", "persons"])
+        out += [[*g, *r, float(fit["loglik"]), fit["n"], fit["persons"], bool(fit["converged"])] for r in rows]
+    frame = pd.DataFrame(out, columns=[*by, "term", "beta", "se", "loglik", "n", "persons", "converged"])
     schema = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
-    schema = (schema + ", " if schema else "") + "term string, beta double, se double, loglik double, n long, persons long"
+    schema = (schema + ", " if schema else "") + "term string, beta double, se double, loglik double, n long, persons long, converged boolean"
     return df.sparkSession.createDataFrame([tuple(None if v != v else v for v in r) for r in frame.astype(object).to_numpy()], schema)

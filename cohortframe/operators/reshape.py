@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortframe.functions.clean import zero_pad
 from cohortframe.operators.joins import require_unique
+from cohortframe.session import bounded
 
 
 def wide_to_long(df: DataFrame, ids: list[str], pattern: str, name: str, value: str) -> DataFrame:
@@ -61,11 +62,8 @@ def densify(df: DataFrame, group: str, ident: str, age: str) -> DataFrame:
 
     A group's ages are a short list, so ids expand in place and only one join on (group, id, age) shuffles.
     """
-    ages = df.groupBy(group).agg(F.collect_set(age).alias("__ages"))
-    frame = (
-        df.select(group, ident).distinct().join(F.broadcast(ages), group)
-        .select(group, ident, F.explode("__ages").alias(age))
-    )
+    ages, _ = bounded(df.groupBy(group).agg(F.collect_set(age).alias("__ages")))
+    frame = df.select(group, ident).distinct().join(ages, group).select(group, ident, F.explode("__ages").alias(age))
     return frame.join(df, [group, ident, age], "left")
 
 

@@ -70,21 +70,21 @@ def _(d: Data) -> DataFrame:
 @query("mdl_growth_curve")
 def _(d: Data) -> DataFrame:
     moments = mixed.person_moments(adult_rows(d, 3), ["cohort", "id"], "bmi", BASIS, ["cog_std", "male"])
-    fits = mixed.growth_curve(moments, ["cohort"], ["cog_std"], ["male"], cycles=12)
+    fits = mixed.growth_curve(moments, ["cohort"], ["cog_std"], ["male"], cycles=40, tolerance=1e-7)
     return mixed.growth_curve_table(moments, fits, ["cohort"], mixed.coefficient_names(BASIS, ["cog_std"], ["male"]))
 
 
 @query("mdl_latent_growth")
 def _(d: Data) -> DataFrame:
     moments = class_moments(d)
-    fits = classes.class_models(moments, 5, random=False, cycles=20)
+    fits = classes.class_models(moments, 5, random=False, cycles=40, tolerance=1e-7)
     return classes.fit_table(moments, fits, moments.count())
 
 
 @query("mdl_growth_mixture")
 def _(d: Data) -> DataFrame:
     moments = class_moments(d)
-    fits = classes.class_models(moments, 3, random=True, cycles=12)
+    fits = classes.class_models(moments, 3, random=True, cycles=40, tolerance=1e-7)
     table = classes.posterior_table(moments, ["cohort", "id"], fits)
     return table
 
@@ -92,7 +92,7 @@ def _(d: Data) -> DataFrame:
 @query("mdl_random_restarts")
 def _(d: Data) -> DataFrame:
     moments = class_moments(d)
-    fits, _ = classes.random_restarts(moments, [2, 3], restarts=10, short_cycles=3, cycles=10)
+    fits, _ = classes.random_restarts(moments, [2, 3], restarts=20, short_cycles=4, cycles=40, tolerance=1e-7)
     return classes.fit_table(moments, fits, moments.count())
 
 
