@@ -173,7 +173,10 @@ def _spearman_sql(a: str, b: str) -> str:
       FROM members_wide WHERE {a} IS NOT NULL AND {b} IS NOT NULL) GROUP BY cohort"""
 
 
-@query("agg_spearman", " UNION ALL ".join(_spearman_sql(a, b) for a, b in SPEARMAN_PAIRS))
+SPEARMAN_SQL = " UNION ALL ".join(_spearman_sql(a, b) for a, b in SPEARMAN_PAIRS)
+
+
+@query("agg_spearman", SPEARMAN_SQL)
 def _(d: Data) -> DataFrame:
     return ag.spearman(d.members_wide(), SPEARMAN_PAIRS, ["cohort"]).select("cohort", "x", "y", "n", r6("rho").alias("rho"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortframe.functions import draws
 from cohortframe.operators import bccg, bootstrap, classes, impute, mixed, multinomial, quantreg, splines
 from cohortframe.operators import posteriors as po
 from cohortframe.operators import samples
@@ -16,8 +17,8 @@ from cohortframe.operators.aggregate import spearman
 from cohortframe.operators.design import design
 from cohortframe.operators.inference import pool_multi
 from cohortframe.operators.ranks import add_zscore
-from cohortframe.plans.fixtures import Data
-from cohortframe.plans.group_queries import SPEARMAN_PAIRS
+from cohortframe.plans.fixtures import Data, q6, r6
+from cohortframe.plans.group_queries import SPEARMAN_PAIRS, SPEARMAN_SQL
 from cohortframe.plans.model_queries import items_by_cohort, ranked_long
 from cohortframe.plans.registry import query
 from cohortframe.session import bounded
@@ -39,9 +40,9 @@ def class_moments(d: Data) -> DataFrame:
 @query("mdl_multinomial")
 def _(d: Data) -> DataFrame:
     probs = ["prob1", "prob2", "prob3"]
-    draws = po.pseudo_class_draws(d.posteriors().select("id", "cohort", *probs), "id", probs, 5, seed=7)
+    drawn = po.pseudo_class_draws(d.posteriors().select("id", "cohort", *probs), "id", probs, 5, seed=7)
     m = d.imputed(5).filter("imp > 0").select("imp", "id", "male", "survey_weight", "cog", "cohort", "father_class", "mother_edu_level")
-    rows = add_zscore(m, "cog", ["imp", "cohort", "male"], "g", "survey_weight").join(draws.drop("cohort"), ["imp", "id"])
+    rows = add_zscore(m, "cog", ["imp", "cohort", "male"], "g", "survey_weight").join(drawn.drop("cohort"), ["imp", "id"])
     rows = rows.withColumn("class_ord", F.concat(F.lit("Class "), F.col("pseudo").cast("string")))
     levels = {"cohort": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], "father_class": [1, 2, 3, 4, 5, 6]}
     frame, names = design(rows, ["cohort*g", "male", "father_class", "mother_edu_level"], levels, ["imp", "class_ord", "survey_weight"])
@@ -111,10 +112,30 @@ def _(d: Data) -> DataFrame:
     )
 
 
-@query("mdl_spearman_ci")
+def _spearman_ci_sql(replicates: int) -> str:
+    pairs = " UNION ALL ".join(
+        f"SELECT cohort, id, '{a}' AS x, '{b}' AS y, CAST({a} AS DOUBLE) AS vx, CAST({b} AS DOUBLE) AS vy FROM members_wide "
+        f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in SPEARMAN_PAIRS)
+    key = "cohort, x, y, b"
+    rank = lambda v: (
+        f"sum(w) OVER (PARTITION BY {key} ORDER BY {v} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
+        f"- (sum(w) OVER (PARTITION BY {key}, {v}) - 1) / 2")
+    return f"""WITH p AS ({pairs}),
+      u AS (SELECT *, {draws.hash_uniform_sql('id', 'b')} AS u FROM p, (SELECT unnest(range(1, {replicates + 1})) AS b)),
+      w AS (SELECT {key}, vx, vy, {draws.poisson_weight_sql('u')} AS w FROM u),
+      r AS (SELECT {key}, w, {rank('vx')} AS rx, {rank('vy')} AS ry FROM w WHERE w > 0),
+      s AS (SELECT {key}, sum(w) AS n, sum(w * rx) AS sx, sum(w * ry) AS sy, sum(w * rx * ry) AS sxy, sum(w * rx * rx) AS sxx, sum(w * ry * ry) AS syy FROM r GROUP BY ALL),
+      k AS (SELECT cohort, x, y, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS rho FROM s),
+      q AS (SELECT cohort, x, y, quantile_cont(rho, 0.025) AS lci, quantile_cont(rho, 0.975) AS uci FROM k GROUP BY 1, 2, 3),
+      e AS ({SPEARMAN_SQL})
+      SELECT e.cohort, e.x, e.y, e.n, e.rho, {q6('lci')} AS lci, {q6('uci')} AS uci FROM e JOIN q USING (cohort, x, y)"""
+
+
+@query("mdl_spearman_ci", _spearman_ci_sql(200))
 def _(d: Data) -> DataFrame:
     wide = d.members_wide()
     rho = spearman(wide, SPEARMAN_PAIRS, ["cohort"])
     boots = bootstrap.bootstrap_spearman(wide, "id", SPEARMAN_PAIRS, ["cohort"], 200)
-    limits = bootstrap.percentile_interval(boots, "rho", ["cohort", "x", "y"]).drop("median")
-    return rho.join(limits, ["cohort", "x", "y"])
+    limits = bootstrap.percentile_interval(boots, "rho", ["cohort", "x", "y"])
+    joined = rho.join(limits, ["cohort", "x", "y"])
+    return joined.select("cohort", "x", "y", "n", *[r6(c).alias(c) for c in ("rho", "lci", "uci")])
