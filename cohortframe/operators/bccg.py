@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortframe.functions.draws import hash_uniform_np, poisson_weight_np
 from cohortframe.operators.clean_rows import numeric_rows
 from cohortframe.operators.iterate import newton
+from cohortframe.session import small_rows
 
 _erf = np.vectorize(math.erf, otypes=[float])
 
@@ -94,10 +95,10 @@ def bccg_fit(
     """
     rows = numeric_rows(df.filter(F.col(y) > 0), by, y, xs, key, None)
     terms = 1 + len(xs)
-    stats = rows.groupBy(*by).agg(
+    stats = small_rows(rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("__y", 0.5, 1000).alias("mid"),
         (F.stddev_samp("__y") / F.avg("__y")).alias("cv"),
-    ).collect()
+    ), "model groups")
     start, n = {}, {}
     for r in stats:
         group = tuple(r[b] for b in by)

@@ -30,11 +30,11 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
 def require_unique(df: DataFrame, keys: list[str], what: str = "table") -> DataFrame:
     """One row per key, or the job fails.
 
-    The aggregate shuffles on the merge key, so the join that follows reuses that partitioning; partial aggregation
-    folds repeated keys before the shuffle.
+    Rows are partitioned by the merge key once; the aggregate and the join that follows both work on that partitioning.
+    A repeated key streams through the sorted aggregate, however often it occurs, and fails there.
     """
     others = [c for c in df.columns if c not in keys]
-    grouped = df.groupBy(*keys).agg(
+    grouped = df.repartition(*keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__rows"), *[F.any_value(F.col(c)).alias(c) for c in others]
     )
     message = f"merge key is not unique in {what}"
@@ -67,9 +67,43 @@ def merge_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], flag: s
     return _merge(require_unique(left, keys, "left table"), require_unique(right, keys, "right table"), keys, flag)
 
 
-def merge_many_to_one(left: DataFrame, right: DataFrame, keys: list[str], flag: str | None = None) -> DataFrame:
-    """Full outer merge on a key unique on the right side only."""
-    return _merge(left, require_unique(right, keys, "right table"), keys, flag)
+HOT_ROWS = 1_000_000
+HOT_SHARE = 1_000
+
+
+def hot_keys(df: DataFrame, keys: list[str], least: int = HOT_ROWS) -> DataFrame | None:
+    """Keys that hold more than 1/1000 of the rows (and more than ``least`` rows): at most 1000 of them, or None."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    total, top = counts.agg(F.sum("__rows"), F.max("__rows")).first()
+    limit = max(least, (total or 0) // HOT_SHARE)
+    if (top or 0) <= limit:
+        return None
+    return bounded(counts.filter(F.col("__rows") > limit).select(*keys), 2 * HOT_SHARE)[0]
+
+
+def merge_many_to_one(
+    left: DataFrame, right: DataFrame, keys: list[str], flag: str | None = None, least: int = HOT_ROWS
+) -> DataFrame:
+    """Full outer merge on a key unique on the right side only.
+
+    Left rows look their match up, hot left keys through a bounded broadcast; right rows without a left row follow by
+    an anti join against the distinct left keys.
+    """
+    shared = [c for c in left.columns if c in right.columns and c not in keys]
+    right_only = [c for c in right.columns if c not in left.columns]
+    unique = require_unique(right, keys, "right table")
+    known = unique.dropna(subset=keys)
+    table = known.select(*keys, *right_only).withColumn("__in_right", F.lit(True))
+    hot = hot_keys(left, keys, least)
+    if hot is not None:
+        hot, _ = bounded(table.join(hot, keys, "left_semi"), 2 * HOT_SHARE)
+    matched = lookup_hot(left, table, keys, hot)
+    marks = {flag: F.when(F.col("__in_right"), 3).otherwise(1).cast("int")} if flag else {}
+    matched = matched.withColumns(marks).drop("__in_right")
+    alone = unique.join(left.select(*keys).distinct(), keys, "left_anti").select(*keys, *shared, *right_only)
+    if flag:
+        alone = alone.withColumn(flag, F.lit(2))
+    return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def full_reduce(tables: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -112,9 +146,12 @@ def interpolate_by_age(
 ) -> DataFrame:
     """Attach reference values linearly interpolated in age within ``by``; null outside the table's ages.
 
-    The reference table must be small: it becomes one broadcast row per ``by`` with its ages in order, and each row
+    The reference table must be small (checked): it becomes one broadcast row per ``by`` with its ages in order, and each row
     finds its bracket in that array, so the big side is never shuffled or paired with several candidates.
     """
+    reference, small = bounded(reference)
+    if not small:
+        raise ValueError("the reference table is too large to look ages up in")
     node = F.struct(F.col(age).cast("double").alias("a"), *[F.col(v).cast("double").alias(v) for v in values])
     nodes, _ = bounded(reference.groupBy(*by).agg(F.sort_array(F.collect_list(node)).alias("__nodes")))
     joined = join_null_safe(df, nodes, by, "left")

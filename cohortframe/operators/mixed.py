@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortframe.operators.clean_rows import complete_rows
 from cohortframe.operators.iterate import grouped_sums, squarem
-from cohortframe.session import stage
+from cohortframe.session import small_rows, stage
 
 Q = 3
 MOMENTS = ["k", "s00", "s01", "s02", "s11", "s12", "s22", "t0", "t1", "t2", "u"]
@@ -125,9 +125,9 @@ def growth_curve(
     columns = [*MOMENTS, *slopes, *shifts]
     kernel = lmm_kernel(len(slopes), len(shifts))
     p = Q * (1 + len(slopes)) + len(shifts)
-    keys = moments.groupBy(*by).agg(
+    keys = small_rows(moments.groupBy(*by).agg(
         (F.sum("u") / F.sum("k") - F.pow(F.sum("t0") / F.sum("k"), 2)).alias("v")
-    ).collect()
+    ), "model groups")
     variance = {tuple(r[b] for b in by): max(r["v"], 1e-6) for r in keys}
     start = {
         g: np.concatenate([pack_cov(np.diag([v / 2, v / 4, v / 4])), [np.log(v / 2)]]) for g, v in variance.items()

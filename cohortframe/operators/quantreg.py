@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortframe.functions.draws import hash_uniform_np, poisson_weight_np
 from cohortframe.operators.clean_rows import numeric_rows
 from cohortframe.operators.iterate import grouped_sums
+from cohortframe.session import small_rows
 
 
 def quantile_kernel(terms: int, seed: int):
@@ -41,7 +42,8 @@ def quantile_regression(
     rows = numeric_rows(df, by, y, xs, key, weight)
     terms, names = 1 + len(xs), ["(Intercept)", *xs]
     quantiles = F.percentile_approx("__y", [float(t) for t in taus], 1000)
-    stats = rows.groupBy(*by).agg(quantiles.alias("q"), F.stddev_samp("__y").alias("sd")).collect()
+    spread = F.stddev_samp("__y").alias("sd")
+    stats = small_rows(rows.groupBy(*by).agg(quantiles.alias("q"), spread), "model groups")
     state = {}
     for r in stats:
         group = tuple(r[b] for b in by)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cohortframe.operators.clean_rows import complete_rows
 from cohortframe.operators.inference import with_t_interval
-from cohortframe.operators.joins import attach_stats
+from cohortframe.operators.joins import attach_stats, join_null_safe
 from cohortframe.operators.moments import cross_products, full_matrix, invert, pairs
 from cohortframe.session import bounded
 
@@ -119,7 +119,7 @@ def wls_hc2(
     gap = 1 - w * leverage
     scale = F.when(gap > 1e-9, w * w * F.col("__e") * F.col("__e") / gap).otherwise(0.0)
     meat = cross_products(staged.withColumn("__g", scale), by, x, F.col("__g")).drop("n")
-    merged = attach_stats(fits, meat, by) if by else fits.crossJoin(meat)
+    merged = join_null_safe(meat, fits, by, "inner")
     names = ["(Intercept)", *xs]
     base = [*_group_fields(rows, by)]
     if covariance:

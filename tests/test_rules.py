@@ -72,6 +72,20 @@ def test_many_to_one_keeps_repeats_on_the_left(spark):
     assert j.merge_many_to_one(left, right, ["id"]).count() == 3
 
 
+@pytest.mark.parametrize("least", [1_000_000, 1])
+def test_many_to_one_with_a_hot_key(spark, least):
+    """A third of the rows on one key: the broadcast path and the plain one give the same full outer merge."""
+    key = F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 40)
+    left = spark.range(600).select("id", key.alias("k"), F.lit("l").alias("s"))
+    right = spark.createDataFrame([(k, k * 10, "r") for k in range(5, 45)] + [(1, 10, "r")], "k long, v int, s string")
+    rows = j.merge_many_to_one(left, right, ["k"], "m", least=least).collect()
+    assert len(rows) == 600 + 5
+    for r in rows:
+        known = 5 <= r.k < 45 or r.k == 1
+        assert r.m == (2 if r.id is None else 3 if known else 1)
+        assert r.v == (r.k * 10 if known else None) and r.s == ("r" if r.id is None else "l")
+
+
 def test_reshape_wide_refuses_repeated_waves(spark):
     df = spark.createDataFrame([(1, 7, 1.0), (1, 7, 2.0)], "id int, age int, bmi double")
     with pytest.raises(PySparkException, match="not unique"):
