@@ -414,21 +414,21 @@ def _(d: Data) -> DataFrame:
 
 def _attrition_sql() -> str:
     rows = " UNION ALL ".join(
-        f"SELECT cohort, male, '{a}' AS fup_bmi, '{b}' AS fup_miss, survey_weight, {a} AS bmi, CAST({b} IS NULL AS INTEGER) AS miss FROM members_wide"
+        f"SELECT cohort, male, '{a}' AS fup_bmi, '{b}' AS fup_miss, survey_weight, ln({a}) AS bmi, CAST({b} IS NULL AS INTEGER) AS miss FROM members_wide"
         for i, a in enumerate(BMI) for b in BMI[i + 1:])
     return f"""WITH rows_ AS ({rows}), {sm.wls('f', 'rows_', 'bmi', ['miss'], ['cohort', 'male', 'fup_bmi', 'fup_miss'], 'survey_weight')}
-      SELECT cohort, male, fup_bmi, fup_miss, n, CASE WHEN kept_1 = 1 THEN {q6('b_1', 8)} END AS beta, CASE WHEN kept_1 = 1 THEN {q6('sqrt(v_1_1)', 8)} END AS se, df FROM f_fit"""
+      SELECT cohort, male, fup_bmi, fup_miss, n, CASE WHEN kept_1 = 1 THEN {q6('b_1')} END AS beta, CASE WHEN kept_1 = 1 THEN {q6('sqrt(v_1_1)')} END AS se, df FROM f_fit"""
 
 
 @query("mdl_attrition", _attrition_sql())
 def _(d: Data) -> DataFrame:
     cells = F.array(*[
-        F.struct(F.lit(a).alias("fup_bmi"), F.lit(b).alias("fup_miss"), F.col(a).alias("bmi"), F.col(b).isNull().cast("double").alias("miss"))
+        F.struct(F.lit(a).alias("fup_bmi"), F.lit(b).alias("fup_miss"), F.log(a).alias("bmi"), F.col(b).isNull().cast("double").alias("miss"))
         for i, a in enumerate(BMI) for b in BMI[i + 1:]
     ])
     rows = d.members_wide().select("cohort", "male", "survey_weight", F.explode(cells).alias("c")).select("cohort", "male", "survey_weight", "c.*")
     fits = rg.wls_hc2(rows, "bmi", ["miss"], ["cohort", "male", "fup_bmi", "fup_miss"], "survey_weight").filter("term = 'miss'")
-    return rounded(fits, ["cohort", "male", "fup_bmi", "fup_miss", "n"], {"beta": 8, "se": 8, "df": 6})
+    return rounded(fits, ["cohort", "male", "fup_bmi", "fup_miss", "n"], {"beta": 6, "se": 6, "df": 6})
 
 
 @query(
