@@ -123,5 +123,7 @@ def bootstrap_spearman(
         F.sum(w * rx * rx).alias("sxx"), F.sum(w * ry * ry).alias("syy"),
     )
     c = lambda ab, a, b: F.col(ab) - F.col(a) * F.col(b) / F.col("n")
-    rho = F.try_divide(c("sxy", "sx", "sy"), F.sqrt(c("sxx", "sx", "sx") * c("syy", "sy", "sy")))
+    spread = c("sxx", "sx", "sx") * c("syy", "sy", "sy")
+    # a replicate in which a variable does not vary has no correlation
+    rho = F.when(spread > 1e-9, c("sxy", "sx", "sy") / F.sqrt(spread))
     return s.select(*keys, rho.alias("rho"))

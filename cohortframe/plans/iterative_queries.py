@@ -125,7 +125,7 @@ def _spearman_ci_sql(replicates: int) -> str:
       w AS (SELECT {key}, vx, vy, {draws.poisson_weight_sql('u')} AS w FROM u),
       r AS (SELECT {key}, w, {rank('vx')} AS rx, {rank('vy')} AS ry FROM w WHERE w > 0),
       s AS (SELECT {key}, sum(w) AS n, sum(w * rx) AS sx, sum(w * ry) AS sy, sum(w * rx * ry) AS sxy, sum(w * rx * rx) AS sxx, sum(w * ry * ry) AS syy FROM r GROUP BY ALL),
-      k AS (SELECT cohort, x, y, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS rho FROM s),
+      k AS (SELECT cohort, x, y, CASE WHEN (sxx - sx * sx / n) * (syy - sy * sy / n) > 1e-9 THEN (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) END AS rho FROM s),
       q AS (SELECT cohort, x, y, quantile_cont(rho, 0.025) AS lci, quantile_cont(rho, 0.975) AS uci FROM k GROUP BY 1, 2, 3),
       e AS ({SPEARMAN_SQL})
       SELECT e.cohort, e.x, e.y, e.n, e.rho, {q6('lci')} AS lci, {q6('uci')} AS uci FROM e JOIN q USING (cohort, x, y)"""
