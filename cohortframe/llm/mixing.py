@@ -81,13 +81,12 @@ WITH sized AS (
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
   FROM sized GROUP BY source
 ), ordered AS (
-  SELECT *, sum(2 * source_size) OVER w - 2 * source_size AS held, sum(weight) OVER () - sum(weight) OVER w + weight AS free,
-         sum(source_size) OVER () AS total
-  FROM sources
-  WINDOW w AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+  SELECT source, 2.0 * source_size / weight AS bound, row_number() OVER w AS place,
+         1.5 * sum(source_size) OVER () - (sum(2 * source_size) OVER w - 2 * source_size) AS rest,
+         sum(weight) OVER () - sum(weight) OVER w + weight AS free
+  FROM sources WINDOW w AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
 ), level AS (
-  SELECT min(CAST(1.5 * total - held AS DOUBLE) / free) FILTER (WHERE 2.0 * source_size / weight >= CAST(1.5 * total - held AS DOUBLE) / free) AS level
-  FROM ordered
+  SELECT arg_min(CAST(rest AS DOUBLE) / free, place) FILTER (WHERE bound >= CAST(rest AS DOUBLE) / free) AS level FROM ordered
 ), targets AS (
   SELECT source, source_size, CASE WHEN level IS NULL THEN 2.0 * source_size ELSE least(CAST(2 * source_size AS DOUBLE), level * weight) END AS target
   FROM sources, level
