@@ -28,8 +28,8 @@ from cohortframe.llm.common import blobs, pieces, process_state, table
 from cohortframe.llm.registry import query
 
 MAX_EDITS = 0.2
-SIZES = (8, 16, 32)  # words of a window; an item is cut into windows of the largest size it holds
-SAMPLES, TABLES, WALKS = 4, 10, 2
+SIZES = (8, 12, 24)  # words of a window; an item is cut into windows of the largest size it holds
+SAMPLES, TABLES, WALKS = 6, 16, 2
 BLOCK_ITEMS = 5_000
 MEMO_WORDS = 1_000_000
 SEED = 11
@@ -59,44 +59,48 @@ def word_hashes(text: bytes, memo: Hashes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def plan(size: int, walk: int) -> dict[int, list[int]]:
-    """Sampled steps of windows of ``size`` words in a walk: step -> tables that take its word.
-
-    A walk over n words takes about 2n steps; a key of TABLES has SAMPLES of them. Small windows have few steps and so
-    fewer samples that differ.
-    """
+def plan(size: int, walk: int) -> list[list[int]]:
+    """The sampled steps of each table, in rising order, for windows of ``size`` words (a walk takes some 2 * size steps)."""
     draw = np.random.default_rng([SEED, size, walk])
-    steps, out = max(1, 2 * size - 1), defaultdict(list)
-    for k in range(TABLES):
-        for step in draw.choice(steps, min(SAMPLES, steps), replace=False):
-            out[int(step)].append(k)
-    return out
+    steps = max(1, 2 * size - 1)
+    return [sorted(draw.choice(steps, min(SAMPLES, steps), replace=False).tolist()) for _ in range(TABLES)]
 
 
-def walk_keys(stream: np.ndarray, sizes: list[int], walk: int) -> dict[int, np.ndarray]:
-    """Keys (tables x positions) per window size, for windows that begin at every position of ``stream``.
+def embed(stream: np.ndarray, steps: int, walk: int) -> tuple[np.ndarray, np.ndarray]:
+    """The walks from every position: per step the 16-bit code of the word under the pointer, and how far it has come.
 
     Texts in the stream end with a 0, on which a pointer stays.
     """
-    n = len(stream)
-    plans = {size: plan(size, walk) for size in sizes}
-    keys = {size: np.full((TABLES, n), size, np.uint64) for size in sizes}
-    start = np.arange(n, dtype=np.int64)
-    at = start.copy()
-    bits, factor = stream, np.uint64(0x9E3779B97F4A7C15)
-    for step in range(2 * max(sizes)):
-        if step % 61 == 0:  # fresh bits of the words for the next steps
-            mixed = stream * (factor + np.uint64(2 * (walk * 1000 + step)))
-            bits = np.where(stream == 0, np.uint64(0), mixed ^ (mixed >> np.uint64(32)))
-        here = stream[at]
-        for size in sizes:
-            if step in plans[size]:
-                seen = np.where(at - start < size, here, np.uint64(0))
-                for k in plans[size][step]:
-                    keys[size][k] = (keys[size][k] ^ seen) * factor + np.uint64(step + 1)
-        moves = (bits[at] >> np.uint64(step % 61)) & np.uint64(1)
-        at += moves.astype(np.int64)
-    return keys
+    start = np.arange(len(stream), dtype=np.int64)
+    at, word = start.copy(), np.empty(len(stream), np.uint64)
+    codes, moved = np.empty((steps, len(stream)), np.uint16), np.empty((steps, len(stream)), np.uint8)
+    one = np.uint64(1)
+    for step in range(steps):
+        if step % 48 == 0:  # fresh bits of the words for the next steps, above the code
+            mixed = stream * np.uint64(0x9E3779B97F4A7C15 + 2 * (walk * 1000 + step))
+            mixed ^= mixed >> np.uint64(29)
+            bits = np.where(stream == 0, np.uint64(0), (mixed << np.uint64(16)) | (stream >> np.uint64(48)))
+        np.take(bits, at, out=word, mode="clip")
+        codes[step] = word & np.uint64(0xFFFF)
+        moved[step] = at - start
+        np.right_shift(word, np.uint64(16 + step % 48), out=word)
+        np.bitwise_and(word, one, out=word)
+        at += word.view(np.int64)
+    return codes, moved
+
+
+def sampled(codes: np.ndarray, moved: np.ndarray, step: int, at: np.ndarray, size: int) -> np.ndarray:
+    """Codes of one step for windows of ``size`` words that begin ``at``: 0 once a pointer has left the window."""
+    found = codes[step][at]
+    return found if step < size else np.where(moved[step][at] < size, found, 0)
+
+
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    key = np.zeros(len(parts[0]), np.uint64)
+    for part in parts:
+        key = (key ^ part) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+    return key
 
 
 def window_size(words: int) -> int:
@@ -119,37 +123,45 @@ class Items:
             windows[size] += [(len(self.ids), s) for s in sorted(starts)]
             self.ids.append(item)
             self.words.append(words)
-        self.tables = {}  # (size, walk, table) -> sorted keys, and the windows in that order
         self.windows = {size: np.array(w, np.int64) for size, w in windows.items()}
+        self.tables = {}  # (size, walk) -> per table: steps, the codes known at each, sorted keys, windows in that order
         for size, found in self.windows.items():
             stream = np.concatenate([np.append(self.words[i][s : s + size], np.uint64(0)) for i, s in found])
             first = np.arange(len(found)) * (size + 1)
             for walk in range(WALKS):
-                keys = walk_keys(stream, [size], walk)[size][:, first]
-                for k in range(TABLES):
-                    order = np.argsort(keys[k], kind="stable")
-                    marks = np.zeros(1 << 16, bool)
-                    marks[(keys[k] >> np.uint64(48)).astype(np.int64)] = True
-                    self.tables[size, walk, k] = keys[k][order], order, marks
+                codes, moved = embed(stream, 2 * size, walk)
+                self.tables[size, walk] = made = []
+                for steps in plan(size, walk):
+                    parts = [sampled(codes, moved, step, first, size) for step in steps]
+                    known = np.zeros((len(steps), 1 << 16), bool)
+                    for k, part in enumerate(parts):
+                        known[k, part] = True
+                    keys = joined(parts)
+                    order = np.argsort(keys, kind="stable")
+                    made.append((steps, known, keys[order], order))
 
     def candidates(self, stream: np.ndarray) -> np.ndarray:
         """Distinct (item, position where the item would begin) of windows that share a key."""
-        sizes, found = sorted(self.windows), []
+        found = []
+        everywhere = np.arange(len(stream))
         for walk in range(WALKS):
-            keys = walk_keys(stream, sizes, walk)
-            for size in sizes:
-                for k in range(TABLES):
-                    known, order, marks = self.tables[size, walk, k]
-                    values = keys[size][k]
-                    at = np.flatnonzero(marks[(values >> np.uint64(48)).astype(np.int64)])
-                    low = np.searchsorted(known, values[at], "left")
-                    count = np.searchsorted(known, values[at], "right") - low
+            codes, moved = embed(stream, 2 * max(self.windows, default=0), walk)
+            for size, windows in self.windows.items():
+                for steps, known, keys, order in self.tables[size, walk]:
+                    at, parts = everywhere, []
+                    for k, step in enumerate(steps):  # a position stays while its word is known at every sampled step
+                        part = codes[step] if k == 0 and step < size else sampled(codes, moved, step, at, size)
+                        stay = np.flatnonzero(known[k][part])
+                        at, parts = at[stay], [x[stay] for x in [*parts, part]]
+                    mine = joined(parts)
+                    low = np.searchsorted(keys, mine, "left")
+                    count = np.searchsorted(keys, mine, "right") - low
                     hit = np.flatnonzero(count)
                     if len(hit):
                         low, count = low[hit], count[hit]
                         flat = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                        windows = self.windows[size][order[flat]]
-                        found.append(np.stack([windows[:, 0], np.repeat(at[hit], count) - windows[:, 1]], 1))
+                        met = windows[order[flat]]
+                        found.append(np.stack([met[:, 0], np.repeat(at[hit], count) - met[:, 1]], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
