@@ -26,7 +26,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it from there: later work survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
