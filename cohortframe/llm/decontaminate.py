@@ -17,7 +17,7 @@ match; repeated items are reported each; repeated rows are reported each; furthe
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -235,14 +235,13 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_ITEMS) -> Iterator[list[tuple
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every benchmark item found in a document: doc_id, item_id, first_word, end_word, edits, similarity.
+def searched(docs: DataFrame, benchmark: DataFrame, schema, give: Callable, chained: bool) -> DataFrame:
+    """``give`` the rows for each batch and its matches, over all blocks of items.
 
-    One pass over the documents per block of items and no shuffle; the items of a block go along with the tasks.
+    One pass over the documents per block and no shuffle; the items of a block go along with the tasks. Blocks are
+    chained (each sees what the one before gave) or their rows are put together.
     """
-    schema = "doc_id long, item_id long, first_word int, end_word int, edits int, similarity double"
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = docs if chained else docs.sparkSession.createDataFrame([], schema)
     for block in blocks(benchmark):
         items = Items(block)
         if not items.ids:
@@ -258,21 +257,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ends = np.cumsum([len(x) + 1 for x in rows]) - 1
                 stream = np.zeros(int(ends[-1]) + 1, np.uint64)
                 stream[np.delete(np.arange(len(stream)), ends)] = np.concatenate(rows)
-                found = matches(items, stream, ends)
-                names = batch["doc_id"]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": names.take(pa.array([x[0] for x in found], pa.int64())).cast(pa.int64()),
-                    "item_id": pa.array([items.ids[x[1]] for x in found], pa.int64()),
-                    "first_word": pa.array([x[2] for x in found], pa.int32()),
-                    "end_word": pa.array([x[3] for x in found], pa.int32()),
-                    "edits": pa.array([x[4] for x in found], pa.int32()),
-                    "similarity": pa.array([1 - x[4] / len(items.words[x[1]]) for x in found], pa.float64()),
-                })
-
-        out = out.unionByName(texts.mapInArrow(find, schema))
+                yield give(batch, items, matches(items, stream, ends))
+
+        out = out.mapInArrow(find, schema) if chained else out.unionByName(docs.mapInArrow(find, schema))
     return out
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every benchmark item found in a document: doc_id, item_id, first_word, end_word, edits, similarity."""
+
+    def give(batch: pa.RecordBatch, items: Items, found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "doc_id": batch["doc_id"].take(pa.array([x[0] for x in found], pa.int64())).cast(pa.int64()),
+            "item_id": pa.array([items.ids[x[1]] for x in found], pa.int64()),
+            "first_word": pa.array([x[2] for x in found], pa.int32()),
+            "end_word": pa.array([x[3] for x in found], pa.int32()),
+            "edits": pa.array([x[4] for x in found], pa.int32()),
+            "similarity": pa.array([1 - x[4] / len(items.words[x[1]]) for x in found], pa.float64()),
+        })
+
+    schema = "doc_id long, item_id long, first_word int, end_word int, edits int, similarity double"
+    return searched(docs.select("doc_id", "text").where(F.col("text").isNotNull()), benchmark, schema, give, chained=False)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns."""
+
+    def give(batch: pa.RecordBatch, items: Items, found: list) -> pa.RecordBatch:
+        clean = np.ones(batch.num_rows, bool)
+        clean[[x[0] for x in found]] = False
+        return batch.filter(pa.array(clean))
+
+    whole = docs.select(F.struct("*").alias("row"), "text")
+    return searched(whole, benchmark, whole.schema, give, chained=True).select("row.*")
+
+
 @query("op6_decontaminate")
 def op6(spark, folder):
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

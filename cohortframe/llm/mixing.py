@@ -54,9 +54,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return sources.withColumn("target", target)
 
 
-def rates(docs: DataFrame, size: Column | None = None, seed: str = SEED, **rule) -> DataFrame:
-    """``docs`` with size, source_size, target and copies (how often the mix takes the document)."""
-    sized = docs.withColumn("size", words(F.col("text")) if size is None else size)
+def rates(sized: DataFrame, seed: str = SEED, **rule) -> DataFrame:
+    """``sized`` (doc_id, source, size, and others) with source_size, target and copies (how often the mix takes a row)."""
     targets = source_targets(sized.select("source", "size"), **rule).withColumnRenamed("source", "_source")
     # Spark measures the written table and broadcasts it while it is small; beyond, the skew of a source is split by AQE
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight")
@@ -68,9 +67,9 @@ def rates(docs: DataFrame, size: Column | None = None, seed: str = SEED, **rule)
 
 def mix(docs: DataFrame, seed: str = SEED, **rule) -> DataFrame:
     """The mixed documents, each as often as it is taken, with the columns of ``docs``."""
-    taken = rates(docs.withColumns({f"_{i}": F.col(c) for i, c in enumerate(docs.columns)}), seed=seed, **rule)
-    repeated = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select([F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    taken = rates(sized, seed, **rule).where("copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 OP7_SQL = rf"""
@@ -104,6 +103,6 @@ FROM rated
 
 @query("op7_mixing", OP7_SQL)
 def op7(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    sized = table(spark, folder, "documents").select("doc_id", "source", words(F.col("text")).alias("size"))
     taken = F.col("copies") * F.col("size")
-    return rates(docs).select("doc_id", "size", "source_size", "target", "copies", taken.alias("taken"))
+    return rates(sized).select("doc_id", "size", "source_size", "target", "copies", taken.alias("taken"))

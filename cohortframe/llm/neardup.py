@@ -287,6 +287,18 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, size: int = 5) -> DataFrame:
+    """One document of every group of near-duplicates, the one of the least doc_id, with all its columns.
+
+    Rows that repeat a document are one. Rows with a null doc_id stay, once per text.
+    """
+    gone = near_duplicates(docs, size).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = written(gone, "gone")  # of known size, so Spark can choose how to join it
+    whole = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.struct("*").alias("row"))
+    left = whole.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return left.dropDuplicates(["doc_id", "_text"]).select("row.*")
+
+
 @query("op8_near_duplicates")
 def op8(spark, folder):
     return near_duplicates(table(spark, folder, "documents"), size=2)

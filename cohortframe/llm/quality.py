@@ -25,6 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cohortframe.llm.common import blobs, pieces, table, written
 from cohortframe.llm.registry import query
@@ -81,7 +82,7 @@ def statistics_of(texts: list[bytes]) -> np.ndarray:
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and the statistics of the whole text."""
     kept = docs.select(*keep, F.col("text").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    fields = [f for f in kept.schema.fields if f.name != "_text"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
@@ -89,7 +90,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
             columns = [pa.array(values[:, k]) for k in range(values.shape[1])]
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), *columns], [*keep, *STATISTICS])
 
-    return kept.mapInArrow(measure, f"{fields}, " + ", ".join(f"{x} double" for x in STATISTICS))
+    return kept.mapInArrow(measure, StructType([*fields, *(StructField(x, DoubleType()) for x in STATISTICS)]))
 
 
 def tree_rules(debug: str) -> set[frozenset[tuple[int, str, float]]]:
@@ -159,10 +160,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return fit(written(with_statistics(texts, ["label"]), "labelled"))
 
 
-def scored(docs: DataFrame, model) -> DataFrame:
-    """``docs`` with score and predicted."""
-    measured = with_statistics(docs, docs.columns)
-    return measured.select(*docs.columns, score(model).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+def accepted(docs: DataFrame, model) -> DataFrame:
+    """The documents that the model predicts to be of label 1, with all their columns."""
+    whole = docs.select(F.struct("*").alias("row"), "text")
+    return with_statistics(whole, ["row"]).where(score(model) >= THRESHOLD).select("row.*")
 
 
 @query("op10_quality")
