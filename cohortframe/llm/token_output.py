@@ -121,7 +121,7 @@ def encoder(vocabulary: str):
 
     def learn(memo: dict[str, bytes], new: list[str]) -> None:
         """Chunks that begin with a space are encoded as one text with line ends between them."""
-        plain = [x for x in new if x[0] == " " and len(x) > 1] if len(newline) == 1 else []
+        plain = [x for x in new if x[0] == " " and len(x) > 1 and not x[1].isspace()] if len(newline) == 1 else []
         for at in range(0, len(plain), 5000):
             part = plain[at : at + 5000]
             text = NEWLINE.join(part) + NEWLINE
