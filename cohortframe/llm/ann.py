@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from cohortframe.llm.common import group_starts, runs, table, written
 from cohortframe.llm.registry import query
 
-K, PROBED, SAMPLE, ROUNDS = 20, 0.8, 20_000, 8
+K, PROBED, SAMPLE, ROUNDS = 20, 0.9, 20_000, 8
 LISTS = 1024  # at most; a quarter of the square root of the count of distinct vectors, if less
 CHUNK, COLUMNS, CONFIDENCE, SEED = 4096, 16, 2.5, 13
 
