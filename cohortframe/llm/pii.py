@@ -53,25 +53,51 @@ CUES = {
 NOT_CUES = r"(?i)\b(token|key|secret|id|isbn|order|version|serial|no|nr|number|page)\b.{0,6}$"
 
 
-def cut(text: Column, pattern: str, kind: str) -> Column:
-    """All matches as an array of (kind, start, end, text); code points, end exclusive."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<kind:string,start:long,end:long,text:string>>")
+SPAN = "struct<kind:string,start:bigint,end:bigint,text:string,left:string,after:string>"
+GROUP = 256
+
+
+def none(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+def cut(found: Column, gaps: Column, kind: str) -> Column:
+    """Spans of all matches from the matches and the texts around them; code points, end exclusive.
+
+    ``left`` is up to 24 characters before a match, ``after`` the one behind it. Places add up within groups of matches,
+    then over the groups, so that a text of very many matches costs little more than their number.
+    """
+    n = F.size(found)
+    around = F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n), lambda x, y: F.struct(x.alias("before"), F.left(y, F.lit(1)).alias("after")))
+    pairs = F.zip_with(found, around, lambda f, g: F.struct(f.alias("found"), g["before"].alias("before"), g["after"].alias("after")))
 
     def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + pair["gap"]
+        start = state["at"] + F.char_length(pair["before"])
         end = start + F.char_length(pair["found"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["found"].alias("text"))
+        span = F.struct(
+            F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["found"].alias("text"),
+            F.right(pair["before"], F.lit(24)).alias("left"), pair["after"].alias("after"),
+        )
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda f, g: F.struct(f.alias("found"), g.cast("long").alias("gap")))
-    first = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-    return F.aggregate(pairs, first, add, lambda s: s["out"])
+    def group(i: Column) -> Column:
+        return F.aggregate(F.slice(pairs, i * GROUP + 1, F.lit(GROUP)), F.struct(F.lit(0).cast("long").alias("at"), none(f"array<{SPAN}>").alias("out")), add)
 
+    def shift(state: Column, part: Column) -> Column:
+        moved = F.struct(state["at"].alias("at"), part["out"].alias("out"))
+        return F.struct((state["at"] + part["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
 
-def none() -> Column:
-    return F.array().cast("array<struct<kind:string,start:long,end:long,text:string>>")
+    groups = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / GROUP).cast("int")), group)
+    first = F.struct(F.lit(0).cast("long").alias("at"), none(f"array<struct<at:bigint,out:array<{SPAN}>>>").alias("out"))
+    placed = F.aggregate(groups, first, shift, lambda x: x["out"])
+
+    def spans(part: Column) -> Column:
+        return F.transform(part["out"], lambda x: F.struct(
+            x["kind"].alias("kind"), (x["start"] + part["at"]).alias("start"), (x["end"] + part["at"]).alias("end"), x["text"].alias("text"),
+            x["left"].alias("left"), x["after"].alias("after"),
+        ))
+
+    return F.when(n > 0, F.flatten(F.transform(placed, spans))).otherwise(none(f"array<{SPAN}>"))
 
 
 def digits(text: Column) -> Column:
@@ -111,22 +137,23 @@ def extracted(docs: DataFrame) -> DataFrame:
 
     A text is scanned for a kind only if it holds what every span of the kind needs.
     """
-    text = F.translate(F.coalesce("text", F.lit("")), JOIN + DOT, "\ufffd\ufffd")
-    docs = docs.select("doc_id", text.alias("text"))
-    has_digit = F.col("text").rlike("[0-9]{2}")
-    dotted = F.regexp_replace("text", rf"(?<=[{LABEL}])\.(?=[{LABEL}])", DOT)
-    joined = F.regexp_replace("text", r"(?<=[0-9])[\x20-](?=[0-9])", JOIN)
-    scans = docs.select(
-        "doc_id",
-        "text",
-        F.when(F.contains("text", F.lit("@")), cut(dotted, EMAIL, "email")).otherwise(none()).alias("email"),
-        F.when(F.col("text").rlike(r"[0-9]\.[0-9]"), cut(F.col("text"), IP, "ip")).otherwise(none()).alias("ip"),
-        F.when(has_digit, cut(joined, NUMBER, "card")).otherwise(none()).alias("number"),
-        F.when(F.col("text").rlike(r"\+[0-9]"), cut(F.col("text"), PHONE, "phone")).otherwise(none()).alias("phone"),
-        F.when(F.col("text").rlike(r" (dot|\(dot\)|\[dot\]) "), cut(F.col("text"), SPELLED, "email")).otherwise(none()).alias("spelled"),
+    text = F.col("text")
+    plain = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), JOIN + DOT, "\ufffd\ufffd").alias("text"))
+    marked = plain.select(
+        "doc_id", "text",
+        F.when(F.contains("text", F.lit("@")), F.regexp_replace("text", rf"(?<=[{LABEL}])\.(?=[{LABEL}])", DOT)).alias("dotted"),
+        F.when(text.rlike("[0-9]{2}"), F.regexp_replace("text", r"(?<=[0-9])[\x20-](?=[0-9])", JOIN)).alias("joined"),
+        F.when(text.rlike(r"[0-9]\.[0-9]"), text).alias("numbered"), F.when(text.rlike(r"\+[0-9]"), text).alias("plus"),
+        F.when(text.rlike(r" (dot|\(dot\)|\[dot\]) "), text).alias("worded"),
     )
+    scans = {
+        "email": ("dotted", EMAIL, "email"), "ip": ("numbered", IP, "ip"), "number": ("joined", NUMBER, "card"),
+        "phone": ("plus", PHONE, "phone"), "spelled": ("worded", SPELLED, "email"),
+    }
+    matched = marked.select("doc_id", *scans_of(scans))
+    spans = matched.select("doc_id", *[cut(F.col(f"{k}_found"), F.col(f"{k}_gaps"), kind).alias(k) for k, (_, _, kind) in scans.items()])
     base = F.filter(F.concat("email", "ip", "number", "phone"), base_rule)
-    found = scans.select("doc_id", "text", "number", "spelled", base.alias("base"))
+    found = spans.select("doc_id", "number", "spelled", base.alias("base"))
 
     def apart(span: Column) -> Column:
         return ~F.exists("base", lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
@@ -134,21 +161,31 @@ def extracted(docs: DataFrame) -> DataFrame:
     def loose(span: Column) -> Column:
         """A number is offered as a card or a phone by its count of digits."""
         kind = F.when(F.length(digits(span["text"])) >= 16, "card").otherwise("phone")
-        return F.struct(kind.alias("kind"), span["start"].alias("start"), span["end"].alias("end"), span["text"].alias("text"))
+        return F.struct(kind.alias("kind"), *[span[x].alias(x) for x in ("start", "end", "text", "left", "after")])
 
     number = F.filter("number", lambda s: F.length(digits(s["text"])).between(7, 19) & apart(s))
     extra = F.concat(F.transform(number, loose), F.filter("spelled", apart))
+    apart_from_base = found.select("doc_id", "base", extra.alias("extra"))
     candidates = F.concat(
-        F.transform("base", lambda s: judged(s, F.lit(True))), F.transform(extra, lambda s: judged(s, F.lit(False)))
+        F.transform("base", lambda s: judged(s, F.lit(True))), F.transform("extra", lambda s: judged(s, F.lit(False)))
     )
-    return found.select("doc_id", candidates.alias("candidates"))
+    return apart_from_base.select("doc_id", candidates.alias("candidates"))
+
+
+def scans_of(scans: dict[str, tuple[str, str, str]]) -> list[Column]:
+    """The matches of every scan and the texts around them; both empty where a text is not scanned."""
+    out, empty = [], F.array().cast("array<string>")
+    for name, (source, pattern, _kind) in scans.items():
+        text = F.col(source)
+        out.append(F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), empty).alias(f"{name}_found"))
+        out.append(F.coalesce(F.split(text, pattern, -1), empty).alias(f"{name}_gaps"))
+    return out
 
 
 def judged(span: Column, base: Column) -> Column:
     """A candidate with the votes of its labelers (1 for, -1 against, 0 none) and its features."""
-    start, end, kind = span["start"].cast("int"), span["end"].cast("int"), span["kind"]
-    left = F.substr("text", F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
-    before, after = F.right(left, F.lit(1)), F.substr("text", end + 1, F.lit(1))
+    kind, left, after = span["kind"], span["left"], span["after"]
+    before = F.right(left, F.lit(1))
     number, n = digits(span["text"]), F.length(digits(span["text"]))
     separators = F.length(span["text"]) - n
     cue = F.lit(False)

@@ -131,6 +131,8 @@ def fit(labelled: DataFrame) -> tuple[float, list[tuple[frozenset, float]]]:
     rows = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(labelled.withColumn("label", F.col("label").cast("double")))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird", minInstancesPerNode=5)
     rules = sorted(tree_rules(forest.fit(rows).toDebugString), key=lambda r: (len(r), sorted(r)))
+    if not rules:  # labels too few for a single split
+        return float(np.log(ones / zeros)), []
     hits = F.array(*[condition(r).cast("double") for r in rules])
     design = written(rows.select("label", hits.alias("hits")), "rules").select("label", array_to_vector("hits").alias("features"))
     model = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, maxIter=60, standardization=True).fit(design)
