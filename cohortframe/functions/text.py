@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def signed_substring(column: Column, start: int, length: int | None = None) -> Column:
     """Substring from the left (start >= 1) or from the right (start < 0)."""
-    return F.substring(column, start, 1_000_000 if length is None else length)
+    return F.substr(column, F.lit(start), F.char_length(column) if length is None else F.lit(length))
 
 
 def before_first(column: Column, separator: str) -> Column:

@@ -17,6 +17,11 @@ Key = tuple
 Kernel = Callable[[np.ndarray, object], np.ndarray]
 
 
+def plain_key(key: tuple) -> Key:
+    """A pandas group key as Spark has it: missing values as None."""
+    return tuple(None if v is None or v != v else v for v in key)
+
+
 def grouped_sums(
     df: DataFrame, by: list[str], columns: list[str], kernel: Kernel, tasks: dict[tuple[Key, Hashable], object]
 ) -> dict[tuple[Key, Hashable], np.ndarray]:
@@ -29,9 +34,9 @@ def grouped_sums(
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            groups = batch.groupby(by, sort=False) if by else [((), batch)]
+            groups = batch.groupby(by, sort=False, dropna=False) if by else [((), batch)]
             for key, part in groups:
-                todo = per_group.get(tuple(key))
+                todo = per_group.get(plain_key(key))
                 if not todo:
                     continue
                 values = part[columns].to_numpy(dtype=float)

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortframe.functions.draws import hash_uniform
 from cohortframe.functions.text import fixed
 
 
+def _number(name: str) -> Column:
+    """The number at the end of a class's name."""
+    return F.regexp_extract(name, r"(\d+)$", 1).cast("int")
+
+
 def class_order(long: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
     """Classes by falling share with display names. ``long`` has one row per id and ``prob<k>``.
 
     The windows run over one row per class.
     """
-    sizes = long.groupBy(F.substring(name, -1, 1).cast("int").alias("class")).agg(F.sum(value).alias("n"))
+    sizes = long.groupBy(_number(name).alias("class")).agg(F.sum(value).alias("n"))
     prop = F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy()), 2)
     shares = sizes.select("class", prop.alias("class_prop"))
     place = F.row_number().over(Window.orderBy(F.col("class_prop").desc(), "class"))
@@ -26,16 +31,16 @@ def class_order(long: DataFrame, name: str = "name", value: str = "value") -> Da
 def class_quality(long: DataFrame, classes: list[int]) -> DataFrame:
     """Per class in size order: mean probability, and mean probability of every class among those assigned to it."""
     order = class_order(long)
-    mean = long.groupBy(F.substring("name", -1, 1).cast("int").alias("class")).agg(
+    mean = long.groupBy(_number("name").alias("class")).agg(
         (100 * F.avg("value")).alias("mean_prob")
     )
-    target = order.select(F.col("class").alias("to"), F.substring("class_ord", -1, 1).alias("place"))
-    cells = long.groupBy("class", F.substring("name", -1, 1).cast("int").alias("to")).agg(
+    target = order.select(F.col("class").alias("to"), _number("class_ord").alias("place"))
+    cells = long.groupBy("class", _number("name").alias("to")).agg(
         F.round(F.avg("value"), 3).alias("m")
     )
     placed = cells.join(F.broadcast(target), "to")
     matrix = placed.groupBy("class").agg(
-        *[F.max(F.when(F.col("place") == str(k), F.col("m"))).alias(f"prop{k}") for k in range(1, len(classes) + 1)]
+        *[F.max(F.when(F.col("place") == k, F.col("m"))).alias(f"prop{k}") for k in range(1, len(classes) + 1)]
     )
     return order.join(mean, "class", "left").join(matrix, "class", "left").select(
         "class_ord", "mean_prob", *[f"prop{k}" for k in range(1, len(classes) + 1)]

@@ -248,7 +248,9 @@ def group_quantiles(
                   .otherwise(0.0)).alias(f"__q{i}")
         )
     wide = with_n.groupBy(*by).agg(*parts)
-    return wide.select(*by, F.array(*[f"__q{i}" for i in range(len(probs))]).alias("quantiles"))
+    found = wide.select(*by, F.array(*[f"__q{i}" for i in range(len(probs))]).alias("quantiles"))
+    # a group without values has a row here too
+    return join_null_safe(stats.select(*by), found, by, "left") if by else found
 
 
 def group_ids(df: DataFrame, keys: list[str], out: str, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
@@ -263,7 +265,7 @@ def group_ids(df: DataFrame, keys: list[str], out: str, max_group_rows: int = MA
     if not groups:
         return ranked.select(*keys, F.col("__dense").cast("long").alias(out))
     before = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
-    sizes, _ = bounded(distinct.groupBy(*groups).agg(F.count(F.lit(1)).alias("__size")))
+    sizes, small = bounded(distinct.groupBy(*groups).agg(F.count(F.lit(1)).alias("__size")))
     offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
-    joined = join_null_safe(ranked, F.broadcast(offsets), groups, "left")
+    joined = join_null_safe(ranked, F.broadcast(offsets) if small else offsets, groups, "left")
     return joined.select(*keys, (F.col("__offset") + F.col("__dense")).cast("long").alias(out))

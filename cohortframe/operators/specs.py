@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from cohortframe.operators.design import term_columns
 from cohortframe.operators.inference import pool_rubin
+from cohortframe.operators.iterate import plain_key
 from cohortframe.operators.joins import join_null_safe
 from cohortframe.operators.moments import cross_products, full_matrix, invert
 from cohortframe.operators.ranks import add_scores_many
@@ -52,6 +53,8 @@ def _model_rows(stack: DataFrame, grid: Grid) -> tuple[DataFrame, dict[str, list
     own = F.when(F.col(grid.sex) == 1, "male").otherwise("female")
     needed = list(dict.fromkeys([t for ts in grid.mods.values() for t in ts] + grid.outcomes + grid.exposures))
     stack = stack.select(grid.cohort, "imp", "id", grid.sex, grid.weight, "missing_waves", *needed)
+    # members of unknown sex or weight are in no model
+    stack = stack.where(F.col(grid.sex).isNotNull() & F.col(grid.weight).isNotNull())
     strata = stack.withColumn("sex", F.explode(F.array(F.lit("all"), own)))
     scored = add_scores_many(
         strata, {c: c for c in grid.outcomes}, [grid.cohort, "imp", "sex"], list(grid.outcome_scores)
@@ -195,13 +198,14 @@ def _leverage_sums(rows, fits, keys, names, grid: Grid, size: int) -> DataFrame:
     xs = [f"x_{k}" for k in grid.exposure_scores]
     left = rows.select(*keys, "id", "w", "complete", *names, *xs, *[f"y_{k}" for k in grid.outcome_scores])
     if small:
-        table = {key: part for key, part in fits.toPandas().groupby(keys)}
+        table = {plain_key(key): part for key, part in fits.toPandas().groupby(keys, dropna=False)}
         shared = rows.sparkSession.sparkContext.broadcast(table)
 
         def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
-                for key, part in batch.groupby(keys):
+                for key, part in batch.groupby(keys, dropna=False):
+                    key = plain_key(key)
                     if key in shared.value:
                         out += [[*key, *r] for r in _influence(part, shared.value[key], names, grid, size)]
                 yield pd.DataFrame(out, columns=schema.names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import permutations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortframe.functions.clean import ordinal
@@ -24,15 +24,27 @@ CLASSES = [1, 2, 3, 4, 5, 6]
 # ---- aggregates --------------------------------------------------------------------------------------------------
 
 
+# bmi has six decimals, so its sums are whole numbers of millionths and the spread is the same however rows are grouped
+EXACT_SD = """CASE WHEN count(bmi) > 1 THEN sqrt(CAST(count(bmi) * sum(CAST(round(bmi * 1e6) AS HUGEINT) * CAST(round(bmi * 1e6) AS HUGEINT))
+  - sum(CAST(round(bmi * 1e6) AS HUGEINT)) * sum(CAST(round(bmi * 1e6) AS HUGEINT)) AS DOUBLE) / (CAST(count(bmi) AS DOUBLE) * (count(bmi) - 1))) / 1e6 END"""
+
+
+def exact_sd(column: str) -> Column:
+    n, whole = F.count(column), F.round(F.col(column) * 1e6).cast("decimal(17,0)")
+    total = F.sum(whole).cast("decimal(19,0)")
+    spread = n.cast("decimal(12,0)") * F.sum((whole * whole).cast("decimal(24,0)")).cast("decimal(26,0)") - total * total
+    return F.when(n > 1, F.sqrt(spread.cast("double") / (n.cast("double") * (n - 1))) / 1e6)
+
+
 @query(
     "agg_basic",
-    f"""SELECT cohort, age, count(*) AS n, {q6('sum(bmi)')} AS total, {q6('avg(bmi)')} AS mean, {q6('stddev_samp(bmi)')} AS sd,
+    f"""SELECT cohort, age, count(*) AS n, {q6('sum(bmi)')} AS total, {q6('avg(bmi)')} AS mean, {q6(EXACT_SD)} AS sd,
                min(bmi) AS lo, max(bmi) AS hi FROM bmi_long GROUP BY 1, 2""",
 )
 def _(d: Data) -> DataFrame:
     return d.bmi_long().groupBy("cohort", "age").agg(
         F.count(F.lit(1)).alias("n"), r6(F.sum("bmi")).alias("total"), r6(F.avg("bmi")).alias("mean"),
-        r6(F.stddev_samp("bmi")).alias("sd"), F.min("bmi").alias("lo"), F.max("bmi").alias("hi"),
+        r6(exact_sd("bmi")).alias("sd"), F.min("bmi").alias("lo"), F.max("bmi").alias("hi"),
     )
 
 
@@ -354,8 +366,8 @@ def _(d: Data) -> DataFrame:
 
 @query(
     "win_score_bundle",
-    f"""WITH s AS (SELECT 'all' AS sex, imp, cohort, id, cog FROM imputed UNION ALL
-                  SELECT CASE WHEN male = 1 THEN 'male' ELSE 'female' END, imp, cohort, id, cog FROM imputed),
+    f"""WITH s AS (SELECT 'all' AS sex, imp, cohort, id, cog FROM imputed WHERE male IS NOT NULL UNION ALL
+                  SELECT CASE WHEN male = 1 THEN 'male' ELSE 'female' END, imp, cohort, id, cog FROM imputed WHERE male IS NOT NULL),
       r AS (SELECT *, rank() OVER (PARTITION BY sex, imp, cohort, cog IS NULL ORDER BY cog) AS rk, count(*) OVER (PARTITION BY sex, imp, cohort, cog) AS ties,
             count(cog) OVER g AS n, avg(cog) OVER g AS mu, stddev_samp(cog) OVER g AS sd FROM s WINDOW g AS (PARTITION BY sex, imp, cohort))
       SELECT sex, imp, r.cohort, id, cog AS cog_raw, {q6('(cog - mu) / sd')} AS cog_std, CASE WHEN cog IS NOT NULL THEN {q6('CAST(rk - 1 AS DOUBLE) / (n - 1)')} END AS cog_rank,
@@ -363,7 +375,7 @@ def _(d: Data) -> DataFrame:
       FROM r WHERE id IN (SELECT id FROM members_wide WHERE {' AND '.join(b + ' IS NOT NULL' for b in ADULT_BMI)})""",
 )
 def _(d: Data) -> DataFrame:
-    stack = d.imputed().select("imp", "cohort", "id", "cog", "male")
+    stack = d.imputed().select("imp", "cohort", "id", "cog", "male").where("male IS NOT NULL")
     own = F.when(F.col("male") == 1, "male").otherwise("female")
     strata = stack.withColumn("sex", F.explode(F.array(F.lit("all"), own)))
     kinds = {"raw": "cog_raw", "std": "cog_std", "rank": "cog_rank", "ridit": "cog_ridit"}

@@ -6,8 +6,11 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType
 
 SMALL_ROWS = 100_000
+SMALL_VALUES = 2_000_000
+ARRAY_VALUES = 1024  # what an array column counts for
 
 
 def local_session(cores: str = "*", partitions: int = 8, name: str = "cohortframe", **conf: str) -> SparkSession:
@@ -71,8 +74,11 @@ def bounded(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]
     """Evaluate an aggregate once and check its size.
 
     Up to ``max_rows`` rows it comes back as an in-memory table marked for broadcast; a larger one is staged and
-    joined by shuffle. The flag tells which.
+    joined by shuffle. Rows of many values lower the limit, so that no more than ``SMALL_VALUES`` come to the driver. The
+    flag tells which.
     """
+    width = sum(ARRAY_VALUES if isinstance(f.dataType, (ArrayType, MapType)) else 1 for f in df.schema.fields)
+    max_rows = min(max_rows, max(1, SMALL_VALUES // max(1, width)))
     table = df.limit(max_rows + 1).toArrow()
     if table.num_rows <= max_rows:
         return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema)), True
