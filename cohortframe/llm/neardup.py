@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
                  pa.array([sets[i] for i in keep], pa.binary())], ["cluster", "node", "n", "shingles"],
             )
 
-    texts = docs.select("doc_id", "text").join(sought, F.col("doc_id") == F.col("_id")).select("text", "cluster", "node", "n")
+    # joined by shuffle at every size: the list of clustered documents grows with the corpus
+    texts = docs.select("doc_id", "text").join(sought.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "cluster", "node", "n")
     limits = cells(members.select("cluster", "node", "n"), "cluster", F.col("n"), CELL_SHINGLES).select("node", "one", "two")
     sets = texts.mapInArrow(full, "cluster long, node long, n long, shingles binary")
     large = limits.where("one != 0 OR two != 0").select(F.col("node").alias("_node")).distinct()
