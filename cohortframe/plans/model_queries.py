@@ -523,17 +523,17 @@ _BOOTS = 200
 
 @query(
     "mdl_bootstrap",
-    f"""WITH {RANKED_SQL}, r AS (SELECT cohort, id, bmi, cog_std FROM waves JOIN cr USING (id) WHERE age = 40 AND cog_std IS NOT NULL),
-      u AS (SELECT cohort, bmi, cog_std AS x, b, {draws.hash_uniform_sql('id', 'b')} AS u FROM r, (SELECT unnest(range(1, {_BOOTS + 1})) AS b)),
-      w AS (SELECT cohort, bmi, x, b, {draws.poisson_weight_sql('u')} AS w FROM u),
-      s AS (SELECT cohort, b, sum(w) AS sw, sum(w * x) AS sx, sum(w * bmi) AS sy, sum(w * x * bmi) AS sxy, sum(w * x * x) AS sxx FROM w GROUP BY 1, 2),
-      k AS (SELECT cohort, (sxy - sx * sy / sw) / (sxx - sx * sx / sw) AS beta FROM s)
-      SELECT cohort, {q6('quantile_cont(beta, 0.5)')} AS median, {q6('quantile_cont(beta, 0.025)')} AS lci, {q6('quantile_cont(beta, 0.975)')} AS uci FROM k GROUP BY 1""",
+    f"""WITH {RANKED_SQL}, r AS (SELECT cohort, age, id, bmi, cog_std FROM waves JOIN cr USING (id) WHERE cog_std IS NOT NULL),
+      u AS (SELECT cohort, age, bmi, cog_std AS x, b, {draws.hash_uniform_sql('id', 'b')} AS u FROM r, (SELECT unnest(range(1, {_BOOTS + 1})) AS b)),
+      w AS (SELECT cohort, age, bmi, x, b, {draws.poisson_weight_sql('u')} AS w FROM u),
+      s AS (SELECT cohort, age, b, sum(w) AS sw, sum(w * x) AS sx, sum(w * bmi) AS sy, sum(w * x * bmi) AS sxy, sum(w * x * x) AS sxx FROM w GROUP BY 1, 2, 3),
+      k AS (SELECT cohort, age, (sxy - sx * sy / sw) / (sxx - sx * sx / sw) AS beta FROM s)
+      SELECT cohort, age, {q6('quantile_cont(beta, 0.5)')} AS median, {q6('quantile_cont(beta, 0.025)')} AS lci, {q6('quantile_cont(beta, 0.975)')} AS uci FROM k GROUP BY 1, 2""",
 )
 def _(d: Data) -> DataFrame:
-    rows = ranked_long(d, "cog_std").filter("age = 40")
-    boots = bs.bootstrap_wls(rows, "id", "bmi", ["cog_std"], ["cohort"], _BOOTS).filter("term = 'cog_std'")
-    return rounded(bs.percentile_interval(boots, "beta", ["cohort"]), ["cohort"], {"median": 6, "lci": 6, "uci": 6})
+    rows = ranked_long(d, "cog_std")
+    boots = bs.bootstrap_wls(rows, "id", "bmi", ["cog_std"], ["cohort", "age"], _BOOTS).filter("term = 'cog_std'")
+    return rounded(bs.percentile_interval(boots, "beta", ["cohort", "age"]), ["cohort", "age"], {"median": 6, "lci": 6, "uci": 6})
 
 
 def _centile_sql() -> str:

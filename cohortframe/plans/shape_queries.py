@@ -596,25 +596,26 @@ def _(d: Data) -> DataFrame:
 @query(
     "join_composite_key",
     """WITH a AS (SELECT o_custkey AS fam, CAST(1 + month(o_orderdate) % 2 AS INTEGER) AS num_a, max(o_totalprice) AS va
-                  FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1, 2),
+                  FROM orders WHERE year(o_orderdate) <= 1996 GROUP BY 1, 2),
             b AS (SELECT o_custkey AS fam, CAST(1 + month(o_orderdate) % 2 AS INTEGER) AS num_b, max(o_totalprice) AS vb
-                  FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1, 2),
+                  FROM orders WHERE year(o_orderdate) IN (1997, 1998) GROUP BY 1, 2),
             ab AS (SELECT coalesce(a.fam, b.fam) AS fam, coalesce(num_a, num_b) AS num, va, vb FROM a FULL JOIN b ON a.fam = b.fam AND num_a = num_b),
             e AS (SELECT o_custkey AS fam, CAST(1 + month(o_orderdate) % 2 AS INTEGER) AS num_e, max(o_totalprice) AS ve
-                  FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1, 2)
+                  FROM orders WHERE year(o_orderdate) >= 1999 GROUP BY 1, 2)
        SELECT coalesce(ab.fam, e.fam) AS fam, coalesce(num, num_e) AS num, va, vb, ve FROM ab FULL JOIN e ON ab.fam = e.fam AND num = num_e""",
 )
 def _(d: Data) -> DataFrame:
     orders = d.table("orders", "o_custkey", "o_orderdate", "o_totalprice")
 
-    def sweep(year: int, number: str, value: str) -> DataFrame:
+    def sweep(first: int, last: int, number: str, value: str) -> DataFrame:
+        """One of three sweeps, each of some years; together they hold all orders."""
         child = (1 + F.month("o_orderdate") % 2).cast("int")
-        return orders.filter(F.year("o_orderdate") == year).groupBy(F.col("o_custkey").alias("fam"), child.alias(number)).agg(
+        return orders.filter(F.year("o_orderdate").between(first, last)).groupBy(F.col("o_custkey").alias("fam"), child.alias(number)).agg(
             F.max("o_totalprice").alias(value)
         )
 
     # the child number has its own name in each sweep: repair it by first valid, then merge on (family, number)
-    sweeps = [sweep(1995, "num_a", "va"), sweep(1996, "num_b", "vb"), sweep(1997, "num_e", "ve")]
+    sweeps = [sweep(0, 1996, "num_a", "va"), sweep(1997, 1998, "num_b", "vb"), sweep(1999, 9999, "num_e", "ve")]
     numbered = [
         s.withColumn("num", c.first_valid(F.col(n))).drop(n) for s, n in zip(sweeps, ("num_a", "num_b", "num_e"))
     ]
@@ -623,12 +624,11 @@ def _(d: Data) -> DataFrame:
 
 @query(
     "join_full_reduce",
-    """SELECT id, max(bmi) FILTER (WHERE age = 10) AS b10, max(bmi) FILTER (WHERE age = 20) AS b20, max(bmi) FILTER (WHERE age = 30) AS b30
-       FROM waves WHERE age IN (10, 20, 30) GROUP BY id""",
+    f"""SELECT id, {', '.join(f'max(bmi) FILTER (WHERE age = {a}) AS b{a}' for a in range(10, 41, 5))} FROM waves GROUP BY id""",
 )
 def _(d: Data) -> DataFrame:
     w = d.waves()
-    parts = [w.filter(F.col("age") == a).select("id", F.col("bmi").alias(f"b{a}")) for a in (10, 20, 30)]
+    parts = [w.filter(F.col("age") == a).select("id", F.col("bmi").alias(f"b{a}")) for a in range(10, 41, 5)]
     return j.full_reduce(parts, ["id"])
 
 
