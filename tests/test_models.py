@@ -329,16 +329,17 @@ def test_age_imputation_needs_a_test(spark):
 
 
 def test_specification_curve_with_many_fits(spark, folder, monkeypatch):
-    """The co-grouped, salted second pass gives the same errors as the broadcast one."""
+    """The co-grouped, salted second pass gives the same errors as the broadcast one, with missing cohorts and sexes too."""
     from cohortframe.plans.model_queries import study_stack
 
     grid = specs.Grid(["bmi_40"], ["cog"], ["cog"], {"basic": [], "early": ["birth_weight", "bmi_10"]})
-    stack = study_stack(Data(spark, folder), 1)
+    unknown = {"cohort": F.expr("nullif(cohort, 'BUILDING')"), "male": F.when(F.col("id") % 37 != 0, F.col("male"))}
+    stack = study_stack(Data(spark, folder), 1).withColumns(unknown)
     key = lambda r: (r.cohort, r.imp, r.sex, r.sample, r["mod"], r.bmi_score, r.cog_score)
     a = {key(r): r for r in specs.spec_curve(stack, grid).collect()}
     monkeypatch.setattr(specs, "BROADCAST_FITS", 5)
     monkeypatch.setattr(specs, "SALT_ROWS", 10)
     b = {key(r): r for r in specs.spec_curve(stack, grid).collect()}
-    assert set(a) == set(b) and len(a) > 20
+    assert set(a) == set(b) and len(a) > 20 and None in {k[0] for k in a} and {k[2] for k in a} == {"all", "male", "female"}
     for k in a:
         assert a[k].beta == pytest.approx(b[k].beta) and a[k].se == pytest.approx(b[k].se)
