@@ -30,7 +30,7 @@ MAGIC = b"CFID"
 HEADER = "<4sBxxxIQQ"  # magic, bits, block, documents, ids
 BLOCK = 4096
 SEGMENT_IDS = 1 << 18
-MEMO_WORDS = 700_000
+MEMO_WORDS = 600_000
 # White space of the vocabulary's own splitting rule (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
