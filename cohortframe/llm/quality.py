@@ -158,7 +158,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         F.col("label").isin(0, 1) & ~held_out(F.col("_id"), 4, 2)
     )
     chosen = usable.orderBy(F.xxhash64("_id"), "_id", "label").limit(sample)
-    texts = documents.select(F.col("doc_id").alias("_id"), "text").join(chosen, "_id")
+    texts = documents.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id")  # at most ``sample`` rows
     return fit(written(with_statistics(texts, ["label"]), "labelled"))
 
 
