@@ -31,7 +31,7 @@ MAX_EDITS = 0.2
 SIZES = (8, 12, 24)  # words of a window; an item is cut into windows of the largest size it holds
 SAMPLES, TABLES, WALKS = 6, 16, 2
 BLOCK_ITEMS = 5_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 SEED = 11
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECE = 1_000_000

@@ -35,7 +35,7 @@ HASHES = 2 * SIDE * BAND
 PERCENT = 80
 CELL_ROWS = 4096  # signatures in a chunk
 CELL_SHINGLES = 1 << 21  # shingles in a chunk
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 PIVOTS = 6
 
 
