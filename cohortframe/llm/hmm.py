@@ -53,7 +53,7 @@ BLOCK_SCHEMA = "block long, doc_ids array<long>, held array<boolean>, lengths ar
 
 def blocks_of(docs: DataFrame) -> DataFrame:
     """One row per block of documents: ids, lengths in words, the distinct words, their counts in training texts, the
-    stream of word numbers (32 bits)."""
+    stream of word numbers (32 bits, compressed)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -69,7 +69,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
                 counts += np.bincount(np.concatenate(learned), minlength=len(numbers)).astype(np.uint32)
             values = (
                 [block], [ids], [held], [[len(s) for s in streams]], [b" ".join(numbers)], [counts.tobytes()],
-                [np.concatenate(streams).astype("<u4").tobytes()],
+                [pa.compress(np.concatenate(streams).astype("<u4").tobytes(), codec="zstd", asbytes=True)],
             )
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
             names = ("block", "doc_ids", "held", "lengths", "words", "counts", "stream")
@@ -122,11 +122,15 @@ class Counts:
 
     def __init__(self, words: DataFrame, training_texts: int):
         once = words.where("first")
-        total = once.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-        self.tokens = (total.n or 0) + training_texts
-        self.distinct = total.v + (training_texts > 0)
+        size = F.floor(4 * F.log2("c")).cast("int")
+        sizes = once.where("c > 0").groupBy(size.alias("size")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).orderBy(F.desc("size")).collect()
+        self.tokens = sum(r.n for r in sizes) + training_texts
+        self.distinct = sum(r.v for r in sizes) + (training_texts > 0)
         self.texts = training_texts
-        top = once.where("c > 0").orderBy(F.desc("c"), "word").limit(TOP).select("word", "c").collect()
+        # words above the size at which there are TOP of them: few more than TOP, so that one task can put them in order
+        held = np.cumsum([r.v for r in sizes])
+        least = sizes[min(int(np.searchsorted(held, TOP)), len(sizes) - 1)]["size"] if sizes else 0
+        top = once.where((F.col("c") > 0) & (size >= least)).orderBy(F.desc("c"), "word").limit(TOP).select("word", "c").collect()
         self.top = {bytes(r.word): k for k, r in enumerate(top)}
         sums = once.groupBy("tail").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect()
         self.tail_tokens, self.tail_words = np.zeros(TAILS), np.zeros(TAILS)
@@ -149,14 +153,14 @@ ENCODED = (
 
 def encoded(blocks: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
     """Blocks with classes (16 bits) for words, and per document the sums that need no model."""
-    known = dict(vars(counts))
+    known = {k: v for k, v in vars(counts).items() if k != "top"}
+    top = blocks.sparkSession.createDataFrame([(bytearray(w), k) for w, k in counts.top.items()], "word binary, top int")
+    classed = words.join(F.broadcast(top), "word", "left").select("block", "at", "c", "tail", F.coalesce("top", F.lit(-1)).alias("top"))
 
     def encode(key, left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(right["at"].combine_chunks()), kind="stable")
-        c = np.asarray(right["c"].combine_chunks())[order].astype(np.float64)
-        tail = np.asarray(right["tail"].combine_chunks())[order]
-        names = right["word"].combine_chunks().to_pylist()
-        top = np.array([known["top"].get(x, -1) for x in names], np.int64)[order]
+        c, tail, top = (np.asarray(right[x].combine_chunks())[order] for x in ("c", "tail", "top"))
+        c = c.astype(np.float64)
         classes = np.where(top >= 0, top, TOP + tail).astype(np.uint16)
         share = (c + 1) / (known["tail_tokens"][tail] + known["tail_words"][tail] + 1)
         within = np.where(top >= 0, 0.0, np.log10(share))
@@ -164,7 +168,7 @@ def encoded(blocks: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
         out = {x: [] for x in ("doc_ids", "held", "n_tokens", "n_known", "base", "within", "stream")}
         rest = np.log10(known["tokens"] + known["distinct"] + 1)
         for ids, held, lengths, stream in zip(*(left[x].to_pylist() for x in ("doc_ids", "held", "lengths", "stream"))):
-            numbers = np.frombuffer(stream, "<u4")
+            numbers = np.frombuffer(pa.decompress(stream, 4 * sum(lengths), codec="zstd", asbytes=True), "<u4")
             ends = np.cumsum(lengths)
             starts = ends - lengths
 
@@ -187,7 +191,7 @@ def encoded(blocks: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
         kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
 
-    sides = blocks.select("block", "doc_ids", "held", "lengths", "stream").groupBy("block"), words.select("block", "at", "word", "c", "tail").groupBy("block")
+    sides = blocks.select("block", "doc_ids", "held", "lengths", "stream").groupBy("block"), classed.groupBy("block")
     return written(sides[0].cogroup(sides[1]).applyInArrow(encode, ENCODED), "encoded")
 
 

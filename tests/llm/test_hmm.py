@@ -87,3 +87,9 @@ def test_edges(edge, empty, spark):
     only = next(i for i in range(100) if hmm.held_out(i))
     alone = hmm.score_texts(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).first()
     assert (alone.n_tokens, alone.n_known, alone.train_tokens, alone.base_score) == (3, 0, 0, 0.0)
+
+
+def test_texts_without_words(spark):
+    rows = [(1, ""), (2, None), (3, " ")]
+    found = hmm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(told(found)) == sorted(counts(rows))
