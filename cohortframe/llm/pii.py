@@ -142,7 +142,7 @@ def extracted(docs: DataFrame) -> DataFrame:
     marked = plain.select(
         "doc_id", "text",
         F.when(F.contains("text", F.lit("@")), F.regexp_replace("text", rf"(?<=[{LABEL}])\.(?=[{LABEL}])", DOT)).alias("dotted"),
-        F.when(text.rlike("[0-9]{2}"), F.regexp_replace("text", r"(?<=[0-9])[\x20-](?=[0-9])", JOIN)).alias("joined"),
+        F.when(text.rlike(r"[0-9][\x20-]?[0-9]"), F.regexp_replace("text", r"(?<=[0-9])[\x20-](?=[0-9])", JOIN)).alias("joined"),
         F.when(text.rlike(r"[0-9]\.[0-9]"), text).alias("numbered"), F.when(text.rlike(r"\+[0-9]"), text).alias("plus"),
         F.when(text.rlike(r" (dot|\(dot\)|\[dot\]) "), text).alias("worded"),
     )

@@ -54,6 +54,13 @@ def test_odd_texts(spark):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def test_cards_of_single_digits(spark):
+    card = "4111111111111111"
+    texts = [" ".join(card), "-".join(card), f"pay {' '.join(card)} now", f"{' '.join(card)} and 12"]
+    rows = check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.n_card for r in rows] == [1] * 4
+
+
 def test_very_long_runs(spark):
     address = "x@" + "y." * 30_000 + "z"
     cases = {
