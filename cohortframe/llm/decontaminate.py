@@ -209,7 +209,7 @@ def matches(items: Items, stream: np.ndarray, ends: np.ndarray) -> list[tuple[in
         if text < len(ends) and begin + len(words) - slack > ends[text]:  # begins before its own text does
             nearer = int(np.searchsorted(ends, begin + len(words) // 2))
             text, low = (nearer, int(ends[nearer - 1]) + 1) if nearer < len(ends) else (text, low)
-        if text >= len(ends) or reach.get((item, text), -1) >= begin:
+        if text >= len(ends) or ((item, text) in reach and reach[item, text] >= begin):
             continue
         first = max(low, begin - 2 * slack)
         last = min(int(ends[text]), begin + len(words) + 2 * slack)

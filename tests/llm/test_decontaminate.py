@@ -71,6 +71,23 @@ def test_recall_and_exactness_against_brute_force(spark, cases):
     assert whole <= got.keys()
 
 
+def test_items_without_their_first_words_alone_in_a_piece(spark, folder):
+    known = [(r.item_id, r.text.encode()) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    memo, items = d.Hashes(), d.Items(known)
+    before = d.word_hashes(b"some other words of a text that stands before it", memo)
+    found = {True: set(), False: set()}
+    for item, text in known:
+        words = d.word_hashes(text, memo)
+        for lost in range(1, d.allowed(len(words)) + 1):
+            for alone in found:
+                rows = [words[lost:]] if alone else [before, words[lost:]]
+                stream = np.concatenate([np.append(x, np.uint64(0)) for x in rows])
+                ends = np.cumsum([len(x) + 1 for x in rows]) - 1
+                got = {(items.ids[x[1]], *x[2:]) for x in d.matches(items, stream, ends) if x[0] == len(rows) - 1}
+                found[alone] |= {(item, lost, *x) for x in got}
+    assert found[True] == found[False] and len(found[True]) > 0
+
+
 def test_clean_documents_stay(spark, cases):
     items, docs, planted = cases
     bench = spark.createDataFrame(items, "item_id long, text string")
