@@ -94,7 +94,7 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, node (its first 8 bytes), sig (a byte of every minhash), keys (of the first
+    """doc_id, text_hash, n_shingles, node (8 bytes of the set's digest), sig (a byte of every minhash), keys (of the first
     collection's bands). The last three are null for empty sets and missing ids."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +114,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     node[i] = int.from_bytes(hashlib.blake2b(sets[i].tobytes(), digest_size=8).digest(), "little", signed=True)
                     sig[i], keys[i] = bytes_[row].tobytes(), bands[row].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()),
-                 pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "node", "sig", "keys"],
+                [batch["doc_id"].cast(pa.int64()), batch["text_hash"], pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "node", "sig", "keys"],
             )
 
-    schema = "doc_id long, n_shingles long, node long, sig binary, keys array<long>"
-    return written(docs.select("doc_id", "text").mapInArrow(sign, schema), "signatures")
+    schema = "doc_id long, text_hash long, n_shingles long, node long, sig binary, keys array<long>"
+    return written(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, schema), "signatures")
 
 
 def joined_rows(n: int, linked: Callable[[int], np.ndarray]) -> np.ndarray:
@@ -242,12 +242,14 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (whether it is the document's own)."""
+def decided(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id (the least doc_id reachable over links), kept (whether the row is its
+    component's least by doc_id and hash of its text), for every row."""
     signed = signatures(docs, size)
     nodes = written(
         signed.where("node IS NOT NULL").groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "nodes"
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+        .select("node", "least.doc_id", "least", "n", "sig", "keys"), "nodes"
     )
     banded = nodes.select("node", "sig", F.explode("keys").alias("key"))
     candidates = edges_in(cells(banded, "key", F.lit(1), CELL_ROWS), "key", alike, ["sig"])
@@ -278,25 +280,34 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     split = sets.join(limits.join(large, F.col("node") == F.col("_node"), "left_semi").withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node")
     links = edges_in(usual.unionByName(split), "cluster", near, ["shingles"])
     found = written(components(links), "components")
-    named = found.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = found.join(named, "component").select("node", F.col("component_id").alias("_linked"))
-    own = nodes.select("node", F.col("doc_id").alias("_own")).join(linked, "node", "left").select(
-        F.col("node").alias("_node"), F.coalesce("_linked", "_own").alias("_component")
+    named = found.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("_linked"))
+    linked = found.join(named, "component").select("node", "_linked")
+    own = nodes.select("node", F.col("least").alias("_own")).join(linked, "node", "left").select(
+        F.col("node").alias("_node"), F.coalesce("_linked", "_own").alias("_least")
+    )
+    out = signed.select("doc_id", "text_hash", "n_shingles", "node").join(own, F.col("node") == F.col("_node"), "left")
+    least = F.coalesce("_least", F.struct("doc_id", "text_hash"))
+    return out.select(
+        "doc_id", "text_hash", "n_shingles", least["doc_id"].alias("component_id"),
+        (least["doc_id"].eqNullSafe(F.col("doc_id")) & (least["text_hash"] == F.col("text_hash"))).alias("kept"),
     )
-    out = signed.select("doc_id", "n_shingles", "node").join(own, F.col("node") == F.col("_node"), "left")
-    component = F.coalesce("_component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (whether the row stands for it)."""
+    return decided(docs, size).drop("text_hash")
 
 
 def deduplicated(docs: DataFrame, size: int = 5) -> DataFrame:
-    """One document of every group of near-duplicates, the one of the least doc_id, with all its columns.
+    """One row of every group of near-duplicates, the one of the least doc_id and hash of its text, with all its columns.
 
-    Rows that repeat a document are one. Rows with a null doc_id stay, once per text.
+    Rows that repeat a document with its text are one; other texts under its doc_id are judged on their own. Rows with a
+    null doc_id stay, once per text.
     """
-    gone = near_duplicates(docs, size).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = decided(docs, size).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
     gone = written(gone, "gone")  # of known size, so Spark can choose how to join it
     whole = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.struct("*").alias("row"))
-    left = whole.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = whole.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_text") == F.col("_hash")), "left_anti")
     return left.dropDuplicates(["doc_id", "_text"]).select("row.*")
 
 

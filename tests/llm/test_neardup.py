@@ -111,6 +111,16 @@ def test_edges(edge, empty):
     assert neardup.near_duplicates(empty, 2).count() == 0 and neardup.deduplicated(empty).count() == 0
 
 
+def test_texts_under_one_id_are_judged_on_their_own(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near_a, near_b = a + " more", b + " more"
+    rows = [(3, a), (5, near_a), (5, b), (7, near_b), (8, c), (8, c + " more"), (8, c.upper()), (9, "alone"), (9, "")]
+    left = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = Counter((r.doc_id, r.text) for r in left if r.doc_id != 8)
+    assert kept == Counter([(3, a), (5, b), (9, "alone"), (9, "")])
+    assert len([r for r in left if r.doc_id == 8]) == 1
+
+
 def test_exact_bound():
     part = pa.table({"shingles": pa.array([np.arange(a, b, dtype=np.uint64).tobytes() for a, b in ((0, 9), (1, 10), (0, 8), (2, 10))])})
     linked = neardup.near(part)
