@@ -55,16 +55,16 @@ def _(d: Data) -> DataFrame:
 
 @query("mdl_quantile_reg")
 def _(d: Data) -> DataFrame:
-    rows = ranked_long(d, "cog_std").filter("age = 40")
+    rows = ranked_long(d, "cog_std")
     fits = quantreg.quantile_regression(
-        rows, "bmi", ["cog_std", "male"], ["cohort"], [k / 10 for k in range(1, 10)], "survey_weight", replicates=4, key="id", iterations=50
+        rows, "bmi", ["cog_std", "male"], ["cohort", "age"], [k / 10 for k in range(1, 10)], "survey_weight", replicates=4, key="id", iterations=50
     )
     return fits
 
 
 @query("mdl_bccg_fit")
 def _(d: Data) -> DataFrame:
-    rows = ranked_long(d, "cog_std").filter("age IN (20, 40)")
+    rows = ranked_long(d, "cog_std")
     return bccg.bccg_fit(rows, "bmi", ["cog_std", "male"], ["cohort", "age"], replicates=4, key="id", iterations=40)
 
 
