@@ -2,7 +2,7 @@
 
 A text is the set of its word shingles. Two small collections of ``SIDE`` bands, each of ``BAND`` minhashes, are computed;
 every pair of a band of the first and a band of the second is a table key, so ``2 * SIDE * BAND`` minhashes serve
-``SIDE ** 2`` tables of ``2 * BAND`` hashes. At a similarity of 0.8 a pair misses all tables with probability 2e-4.
+``SIDE ** 2`` tables of ``2 * BAND`` hashes. At a similarity of 0.8 a pair misses all tables with probability 3.6e-4.
 
 Documents meet by the first half of their keys; there the second half is compared, together with the share of equal
 minhashes (at least ``ALIKE``; a pair at 0.8 falls below it once in 10^9). What meets becomes candidate clusters, and
