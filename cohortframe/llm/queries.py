@@ -6,7 +6,7 @@ import importlib
 
 from cohortframe.llm.registry import ORACLES, QUERIES
 
-MODULES = ("sharding", "token_output", "ann", "hmm", "chat", "decontaminate", "mixing", "neardup", "pii", "quality", "quality_rules", "whitening")
+MODULES = ("sharding", "token_output", "ann", "hmm", "chat", "decontaminate", "mixing", "neardup", "pii", "quality", "quality_rules", "whitening", "collocations")
 for _name in MODULES:
     importlib.import_module(f"cohortframe.llm.{_name}")
 

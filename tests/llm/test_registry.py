@@ -9,7 +9,7 @@ from compare import compare, connect
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
