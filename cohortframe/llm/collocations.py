@@ -4,11 +4,13 @@ Every word heads one window of ORDER words: the word and its lead words, padded
 these longest windows are counted; a ROLLUP over (lang, w1, ..., w4) adds their counts up over ever shorter prefixes, which
 gives the exact count of every phrase of one to ORDER words, and of all words of a language.
 
-A task adds up equal windows of a piece of its texts before anything is shuffled and sends them sorted. Windows meet by their
-first two words, where phrases below LEAST occurrences are known as such and are cut from the window (their parts stay): what
-the ROLLUP has to add up are frequent phrases and heads. Heads that hold a notable share of all windows are found in a pass
-before and are spread by the rest of the window; their windows are cut in the last word only. That pass decides where rows
-meet, never what is counted.
+Most windows occur once and none of their phrases is a candidate, so a pass before finds out which pairs of neighbours may
+occur LEAST times: it adds up the counts of 64-bit hashes of pairs, and those that reach LEAST set bits of a filter of at most
+FILTER_BITS bits. Windows end before a pair that is not in the filter. Equal hashes and full filters only let more windows pass
+whole; no phrase with LEAST occurrences loses one, so the filter saves shuffling and never decides a count.
+
+A task adds up equal windows of a piece of its texts, and Spark adds them up per task before the shuffle, so a frequent word,
+pair or passage is a row a task at most.
 
 Scores are whole-number divisions of decimals. Counts of parts and containing phrases come by joins on the phrase.
 
@@ -20,12 +22,12 @@ no rows; further columns are not read. A lang without candidates has no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +40,11 @@ SHARE = 80  # percent of its occurrences from which a phrase inside a longer one
 FACTOR = 2_000_000
 TOP = 2000
 CHUNK = 1_000_000  # words counted together; fewer than 2^20, so that three word numbers fit a long
-PIECE = 6_000_000
-HOT, HEADS, SALTS = 1 / 256, 1024, 64  # share of a run that makes a head notable; at most so many heads; tasks a head is spread over
+PIECE = 3_000_000
+FILTER_BITS, FEWEST_BITS, PROBES = 1 << 28, 1 << 16, 4  # 32 MB at most; some 10 bits a pair keep 99 of 100 other pairs out
+MULTIPLIER = 0x9E3779B97F4A7C15
 ROWS = 50_000
+LOW = (1 << 20) - 1
 WORDS = [f"w{k + 1}" for k in range(ORDER)]
 
 
@@ -52,17 +56,17 @@ def _classes() -> np.ndarray:
     return out
 
 
-def runs_of(text: bytes) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Words of a text in runs of CHUNK: the distinct ones in byte order, their numbers (from 1), and the number of each word's piece.
-
-    A run carries ORDER - 1 words more than it heads windows of, where there are more.
+def runs_of(text: bytes) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, int]]:
+    """Words of a text in runs: the distinct ones in byte order, their numbers (from 1), the number of each word's piece, and
+    how many of them head windows in this run: the last ORDER - 1 do not, where more words follow.
     """
     data = np.frombuffer(text, np.uint8)
     kinds = _classes()[data]
     edges = np.flatnonzero(np.diff((kinds == 0).astype(np.int8), prepend=0, append=0))
     starts, ends = edges[::2], edges[1::2]
-    for first in range(0, len(starts), CHUNK - ORDER):
-        last = min(len(starts), first + CHUNK - ORDER + ORDER - 1)
+    for first in range(0, len(starts), CHUNK):
+        heads = min(CHUNK, len(starts) - first)
+        last = min(len(starts), first + CHUNK + ORDER - 1)
         begin, end = starts[first], ends[last - 1]
         part, kind = data[begin:end].copy(), kinds[begin:end]
         part[(part >= 65) & (part <= 90)] += 32
@@ -73,110 +77,122 @@ def runs_of(text: bytes) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         order = pc.sort_indices(coded.dictionary).to_numpy()
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(1, len(order) + 1)
-        yield coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()], np.cumsum(kind == 2)[starts[first:last] - begin]
+        yield coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()], np.cumsum(kind == 2)[starts[first:last] - begin], heads
 
 
-def lead_columns(codes: np.ndarray, piece: np.ndarray, heads: int) -> list[np.ndarray]:
-    """Numbers of the first to last word of the window at each of the first ``heads`` words; 0 beyond the piece."""
-    out = [codes[:heads]]
+def lead_columns(codes: np.ndarray, linked: np.ndarray, heads: int) -> list[np.ndarray]:
+    """Numbers of the first to last word of the window at each of the first ``heads`` words; 0 from where the words are not linked."""
+    out, alive = [codes[:heads]], np.ones(heads, bool)
     for k in range(1, ORDER):
-        column = np.zeros(heads, np.int64)
         there = max(0, min(heads, len(codes) - k))
-        column[:there] = np.where(piece[k : k + there] == piece[:there], codes[k : k + there], 0)
+        alive[there:] = False
+        alive[:there] &= linked[k - 1 : k - 1 + there]
+        column = np.zeros(heads, np.int64)
+        column[:there] = np.where(alive[:there], codes[k : k + there], 0)
         out.append(column)
     return out
 
 
-def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, list[np.ndarray]]]:
-    """Per run of words of one language: the language, the distinct words, and the window columns."""
+def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray, int]]:
+    """Per run of words of one language: the language, the distinct words, the words' numbers, whether a word has a next one
+    in its piece, and how many of the words head windows here."""
     for batch in pieces(batches, "text", PIECE):
         langs = pc.fill_null(batch["lang"], "und")
         texts = batch["text"].cast(pa.binary())
         for lang in sorted(pc.unique(langs).to_pylist()):
             mine = texts.filter(pc.equal(langs, lang)).drop_null()
-            text = b"\n".join(mine.to_pylist())
-            for words, codes, piece in runs_of(text):
-                heads = len(codes) if len(codes) < CHUNK - 1 else CHUNK - ORDER
-                yield lang, words, lead_columns(codes, piece, heads)
+            for words, codes, piece, heads in runs_of(b"\n".join(mine.to_pylist())):
+                yield lang, words, codes, np.append(piece[1:] == piece[:-1], False), heads
 
 
 def unique_windows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct windows in the order of their words, and how often each occurs."""
     heads, head = np.unique(columns[0] << 20 | columns[1], return_inverse=True)
     packed, counts = np.unique(head.astype(np.int64) << 40 | columns[2] << 20 | columns[3], return_counts=True)
-    head, low = heads[packed >> 40], (1 << 20) - 1
-    return [head >> 20, head & low, packed >> 20 & low, packed & low], counts
+    head = heads[packed >> 40]
+    return [head >> 20, head & LOW, packed >> 20 & LOW, packed & LOW], counts
+
+
+def word_hashes(words: pa.Array, lang: str) -> np.ndarray:
+    """64-bit hashes by the numbers of the words (0: none)."""
+    salt = xxhash.xxh64_intdigest(lang.encode())
+    return np.array([0, *(xxhash.xxh64_intdigest(w, salt & 0xFFFFFFFF) for w in words.to_pylist())], np.uint64)
+
+
+def pair_hashes(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One long for each pair of numbered words, well mixed."""
+    mixed = hashes[first] * np.uint64(MULTIPLIER) + (hashes[second] >> np.uint64(29) | hashes[second] << np.uint64(35))
+    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(MULTIPLIER)
+    return (mixed ^ mixed >> np.uint64(32)).view(np.int64)
 
 
-def hot_heads(docs: DataFrame) -> list[tuple[str, str, str]]:
-    """(lang, w1, w2) that hold a notable share of all windows, at most HEADS of them."""
+def frequent_pairs(docs: DataFrame, least: int) -> DataFrame:
+    """Hashes of pairs of neighbours (``pair``) whose counts reach ``least``."""
 
-    def notable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, int] = {}
-        total = 0
-        for lang, words, columns in by_language(batches):
-            n = len(columns[0])
-            total += n
-            heads, counts = np.unique(columns[0] << 20 | columns[1], return_counts=True)
-            often = (counts >= max(2, n * HOT)) & ((heads & ((1 << 20) - 1)) > 0)
-            for head, count in zip(heads[often].tolist(), counts[often].tolist()):
-                key = (lang, words[(head >> 20) - 1].as_py().decode(), words[(head & ((1 << 20) - 1)) - 1].as_py().decode())
-                found[key] = found.get(key, 0) + count
-        rows = [(None, None, None, total), *((*k, n) for k, n in found.items())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(),) * 3 + (pa.int64(),))], ["lang", "w1", "w2", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, codes, linked, heads in by_language(batches):
+            first, second = lead_columns(codes, linked, heads)[:2]
+            there = second > 0
+            pairs, counts = np.unique(first[there] << 20 | second[there], return_counts=True)
+            hashed = pair_hashes(word_hashes(words, lang), pairs >> 20, pairs & LOW)
+            for start in range(0, len(hashed), ROWS):
+                part = slice(start, start + ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[part]), pa.array(counts[part])], ["pair", "n"])
+
+    sums = docs.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return sums.where(F.col("n") >= least).select("pair")
+
+
+def pair_filter(frequent: DataFrame) -> np.ndarray:
+    """A filter (PROBES bits a pair) in 64-bit groups; at most FILTER_BITS / 8 bytes come to the driver, a group a row."""
+    staged = written(frequent, "pairs")
+    bits = FEWEST_BITS
+    wanted = 16 * staged.count()
+    while bits < min(wanted, FILTER_BITS):
+        bits *= 2
+    low, high = F.col("pair").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("pair", 32).bitwiseOR(F.lit(1))
+    places = F.explode(F.array(*[(low + k * high).bitwiseAND(bits - 1) for k in range(PROBES)])).alias("at")
+    groups = staged.select(places).groupBy(F.shiftright("at", 5).alias("group")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(31).cast("int"))).alias("bits")
+    )
+    found = groups.toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[found["group"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    return out
 
-    counted = docs.mapInArrow(notable, "lang string, w1 string, w2 string, n long").groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
-    staged = written(counted, "heads")  # a few hundred heads a task at most, added up
-    words = staged.where("w1 IS NULL").agg(F.sum("n")).first()[0] or 0
-    large = staged.where(F.col("w1").isNotNull() & (F.col("n") * HEADS >= words)).orderBy(F.col("n").desc(), "lang", "w1", "w2").limit(HEADS)
-    return [(r.lang, r.w1, r.w2) for r in large.collect()]
+
+def passes(bits: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which pairs may be frequent."""
+    low, high = pairs & 0xFFFFFFFF, (pairs.view(np.uint64) >> np.uint64(32)).astype(np.int64) | 1
+    out = np.ones(len(pairs), bool)
+    for k in range(PROBES):
+        at = (low + k * high) & (len(bits) * 32 - 1)
+        out &= (bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)) > 0
+    return out
 
 
-def windows(docs: DataFrame, hot: list[tuple[str, str, str]]) -> DataFrame:
-    """The longest windows with their counts, added up within runs: lang, w1..w4 (null: padding), salt (0 but for hot heads), n."""
+def windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The longest windows with their counts, added up within runs: lang, w1..w4 (null: padding), n."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, columns in by_language(batches):
-            columns, counts = unique_windows(columns)
-            salt = np.zeros(len(counts), np.int32)
-            if mine := [(a.encode(), b.encode()) for x, a, b in hot if x == lang]:
-                numbers = pc.index_in(pa.array([w for pair in mine for w in pair], pa.large_binary()), words).to_pylist()
-                for a, b in zip(numbers[::2], numbers[1::2]):
-                    if a is not None and b is not None:
-                        at = np.flatnonzero((columns[0] == a + 1) & (columns[1] == b + 1))
-                        rest = [words.take(pa.array(c[at] - 1, mask=c[at] == 0)).to_pylist() for c in columns[2:]]
-                        salt[at] = [1 + zlib.crc32(b" ".join(x or b"" for x in pair)) % SALTS for pair in zip(*rest)]
+        for lang, words, codes, linked, heads in by_language(batches):
+            pairs, place = np.unique(codes << 20 | np.append(codes[1:], 0), return_inverse=True)
+            good = passes(shared.value, pair_hashes(word_hashes(words, lang), pairs >> 20, pairs & LOW))
+            columns, counts = unique_windows(lead_columns(codes, linked & good[place], heads))
             texts = words.cast(pa.large_string()).cast(pa.string())
             for start in range(0, len(counts), ROWS):
                 part = slice(start, start + ROWS)
                 shown = [texts.take(pa.array(c[part] - 1, mask=c[part] == 0)) for c in columns]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(shown[0])), *shown, pa.array(salt[part]), pa.array(counts[part])], ["lang", *WORDS, "salt", "n"]
-                )
-
-    schema = "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", salt int, n long"
-    return docs.mapInArrow(count, schema)
-
-
-def cut(counted: DataFrame, least: int = LEAST) -> DataFrame:
-    """Windows without the ends that make them rare phrases, added up: lang, w1..w4, n."""
-    head = ["lang", "salt", "w1", "w2"]
-    whole = counted.repartition(*head).groupBy(*head, "w3", "w4").agg(F.sum("n").alias("n"))
-    three = F.sum("n").over(Window.partitionBy(*head, "w3"))
-    two = F.sum("n").over(Window.partitionBy(*head))
-    hot = F.col("salt") > 0  # a hot head's windows are in several tasks: only whole windows are counted in full
-    known = whole.withColumn("_three", three).withColumn("_two", two)
-    kept = known.select(
-        "lang", "w1", F.when(hot | (F.col("_two") >= least), F.col("w2")).alias("w2"), F.when(hot | (F.col("_three") >= least), F.col("w3")).alias("w3"),
-        F.when(F.col("n") >= least, F.col("w4")).alias("w4"), "n",
-    )
-    return kept.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(shown[0])), *shown, pa.array(counts[part])], ["lang", *WORDS, "n"])
+
+    return docs.mapInArrow(count, "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", n long")
 
 
 def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, words, f) of every phrase of one to ORDER words with ``least`` occurrences or more, and (lang, n) of all words."""
     texts = docs.select("lang", "text")
-    top = written(cut(windows(texts, hot_heads(texts)), least), "windows")
+    top = windows(texts, pair_filter(frequent_pairs(texts, least)))
     level = F.grouping_id()
     sums = top.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), level.alias("_level"))
     staged = written(sums.where(F.col("lang").isNotNull() & ((F.col("_level") == 2**ORDER - 1) | (F.col("f") >= least))), "sums")

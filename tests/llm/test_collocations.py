@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,48 +53,47 @@ def test_every_candidate_without_a_limit(spark, documents):
     assert {k: v[1:] for k, v in mined(some, 6).items()} == {k: v[1:] for k, v in wanted.items()} and wanted
 
 
-@pytest.mark.parametrize("salts", [1, 7])
-def test_hot_heads_give_the_same_counts(spark, documents, monkeypatch, salts):
-    wanted = brute(pairs(documents), 12, 300)
-    heads = [("en", "the", w) for w in ("and", "is", "in")] + [("de", "der", "die"), ("en", "nowhere", "found")]
-    often = Counter()
-    for lang, text in pairs(documents):
-        words = re.findall(r"[^\x20\x09-\x0D.,;:!?]+", (text or "").translate(LOWER))
-        often.update((lang, a, b) for a, b in zip(words, words[1:]))
-    monkeypatch.setattr(phrases, "hot_heads", lambda docs: heads + [k for k, _ in often.most_common(40)])
-    monkeypatch.setattr(phrases, "SALTS", salts)
-    assert mined(documents, 12, 300) == wanted
-
-
-def test_hot_heads_are_found(spark):
-    common = [(i, "en", f"very common w{i} x{i * 7 % 31}. other{i} thing{i}") for i in range(400)]
-    assert phrases.hot_heads(spark.createDataFrame(common, "doc_id long, lang string, text string").repartition(4)) == [("en", "very", "common")]
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_full_filters_change_no_count(spark, documents, monkeypatch, bits):
+    monkeypatch.setattr(phrases, "FEWEST_BITS", bits)
+    monkeypatch.setattr(phrases, "FILTER_BITS", bits)
+    some = documents.where("doc_id < 60")
+    assert mined(some, 8, 300) == brute(pairs(some), 8, 300)
+
+
+def test_filter_holds_every_frequent_pair(spark, documents):
+    frequent = phrases.frequent_pairs(documents.select("lang", "text"), 20)
+    bits = phrases.pair_filter(frequent)
+    hashed = np.array([r.pair for r in frequent.collect()], np.int64)
+    assert len(hashed) > 20 and phrases.passes(bits, hashed).all()
+    assert phrases.passes(bits, np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)).mean() < 0.05
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 4, 9, 64])
+def test_runs_see_the_words_after_them(monkeypatch, chunk):
+    monkeypatch.setattr(phrases, "CHUNK", chunk)
+    rows = [("x", " ".join(f"w{i % 13}{'.' if i % 7 == 0 else ''}" for i in range(40))), ("x", "a b"), ("y", "a B c"), ("y", None), (None, " \t")]
+    batch = pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    found, wanted = Counter(), Counter()
+    for lang, words, codes, linked, heads in phrases.by_language(iter([batch])):
+        columns, counts = phrases.unique_windows(phrases.lead_columns(codes, linked, heads))
+        names = [None, *(w.decode() for w in words.to_pylist())]
+        for *window, n in zip(*columns, counts.tolist()):
+            found[(lang, *(names[c] for c in window))] += n
+    for lang, text in rows:
+        for piece in re.split(r"[.]", (text or "").translate(LOWER)):
+            words = piece.split()
+            for i in range(len(words)):
+                wanted[(lang, *(words[i : i + 4] + [None] * 3)[:4])] += 1
+    assert found == wanted
 
 
-def test_runs_see_the_words_after_them(spark, documents, monkeypatch):
-    wanted = brute(pairs(documents.limit(40)), 5)
-    for chunk in (9, 64):
-        monkeypatch.setattr(phrases, "CHUNK", chunk)
-        text = " ".join(f"w{i % 13}" for i in range(40)).encode()
-        heads = [w for _, _, w in phrases.by_language(iter([__import__("pyarrow").RecordBatch.from_pydict({"lang": ["x"], "text": [text.decode()]})]))]
-        assert sum(len(w[0]) for w in heads) == 40
+def test_long_texts_are_cut_into_runs(spark, documents, monkeypatch):
+    """The task functions carry the module's values, so a small CHUNK holds in them as well."""
+    some = documents.where("doc_id < 60").select("lang", "text")
+    wanted = brute(pairs(some), 5)
     monkeypatch.setattr(phrases, "CHUNK", 50)
-
-    def local(docs, hot):
-        import pyarrow as pa
-
-        rows = Counter()
-        batch = pa.RecordBatch.from_pydict({"lang": [r.lang for r in docs.collect()], "text": [r.text for r in docs.collect()]})
-        for lang, words, columns in phrases.by_language(iter([batch])):
-            windows, counts = phrases.unique_windows(columns)
-            names = [None, *(w.decode() for w in words.to_pylist())]
-            for *codes, n in zip(*windows, counts.tolist()):
-                rows[(lang, *(names[c] for c in codes))] += n
-        schema = "lang string, w1 string, w2 string, w3 string, w4 string, salt int, n long"
-        return spark.createDataFrame([(*k, 0, n) for k, n in rows.items()], schema)
-
-    monkeypatch.setattr(phrases, "windows", local)
-    assert {k: v[1:] for k, v in mined(documents.limit(40), 5).items()} == {k: v[1:] for k, v in wanted.items()}
+    assert {k: v[1:] for k, v in mined(some, 5).items()} == {k: v[1:] for k, v in wanted.items()}
 
 
 def test_rules_by_hand(spark):
