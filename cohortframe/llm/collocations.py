@@ -4,13 +4,14 @@ Every word heads one window of ORDER words: the word and its lead words, padded
 these longest windows are counted; a ROLLUP over (lang, w1, ..., w4) adds their counts up over ever shorter prefixes, which
 gives the exact count of every phrase of one to ORDER words, and of all words of a language.
 
-Most windows occur once and none of their phrases is a candidate, so a pass before finds out which pairs of neighbours may
-occur LEAST times: it adds up the counts of 64-bit hashes of pairs, and those that reach LEAST set bits of a filter of at most
-FILTER_BITS bits. Windows end before a pair that is not in the filter. Equal hashes and full filters only let more windows pass
-whole; no phrase with LEAST occurrences loses one, so the filter saves shuffling and never decides a count.
+Most windows occur once and hold no candidate, so passes before find out which phrases of 2 and then of 3 words may occur LEAST
+times: a pass adds up the counts of 64-bit hashes of the phrases whose parts may be frequent, and the hashes that reach LEAST
+set bits of a filter of at most FILTER_BITS bits. Windows end where the phrase they begin with is not in its filter. Equal hashes
+and full filters only let more windows pass whole; no phrase with LEAST occurrences loses one, so the filters save shuffling
+and never decide a count.
 
 A task adds up equal windows of a piece of its texts, and Spark adds them up per task before the shuffle, so a frequent word,
-pair or passage is a row a task at most.
+pair or passage is a row a task at most. Windows of a single word skip the longer levels of the ROLLUP.
 
 Scores are whole-number divisions of decimals. Counts of parts and containing phrases come by joins on the phrase.
 
@@ -40,8 +41,8 @@ SHARE = 80  # percent of its occurrences from which a phrase inside a longer one
 FACTOR = 2_000_000
 TOP = 2000
 CHUNK = 1_000_000  # words counted together; fewer than 2^20, so that three word numbers fit a long
-PIECE = 3_000_000
-FILTER_BITS, FEWEST_BITS, PROBES = 1 << 28, 1 << 16, 4  # 32 MB at most; some 10 bits a pair keep 99 of 100 other pairs out
+PIECE = 2_000_000
+FILTER_BITS, FEWEST_BITS, PROBES = 1 << 28, 1 << 16, 4  # 32 MB at most; 16 bits a phrase or more keep 99 of 100 others out
 MULTIPLIER = 0x9E3779B97F4A7C15
 ROWS = 50_000
 LOW = (1 << 20) - 1
@@ -80,16 +81,12 @@ def runs_of(text: bytes) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, int
         yield coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()], np.cumsum(kind == 2)[starts[first:last] - begin], heads
 
 
-def lead_columns(codes: np.ndarray, linked: np.ndarray, heads: int) -> list[np.ndarray]:
-    """Numbers of the first to last word of the window at each of the first ``heads`` words; 0 from where the words are not linked."""
-    out, alive = [codes[:heads]], np.ones(heads, bool)
+def lead_columns(codes: np.ndarray, grown: list[np.ndarray], heads: int) -> list[np.ndarray]:
+    """Numbers of the first to last word of the window at each of the first ``heads`` words; 0 where the phrase of that many words has not grown."""
+    out = [codes[:heads]]
     for k in range(1, ORDER):
-        there = max(0, min(heads, len(codes) - k))
-        alive[there:] = False
-        alive[:there] &= linked[k - 1 : k - 1 + there]
-        column = np.zeros(heads, np.int64)
-        column[:there] = np.where(alive[:there], codes[k : k + there], 0)
-        out.append(column)
+        lead = np.append(codes[k:], np.zeros(min(k, len(codes)), np.int64))
+        out.append(np.where(grown[k][:heads], lead[:heads], 0))
     return out
 
 
@@ -119,38 +116,52 @@ def word_hashes(words: pa.Array, lang: str) -> np.ndarray:
     return np.array([0, *(xxhash.xxh64_intdigest(w, salt & 0xFFFFFFFF) for w in words.to_pylist())], np.uint64)
 
 
-def pair_hashes(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """One long for each pair of numbered words, well mixed."""
-    mixed = hashes[first] * np.uint64(MULTIPLIER) + (hashes[second] >> np.uint64(29) | hashes[second] << np.uint64(35))
-    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(MULTIPLIER)
-    return (mixed ^ mixed >> np.uint64(32)).view(np.int64)
+def mixed(hashed: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Hashes of phrases and of the words after them, as hashes of the longer phrases."""
+    out = hashed * np.uint64(MULTIPLIER) + (following >> np.uint64(29) | following << np.uint64(35))
+    out = (out ^ out >> np.uint64(31)) * np.uint64(MULTIPLIER)
+    return out ^ out >> np.uint64(32)
 
 
-def frequent_pairs(docs: DataFrame, least: int) -> DataFrame:
-    """Hashes of pairs of neighbours (``pair``) whose counts reach ``least``."""
+def grow(codes: np.ndarray, linked: np.ndarray, hashes: np.ndarray, filters: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per size up to ``size`` whether the phrase that begins at a word may be frequent as far as the filters tell (those of 2, 3,
+    ... words), and the hashes of the phrases of the largest size."""
+    out, hashed = [np.ones(len(codes), bool)], hashes[codes]
+    for k in range(2, size + 1):
+        more = out[-1] & linked & np.append(out[-1][1:], False)
+        out.append(more)
+        following = np.append(hashes[codes[k - 1 :]], np.zeros(min(k - 1, len(codes)), np.uint64))
+        hashed = mixed(hashed, following)
+        if k - 2 < len(filters):
+            at = np.flatnonzero(more)
+            more[at] = passes(filters[k - 2], hashed[at].view(np.int64))
+    return out, hashed
+
+
+def frequent(docs: DataFrame, size: int, filters: list[np.ndarray], least: int) -> DataFrame:
+    """Hashes (``phrase``) of the phrases of ``size`` words whose counts reach ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, codes, linked, heads in by_language(batches):
-            first, second = lead_columns(codes, linked, heads)[:2]
-            there = second > 0
-            pairs, counts = np.unique(first[there] << 20 | second[there], return_counts=True)
-            hashed = pair_hashes(word_hashes(words, lang), pairs >> 20, pairs & LOW)
-            for start in range(0, len(hashed), ROWS):
+            grown, hashed = grow(codes, linked, word_hashes(words, lang), shared.value, size)
+            found, counts = np.unique(hashed[:heads][grown[-1][:heads]].view(np.int64), return_counts=True)
+            for start in range(0, len(found), ROWS):
                 part = slice(start, start + ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(hashed[part]), pa.array(counts[part])], ["pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[part]), pa.array(counts[part])], ["phrase", "n"])
 
-    sums = docs.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return sums.where(F.col("n") >= least).select("pair")
+    sums = docs.mapInArrow(count, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
+    return sums.where(F.col("n") >= least).select("phrase")
 
 
-def pair_filter(frequent: DataFrame) -> np.ndarray:
-    """A filter (PROBES bits a pair) in 64-bit groups; at most FILTER_BITS / 8 bytes come to the driver, a group a row."""
-    staged = written(frequent, "pairs")
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """A filter (PROBES bits a hash) in groups of 32 bits; at most FILTER_BITS / 32 groups come to the driver."""
+    staged = written(hashes, "hashes")
     bits = FEWEST_BITS
     wanted = 16 * staged.count()
     while bits < min(wanted, FILTER_BITS):
         bits *= 2
-    low, high = F.col("pair").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("pair", 32).bitwiseOR(F.lit(1))
+    low, high = F.col("phrase").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("phrase", 32).bitwiseOR(F.lit(1))
     places = F.explode(F.array(*[(low + k * high).bitwiseAND(bits - 1) for k in range(PROBES)])).alias("at")
     groups = staged.select(places).groupBy(F.shiftright("at", 5).alias("group")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(31).cast("int"))).alias("bits")
@@ -161,25 +172,24 @@ def pair_filter(frequent: DataFrame) -> np.ndarray:
     return out
 
 
-def passes(bits: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Which pairs may be frequent."""
-    low, high = pairs & 0xFFFFFFFF, (pairs.view(np.uint64) >> np.uint64(32)).astype(np.int64) | 1
-    out = np.ones(len(pairs), bool)
+def passes(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the filter."""
+    low, high = hashed & 0xFFFFFFFF, (hashed.view(np.uint64) >> np.uint64(32)).astype(np.int64) | 1
+    out = np.ones(len(hashed), bool)
     for k in range(PROBES):
         at = (low + k * high) & (len(bits) * 32 - 1)
         out &= (bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)) > 0
     return out
 
 
-def windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def windows(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
     """The longest windows with their counts, added up within runs: lang, w1..w4 (null: padding), n."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, codes, linked, heads in by_language(batches):
-            pairs, place = np.unique(codes << 20 | np.append(codes[1:], 0), return_inverse=True)
-            good = passes(shared.value, pair_hashes(word_hashes(words, lang), pairs >> 20, pairs & LOW))
-            columns, counts = unique_windows(lead_columns(codes, linked & good[place], heads))
+            grown, _ = grow(codes, linked, word_hashes(words, lang), shared.value, ORDER)
+            columns, counts = unique_windows(lead_columns(codes, grown, heads))
             texts = words.cast(pa.large_string()).cast(pa.string())
             for start in range(0, len(counts), ROWS):
                 part = slice(start, start + ROWS)
@@ -191,18 +201,23 @@ def windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, words, f) of every phrase of one to ORDER words with ``least`` occurrences or more, and (lang, n) of all words."""
-    texts = docs.select("lang", "text")
-    top = windows(texts, pair_filter(frequent_pairs(texts, least)))
-    level = F.grouping_id()
-    sums = top.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), level.alias("_level"))
-    staged = written(sums.where(F.col("lang").isNotNull() & ((F.col("_level") == 2**ORDER - 1) | (F.col("f") >= least))), "sums")
-    n = staged.where(F.col("_level") == 2**ORDER - 1).select("lang", F.col("f").alias("n"))
+    texts, filters = docs.select("lang", "text"), []
+    for size in range(2, ORDER):
+        filters.append(bit_filter(frequent(texts, size, filters, least)))
+    top = written(windows(texts, filters), "windows")
+    level, several = F.grouping_id(), F.col("w2").isNotNull()
+    sums = top.where(several).rollup("lang", *WORDS).agg(F.sum("n").alias("f"), level.alias("_level"))
+    one = 2 ** (ORDER - 1) - 1  # the level of single words
+    staged = written(sums.where((F.col("_level") == one) | ((F.col("_level") < one) & (F.col("f") >= least))), "sums")
     found = None
-    for k in range(1, ORDER + 1):
+    for k in range(2, ORDER + 1):
         words = [F.col(w) for w in WORDS[:k]]
         part = staged.where((F.col("_level") == 2 ** (ORDER - k) - 1) & words[-1].isNotNull()).select("lang", F.array(*words).alias("words"), "f")
         found = part if found is None else found.unionByName(part)
-    return found, n
+    heads = staged.where(F.col("_level") == one).select("lang", "w1", "f").unionByName(top.where(~several).select("lang", "w1", F.col("n").alias("f")))
+    singles = written(heads.groupBy("lang", "w1").agg(F.sum("f").alias("f")), "words")
+    n = singles.groupBy("lang").agg(F.sum("f").alias("n"))
+    return found.unionByName(singles.where(F.col("f") >= least).select("lang", F.array("w1").alias("words"), "f")), n
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int | None = TOP) -> DataFrame:

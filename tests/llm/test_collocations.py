@@ -61,12 +61,23 @@ def test_full_filters_change_no_count(spark, documents, monkeypatch, bits):
     assert mined(some, 8, 300) == brute(pairs(some), 8, 300)
 
 
-def test_filter_holds_every_frequent_pair(spark, documents):
-    frequent = phrases.frequent_pairs(documents.select("lang", "text"), 20)
-    bits = phrases.pair_filter(frequent)
-    hashed = np.array([r.pair for r in frequent.collect()], np.int64)
-    assert len(hashed) > 20 and phrases.passes(bits, hashed).all()
-    assert phrases.passes(bits, np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)).mean() < 0.05
+def test_filters_hold_every_frequent_phrase(spark, documents):
+    texts, filters = documents.select("lang", "text"), []
+    for size in (2, 3):
+        frequent = phrases.frequent(texts, size, filters, 20)
+        filters.append(phrases.bit_filter(frequent))
+        hashed = np.array([r.phrase for r in frequent.collect()], np.int64)
+        assert len(hashed) == len({p for p in every(documents, 20) if len(p[1]) == size}) and phrases.passes(filters[-1], hashed).all()
+        assert phrases.passes(filters[-1], np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)).mean() < 0.05
+
+
+def every(docs, least):
+    counts = Counter()
+    for lang, text in pairs(docs):
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            counts.update(("und" if lang is None else lang, tuple(words[i : i + k])) for k in (2, 3) for i in range(len(words) - k + 1))
+    return {p for p, n in counts.items() if n >= least}
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 3, 4, 9, 64])
@@ -76,7 +87,8 @@ def test_runs_see_the_words_after_them(monkeypatch, chunk):
     batch = pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "text": [r[1] for r in rows]})
     found, wanted = Counter(), Counter()
     for lang, words, codes, linked, heads in phrases.by_language(iter([batch])):
-        columns, counts = phrases.unique_windows(phrases.lead_columns(codes, linked, heads))
+        grown, _ = phrases.grow(codes, linked, phrases.word_hashes(words, lang), [], 4)
+        columns, counts = phrases.unique_windows(phrases.lead_columns(codes, grown, heads))
         names = [None, *(w.decode() for w in words.to_pylist())]
         for *window, n in zip(*columns, counts.tolist()):
             found[(lang, *(names[c] for c in window))] += n
