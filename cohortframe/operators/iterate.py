@@ -70,13 +70,14 @@ def _inverse(info: np.ndarray) -> np.ndarray:
 
 def newton(
     df: DataFrame, by: list[str], columns: list[str], kernel: Kernel, start: dict, payload: Callable, size: int,
-    iterations: int = 60, tolerance: float = 1e-9, ridge: float = 0.0,
+    iterations: int = 60, tolerance: float = 1e-9, ridge: float = 0.0, sums_of: Callable | None = None,
 ) -> dict:
     """Scoring steps with step halving, all groups and models in the same passes.
 
     The kernel returns [log-likelihood, score (size), information (size x size)] at ``payload(theta, id)``. Result per
-    model: theta, loglik, covariance (inverse information), score, converged.
+    model: theta, loglik, covariance (inverse information), score, converged. ``sums_of`` replaces the pass over ``df``.
     """
+    sums_of = sums_of or (lambda live: grouped_sums(df, by, columns, kernel, live))
     state = {
         k: dict(theta=None, loglik=-np.inf, base=np.asarray(t, float), step=np.zeros(size), scale=1.0, done=False)
         for k, t in start.items()
@@ -85,7 +86,7 @@ def newton(
         live = {k: payload(s["base"] + s["scale"] * s["step"], k) for k, s in state.items() if not s["done"]}
         if not live:
             break
-        sums = grouped_sums(df, by, columns, kernel, live)
+        sums = sums_of(live)
         for k in live:
             s = state[k]
             if k not in sums:

@@ -100,7 +100,7 @@ def _(d: Data) -> DataFrame:
 @query("mdl_impute_age")
 def _(d: Data) -> DataFrame:
     rows = items_by_cohort(d).select("id", "cohort", "age_11", "maths_11", "verbal_11", "reading_11", "nonverbal_11")
-    return impute.impute_age(rows, "id", ["cohort"], ["age_11"], ["maths_11", "verbal_11", "reading_11", "nonverbal_11"], sweeps=2)
+    return impute.impute_age(rows, "id", ["cohort"], ["age_11"], ["maths_11", "verbal_11", "reading_11", "nonverbal_11"], sweeps=10)
 
 
 @query("mdl_impute_chained")
@@ -108,7 +108,7 @@ def _(d: Data) -> DataFrame:
     rows = d.study().select("id", "cohort", "male", "cog", "bmi_20", "bmi_40", "father_class", "mother_edu_level")
     return impute.chained_imputation(
         rows, "id", ["cohort", "male"], ["cog", "bmi_20", "bmi_40"],
-        {"mother_edu_level": [0, 1], "father_class": [1, 2, 3, 4, 5, 6]}, m=2, sweeps=2, trees=5,
+        {"mother_edu_level": [0, 1], "father_class": [1, 2, 3, 4, 5, 6]}, m=64, sweeps=5, trees=10,
     )
 
 
