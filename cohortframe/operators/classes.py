@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,15 +158,43 @@ def em_update(model: ClassModel, theta: np.ndarray, sums: np.ndarray) -> tuple[f
     return loglik, model.pack(shares, curves, rss / observations, d, sizes)
 
 
-def fit_classes(moments: DataFrame, models: dict, start: dict, cycles: int = 60, tolerance: float = 1e-8) -> dict:
-    """EM fits of many mixtures (numbers of classes, restarts) over the same persons, all in the same passes."""
+UNIT_PERSONS = 20_000  # so many persons' moments go to every task, which then fits whole models; more are summed by passes
 
-    def evaluate(thetas: dict) -> dict:
-        tasks = {((), k): (models[k], t) for k, t in thetas.items()}
-        sums = grouped_sums(moments, [], MOMENTS, mixture_kernel, tasks)
-        return {k: em_update(models[k], t, sums[((), k)]) for k, t in thetas.items()}
 
-    return squarem(evaluate, start, cycles, tolerance)
+def fit_classes(
+    moments: DataFrame, models: dict, start: dict, cycles: int | None = 60, tolerance: float = 1e-8, unit_persons: int = UNIT_PERSONS
+) -> dict:
+    """EM fits of many mixtures (numbers of classes, restarts) over the same persons.
+
+    Few persons are sent to the tasks, a task for each model; otherwise all models share each pass over the persons.
+    """
+    few = moments.select(*MOMENTS).limit(unit_persons + 1).toArrow()
+    if few.num_rows > unit_persons:
+
+        def evaluate(thetas: dict) -> dict:
+            tasks = {((), k): (models[k], t) for k, t in thetas.items()}
+            sums = grouped_sums(moments, [], MOMENTS, mixture_kernel, tasks)
+            return {k: em_update(models[k], t, sums[((), k)]) for k, t in thetas.items()}
+
+        return squarem(evaluate, start, cycles, tolerance)
+    values = np.column_stack([few[c].to_numpy().astype(float) for c in MOMENTS])
+    order = list(models)
+
+    def fit(batches):
+        for batch in batches:
+            for place in batch["place"]:
+                k = order[place]
+                steps = lambda thetas, m=models[k]: {0: em_update(m, thetas[0], mixture_kernel(values, (m, thetas[0])))}
+                state = squarem(steps, {0: start[k]}, cycles, tolerance)[0]
+                yield pd.DataFrame({
+                    "place": [place], "theta": [state["theta"].tolist()], "loglik": [float(state["loglik"])],
+                    "converged": [bool(state["converged"])], "path": [[float(v) for v in state["path"]]],
+                })
+
+    spark = moments.sparkSession
+    places = spark.createDataFrame([(k,) for k in range(len(order))], "place int").repartition(len(order), "place")
+    found = places.mapInPandas(fit, "place int, theta array<double>, loglik double, converged boolean, path array<double>").collect()
+    return {order[r.place]: dict(theta=np.array(r.theta), loglik=r.loglik, converged=r.converged, path=list(r.path)) for r in found}
 
 
 def one_class_start(moments: DataFrame, random: bool) -> tuple[ClassModel, np.ndarray]:
@@ -192,7 +221,7 @@ def spread_start(base: ClassModel, theta: np.ndarray, classes: int, scaled: bool
 
 
 def class_models(
-    moments: DataFrame, most: int = 5, random: bool = False, cycles: int = 60, tolerance: float = 1e-8
+    moments: DataFrame, most: int = 5, random: bool = False, cycles: int | None = 60, tolerance: float = 1e-8
 ) -> dict[int, dict]:
     """Mixtures with 1 .. ``most`` classes; the larger ones start from the one-class fit."""
     base, theta = one_class_start(moments, random)
@@ -207,7 +236,7 @@ def class_models(
 
 
 def random_restarts(
-    moments: DataFrame, classes: list[int], restarts: int = 100, short_cycles: int = 10, cycles: int = 60,
+    moments: DataFrame, classes: list[int], restarts: int = 100, short_cycles: int = 10, cycles: int | None = 60,
     scaled: bool = True, random: bool = True, seed: int = 1, tolerance: float = 1e-8,
 ) -> tuple[dict[int, dict], list[tuple[int, int, float]]]:
     """Short runs from many random starts, then the best start of each class count is run to convergence.

@@ -225,7 +225,9 @@ def _by_units(start: DataFrame, plan: _Plan) -> DataFrame:
         return out[schema.names]
 
     chains = start.withColumn("imp", F.explode(F.sequence(F.lit(1), F.lit(plan.m))))
-    return stage(chains.groupBy(*plan.by, "imp").applyInPandas(chain, schema))
+    # a chain is a long computation on few rows: spread by chains, not by bytes
+    units = min(len(plan.groups) * plan.m, 100_000)
+    return stage(chains.repartition(units, *plan.by, "imp").groupBy(*plan.by, "imp").applyInPandas(chain, schema))
 
 
 def _by_passes(start: DataFrame, plan: _Plan) -> DataFrame:

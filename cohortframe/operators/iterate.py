@@ -6,6 +6,7 @@ vectors. The driver only sees parameters, and loops over iterations, never over
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
@@ -115,12 +116,13 @@ def newton(
 
 
 def squarem(
-    evaluate: Callable[[dict], dict], start: dict, cycles: int = 60, tolerance: float = 1e-8
+    evaluate: Callable[[dict], dict], start: dict, cycles: int | None = 60, tolerance: float = 1e-8
 ) -> dict:
     """EM with squared extrapolation for many models at once.
 
     ``evaluate`` maps {model: theta} to {model: (log-likelihood at theta, EM update of theta)} in one pass. The
-    log-likelihood of kept points never falls: an extrapolation that lowers it is dropped.
+    log-likelihood of kept points never falls: an extrapolation that lowers it is dropped. Without a limit of ``cycles`` every
+    model goes on until its gain over a cycle is below the tolerance.
     """
     state = {k: dict(t0=np.asarray(t, float), done=False, path=[]) for k, t in start.items()}
 
@@ -129,7 +131,7 @@ def squarem(
         for k in models:
             state[k][f"ll_{name}"], state[k][name] = result[k]
 
-    for _ in range(cycles):
+    for _ in itertools.count() if cycles is None else range(cycles):
         live = [k for k, s in state.items() if not s["done"]]
         if not live:
             break

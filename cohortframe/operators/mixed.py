@@ -116,7 +116,7 @@ def lmm_kernel(n_slopes: int, n_shifts: int):
 
 
 def growth_curve(
-    moments: DataFrame, by: list[str], slopes: list[str], shifts: list[str], cycles: int = 60, tolerance: float = 1e-8
+    moments: DataFrame, by: list[str], slopes: list[str], shifts: list[str], cycles: int | None = 60, tolerance: float = 1e-8
 ) -> dict:
     """REML fits per group: beta, cov, D, sigma2, loglik, names. ``slopes`` interact with the curve, ``shifts`` do not.
 

@@ -1,4 +1,10 @@
-"""Weighted quantile regression by majorise-minimise steps: every quantile, group and replicate in the same passes."""
+"""Weighted quantile regression by an interior-point method: every quantile, group and replicate in the same passes.
+
+The dual problem keeps each row's multiplier between two bounds. With a logarithmic barrier of weight mu on the bounds, the
+multiplier has a closed form in the row's residual, so no state is kept per row: what a pass sums up are, per model, the
+gradient and the matrix of the barrier's normal equations at the present coefficients. Newton steps follow the path of
+centres while mu falls; the gap between the check loss and the dual value bounds the distance from the optimum.
+"""
 
 from __future__ import annotations
 
@@ -9,74 +15,181 @@ from pyspark.sql import functions as F
 
 from cohortframe.functions.draws import hash_uniform_np, poisson_weight_np
 from cohortframe.operators.clean_rows import numeric_rows
-from cohortframe.operators.iterate import grouped_sums
-from cohortframe.session import small_rows
+from cohortframe.operators.iterate import plain_key
+from cohortframe.session import small_rows, stage
+
+CELLS = 400_000  # rows x models that a task holds at once
+UNIT_ROWS = 200_000
+FALL, CENTRAL = 0.3, 2.0  # what mu falls by, and the Newton decrement below which it does
+FAR = 1e-14  # share of the start at which mu no longer falls
+
+
+def barrier_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, theta: np.ndarray, tau: np.ndarray, mu: np.ndarray) -> np.ndarray:
+    """Per model (columns of ``w``): gradient, upper triangle of the matrix, check loss, gap, sum of weights.
+
+    A row's multiplier is w tau - s = t - w (1 - tau), with s and t the distances from its bounds.
+    """
+    p = x.shape[1]
+    r = y[:, None] - x @ theta.T
+    some = w > 0
+    rw = r * w
+    d = np.sqrt(rw * rw + 4 * mu * mu)
+    plus = np.where(rw >= 0, rw + d, 4 * mu * mu / np.maximum(d - rw, 1e-300))
+    minus = np.where(rw <= 0, d - rw, 4 * mu * mu / np.maximum(d + rw, 1e-300))
+    s = 2 * mu * w / (2 * mu + plus)
+    t = 2 * mu * w / (2 * mu + minus)
+    curve = np.where(some, (s * t) ** 2 / np.maximum(mu * (s * s + t * t), 1e-300), 0.0)
+    pull = w * tau - s
+    loss = np.where(r >= 0, tau, tau - 1) * rw
+    gap = np.where(r >= 0, s * r, -t * r)
+    out = [x.T @ pull]
+    for i in range(p):
+        for j in range(i, p):
+            out.append(((x[:, i] * x[:, j]) @ curve)[None])
+    out += [loss.sum(0)[None], gap.sum(0)[None], w.sum(0)[None]]
+    return np.vstack(out).T
+
+
+def replicate_weights(keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson weights of rows (by key) in replicates (columns); 1 in replicate 0."""
+    u = hash_uniform_np(keys.astype(np.int64)[:, None], replicates[None, :].astype(np.int64), seed)
+    return np.where(replicates[None, :] == 0, 1.0, poisson_weight_np(u))
+
+
+class _Path:
+    """The models of one group on their way along the path: coefficients (of the raw columns), mu, loss and gap."""
+
+    def __init__(self, models: np.ndarray, starts: np.ndarray, means: np.ndarray, spreads: np.ndarray, spread: float, weight: float, tolerance: float):
+        p = 1 + len(means)
+        self.models, self.tolerance, self.floor = models, tolerance, 1e-3 * spread
+        self.theta = np.zeros((len(models), p))
+        self.theta[:, 0] = starts
+        self.first = 0.5 * spread * weight
+        self.mu = np.full(len(models), self.first)
+        self.best, self.loss = self.theta.copy(), np.full(len(models), np.nan)
+        self.gap, self.done, self.live = np.full(len(models), np.inf), np.zeros(len(models), bool), np.ones(len(models), bool)
+        self.turn = np.eye(p)  # standardised columns are turn x
+        self.turn[1:, 0] = -means / spreads
+        self.turn[np.arange(1, p), np.arange(1, p)] = 1 / spreads
 
+    def asked(self) -> np.ndarray:
+        return np.flatnonzero(self.live)
 
-def quantile_kernel(terms: int, seed: int):
-    """Sums for one step: check loss, matrix and right side of the majorising least squares."""
+    def sums(self, x: np.ndarray, y: np.ndarray, keys: np.ndarray, weight: np.ndarray, seed: int) -> np.ndarray:
+        """``barrier_sums`` of the live models over some rows of the group."""
+        todo = self.asked()
+        replicates, column = np.unique(self.models[todo, 1], return_inverse=True)
+        step, total = max(1, CELLS // len(todo)), 0.0
+        for start in range(0, len(y), step):
+            part = slice(start, start + step)
+            w = (replicate_weights(keys[part], replicates, seed) * weight[part, None])[:, column]
+            total = total + barrier_sums(x[part], y[part], w, self.theta[todo], self.models[todo, 0], self.mu[todo])
+        return total
 
-    def kernel(values: np.ndarray, payload) -> np.ndarray:
-        theta, tau, replicate, smooth = payload
-        key, w, y, x = values[:, 0], values[:, 1], values[:, 2], values[:, 3:]
-        if replicate:
-            w = w * poisson_weight_np(hash_uniform_np(key.astype(np.int64), np.int64(replicate), seed))
-        r = y - x @ theta
-        loss = np.sum(w * r * (tau - (r < 0)))
-        pull = w / (smooth + np.abs(r))
-        matrix = x.T @ (x * pull[:, None])
-        right = x.T @ (pull * y) + (2 * tau - 1) * (x.T @ w)
-        return np.concatenate([[loss], matrix.ravel(), right])
+    def move(self, value: np.ndarray) -> None:
+        """One Newton step of the live models; mu falls where the step was short."""
+        todo = self.asked()
+        p = self.theta.shape[1]
+        upper = np.triu_indices(p)
+        matrix = np.zeros((len(todo), p, p))
+        matrix[:, upper[0], upper[1]] = matrix[:, upper[1], upper[0]] = value[:, p : p + len(upper[0])]
+        gradient = value[:, :p] @ self.turn.T
+        now, apart, weights = value[:, -3], value[:, -2], value[:, -1]
+        inverse = np.linalg.pinv(self.turn @ matrix @ self.turn.T, rcond=1e-13, hermitian=True)
+        step = np.einsum("mij,mj->mi", inverse, gradient)
+        short = np.sqrt(np.maximum((step * gradient).sum(1) / self.mu[todo], 0.0))
+        step *= np.minimum(1.0, 2 / (1 + short))[:, None]
+        better = now < np.nan_to_num(self.loss[todo], nan=np.inf)
+        self.best[todo[better]], self.loss[todo[better]] = self.theta[todo[better]], now[better]
+        self.theta[todo] += step @ self.turn
+        central = short < CENTRAL
+        self.gap[todo] = np.where(central, np.minimum(self.gap[todo], apart), self.gap[todo])
+        close = central & (apart <= self.tolerance * (now + self.floor * weights)) & (weights > 0)
+        lost = (weights <= 0) | ~np.isfinite(now) | (self.mu[todo] < FAR * self.first)
+        self.loss[todo[weights <= 0]] = np.nan
+        self.done[todo[close]] = True
+        self.live[todo[close | lost]] = False
+        self.mu[todo[central & ~close]] *= FALL
 
-    return kernel
+    def table(self, names: list[str]) -> dict:
+        p, none = len(names), np.isnan(self.loss)
+        return {
+            "tau": np.repeat(self.models[:, 0], p), "replicate": np.repeat(self.models[:, 1].astype(np.int32), p), "term": names * len(self.models),
+            "beta": np.where(none[:, None], np.nan, self.best).ravel(), "loss": np.repeat(self.loss, p),
+            "gap": np.repeat(np.where(none, np.nan, self.gap), p), "converged": np.repeat(self.done, p),
+        }
+
+
+def _by_passes(rows: DataFrame, by: list[str], xs: list[str], paths: dict, seed: int) -> None:
+    """All groups step together, a pass over the rows a step."""
+    order = {key: g for g, key in enumerate(paths)}
+    keys = list(paths)
+    while any(path.live.any() for path in paths.values()):
+
+        def partial(batches):
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for key, part in batch.groupby(by, sort=False, dropna=False) if by else [((), batch)]:
+                    g = plain_key(key)
+                    if paths[g].live.any():
+                        sums = paths[g].sums(
+                            part[["__one", *xs]].to_numpy(float), part["__y"].to_numpy(float), part["__key"].to_numpy(), part["__w"].to_numpy(float), seed
+                        )
+                        totals[order[g]] = totals[order[g]] + sums if order[g] in totals else sums
+            yield pd.DataFrame({"g": list(totals), "sums": [v.tobytes() for v in totals.values()]})
+
+        def add(parts: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"g": parts["g"][:1], "sums": [sum(np.frombuffer(v) for v in parts["sums"]).tobytes()]})
+
+        summed = rows.mapInPandas(partial, "g int, sums binary").groupBy("g").applyInPandas(add, "g int, sums binary")
+        for r in summed.toLocalIterator():  # a row a group
+            path = paths[keys[r.g]]
+            path.move(np.frombuffer(r.sums).reshape(len(path.asked()), -1))
 
 
 def quantile_regression(
     df: DataFrame, y: str, xs: list[str], by: list[str], taus: list[float], weight: str | None = None,
-    replicates: int = 0, key: str | None = None, seed: int = 1, iterations: int = 80, tolerance: float = 1e-7,
+    replicates: int = 0, key: str | None = None, seed: int = 1, tolerance: float = 1e-9, unit_rows: int = UNIT_ROWS,
 ) -> DataFrame:
-    """Coefficients per group, tau, replicate (0 = the data) and term, with the check loss and a convergence flag.
+    """Coefficients per group, tau, replicate (0 = the data) and term, with the check loss and how far it may be from the least.
 
-    The smoothing constant shrinks geometrically with the steps; the best point seen is kept.
+    A model is done when that gap is below ``tolerance`` of its loss (and of the spread of y). ``converged`` is false only for
+    models without any weight, or where rounding keeps the gap from closing. Groups up to ``unit_rows`` rows are solved by one
+    task each; otherwise every step is a pass over all rows.
     """
     rows = numeric_rows(df, by, y, xs, key, weight)
-    terms, names = 1 + len(xs), ["(Intercept)", *xs]
-    quantiles = F.percentile_approx("__y", [float(t) for t in taus], 1000)
-    spread = F.stddev_samp("__y").alias("sd")
-    stats = small_rows(rows.groupBy(*by).agg(quantiles.alias("q"), spread), "model groups")
-    state = {}
-    for r in stats:
-        group = tuple(r[b] for b in by)
-        for i, tau in enumerate(taus):
-            for b in range(replicates + 1):
-                theta = np.zeros(terms)
-                theta[0] = r["q"][i]
-                state[(group, (tau, b))] = dict(theta=theta, best=theta, loss=np.inf, scale=r["sd"] or 1.0, done=False, still=0)
-    kernel, columns = quantile_kernel(terms, seed), ["__key", "__w", "__y", "__one", *xs]
-    for step in range(iterations):
-        live = {
-            k: (s["theta"], k[1][0], k[1][1], s["scale"] * max(0.3 * 0.7**step, 1e-8))
-            for k, s in state.items() if not s["done"]
-        }
-        if not live:
-            break
-        sums = grouped_sums(rows, by, columns, kernel, live)
-        for k in live:
-            s, value = state[k], sums[k]
-            gain = s["loss"] - value[0]
-            if gain > 0:
-                s["best"], s["loss"] = s["theta"], value[0]
-            s["still"] = s["still"] + 1 if gain < tolerance * (1 + abs(value[0])) else 0
-            s["done"] = s["still"] >= 3 and step > 25
-            matrix = value[1 : 1 + terms * terms].reshape(terms, terms)
-            s["theta"] = np.linalg.lstsq(matrix, value[1 + terms * terms :], rcond=None)[0]
-    out = [
-        [*group, float(tau), int(b), name, float(s["best"][i]), float(s["loss"]), bool(s["done"])]
-        for (group, (tau, b)), s in state.items() for i, name in enumerate(names)
-    ]
-    frame = pd.DataFrame(out, columns=[*by, "tau", "replicate", "term", "beta", "loss", "converged"])
-    result = df.sparkSession.createDataFrame(frame)
-    return result.withColumns({b: F.col(b).cast(df.schema[b].dataType) for b in by})
+    names = ["(Intercept)", *xs]
+    levels = F.percentile_approx("__y", [float(t) for t in taus], 1000)
+    scale = [F.stddev_pop("__y").alias("sd"), levels.alias("q"), F.avg("__w").alias("w"), F.count(F.lit(1)).alias("n")]
+    shape = [f(x).alias(f"{n}_{k}") for k, x in enumerate(xs) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    models = np.array([(t, b) for t in taus for b in range(replicates + 1)], float)
+    paths, largest = {}, 0
+    for r in small_rows(rows.groupBy(*by).agg(*scale, *shape), "model groups"):
+        means, spreads = np.array([[r[f"m_{k}"], r[f"s_{k}"] or 1.0] for k in range(len(xs))]).reshape(-1, 2).T
+        paths[tuple(r[b] for b in by)] = _Path(models, np.repeat(r["q"], replicates + 1), means, spreads, r["sd"] or 1.0, r["w"] or 1.0, tolerance)
+        largest = max(largest, r["n"])
+    fields = [f"{b} {df.schema[b].dataType.simpleString()}" for b in by]
+    schema = ", ".join([*fields, "tau double, replicate int, term string, beta double, loss double, gap double, converged boolean"])
+    if largest <= unit_rows:
+
+        def solve(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            path = paths[plain_key(group)]
+            x, target, keys, weights = part[["__one", *xs]].to_numpy(float), part["__y"].to_numpy(float), part["__key"].to_numpy(), part["__w"].to_numpy(float)
+            while path.live.any():
+                path.move(path.sums(x, target, keys, weights, seed))
+            out = pd.DataFrame(path.table(names))
+            for b, value in zip(by, group):
+                out[b] = value
+            return out[[*by, *list(out.columns[: -len(by)] if by else out.columns)]]
+
+        # a group is a long computation on few rows: spread by groups, not by bytes
+        spread = rows.repartition(2 * len(paths), *by) if by else rows
+        out = stage(spread.groupBy(*by).applyInPandas(solve, schema))
+    else:
+        _by_passes(rows, by, xs, paths, seed)
+        tables = [pd.DataFrame({**{b: [v] * (len(models) * len(names)) for b, v in zip(by, g)}, **path.table(names)}) for g, path in paths.items()]
+        out = df.sparkSession.createDataFrame(pd.concat(tables).astype({b: object for b in by}), schema)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("beta", "loss", "gap")})
 
 
 def bootstrap_summary(fits: DataFrame, by: list[str]) -> DataFrame:
@@ -85,3 +198,9 @@ def bootstrap_summary(fits: DataFrame, by: list[str]) -> DataFrame:
         F.percentile("beta", F.lit([0.5, 0.025, 0.975])).alias("q")
     )
     return boots.select(*by, "tau", "term", *[F.col("q")[i].alias(n) for i, n in enumerate(("beta", "lci", "uci"))])
+
+
+def summary_by_source(fits: DataFrame, by: list[str], imp: str = "imp") -> DataFrame:
+    """``bootstrap_summary`` of the observed rows (imputation 0: cc) and of all imputed copies together (mi)."""
+    source = F.when(F.col(imp) == 0, "cc").otherwise("mi").alias("type")
+    return bootstrap_summary(fits.select("*", source), [*by, "type"])

@@ -55,11 +55,13 @@ def _(d: Data) -> DataFrame:
 
 @query("mdl_quantile_reg")
 def _(d: Data) -> DataFrame:
+    """Estimate of every wave and quantile with its loss and gap, and median and limits of 200 replicates."""
     rows = ranked_long(d, "cog_std")
     fits = quantreg.quantile_regression(
-        rows, "bmi", ["cog_std", "male"], ["cohort", "age"], [k / 10 for k in range(1, 10)], "survey_weight", replicates=4, key="id", iterations=50
+        rows, "bmi", ["cog_std", "male"], ["cohort", "age"], [k / 10 for k in range(1, 10)], "survey_weight", replicates=200, key="id"
     )
-    return fits
+    limits = quantreg.bootstrap_summary(fits, ["cohort", "age"]).withColumnRenamed("beta", "median")
+    return fits.filter("replicate = 0").drop("replicate").join(limits, ["cohort", "age", "tau", "term"])
 
 
 @query("mdl_bccg_fit")
@@ -78,14 +80,14 @@ def _(d: Data) -> DataFrame:
 @query("mdl_latent_growth")
 def _(d: Data) -> DataFrame:
     moments = class_moments(d)
-    fits = classes.class_models(moments, 5, random=False, cycles=40, tolerance=1e-7)
+    fits = classes.class_models(moments, 5, random=False, cycles=None, tolerance=1e-9)
     return classes.fit_table(moments, fits, moments.count())
 
 
 @query("mdl_growth_mixture")
 def _(d: Data) -> DataFrame:
     moments = class_moments(d)
-    fits = classes.class_models(moments, 3, random=True, cycles=40, tolerance=1e-7)
+    fits = classes.class_models(moments, 5, random=True, cycles=None, tolerance=1e-9)
     table = classes.posterior_table(moments, ["cohort", "id"], fits)
     return table
 
@@ -93,7 +95,7 @@ def _(d: Data) -> DataFrame:
 @query("mdl_random_restarts")
 def _(d: Data) -> DataFrame:
     moments = class_moments(d)
-    fits, _ = classes.random_restarts(moments, [2, 3], restarts=20, short_cycles=4, cycles=40, tolerance=1e-7)
+    fits, _ = classes.random_restarts(moments, [2, 3, 4], restarts=100, short_cycles=10, cycles=None, tolerance=1e-9)
     return classes.fit_table(moments, fits, moments.count())
 
 
