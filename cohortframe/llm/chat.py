@@ -29,8 +29,9 @@ END = "</turn>"
 CONTROL = r'### (?:System|User|Assistant|Tool|role="(?:[^"\\\n]|\\.)*"):|</turn>'
 
 ROLES = {v: k for k, v in KNOWN.items()}
-ACTIVE = re.compile(rf"(\\*)({CONTROL})")
-ESCAPED = re.compile(rf"\\(\\*(?:{CONTROL}))")
+# a match begins where a run of backslashes begins, so a run is tried once, however long
+ACTIVE = re.compile(rf"(?<!\\)(\\*)({CONTROL})")
+ESCAPED = re.compile(rf"(?<!\\)\\(\\*(?:{CONTROL}))")
 LEARNED = "assistant"
 
 

@@ -289,13 +289,17 @@ def decided(docs: DataFrame, size: int) -> DataFrame:
     least = F.coalesce("_least", F.struct("doc_id", "text_hash"))
     return out.select(
         "doc_id", "text_hash", "n_shingles", least["doc_id"].alias("component_id"),
-        (least["doc_id"].eqNullSafe(F.col("doc_id")) & (least["text_hash"] == F.col("text_hash"))).alias("kept"),
+        least["doc_id"].eqNullSafe(F.col("doc_id")).alias("kept"),
+        (least["doc_id"].eqNullSafe(F.col("doc_id")) & (least["text_hash"] == F.col("text_hash"))).alias("stands"),
     )
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (whether the row stands for it)."""
-    return decided(docs, size).drop("text_hash")
+    """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (whether that is the row's own id).
+
+    Rows of different texts that share the least doc_id of their group are all kept here; ``deduplicated`` leaves one of them.
+    """
+    return decided(docs, size).drop("text_hash", "stands")
 
 
 def deduplicated(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -304,7 +308,7 @@ def deduplicated(docs: DataFrame, size: int = 5) -> DataFrame:
     Rows that repeat a document with its text are one; other texts under its doc_id are judged on their own. Rows with a
     null doc_id stay, once per text.
     """
-    gone = decided(docs, size).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    gone = decided(docs, size).where(~F.col("stands")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
     gone = written(gone, "gone")  # of known size, so Spark can choose how to join it
     whole = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.struct("*").alias("row"))
     left = whole.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_text") == F.col("_hash")), "left_anti")

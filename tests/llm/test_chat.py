@@ -44,3 +44,23 @@ def test_edges(spark):
     got = {r.conv_id: tuple(r[1:5]) for r in chat.read_conversations(chat.format_conversations(df)).collect()}
     assert got == brute(rows)
     assert chat.read_conversations(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_runs_of_backslashes_take_one_look():
+    """Patterns that begin at a run of backslashes find what ones that may begin anywhere find, and a megabyte takes no time."""
+    import random
+    import re
+    import time
+
+    active, escaped = re.compile(rf"(\\*)({chat.CONTROL})"), re.compile(rf"\\(\\*(?:{chat.CONTROL}))")
+    draw = random.Random(3)
+    parts = ["\\", "\\\\", "</turn>", "### User:", '### role="a\\"b":', "x", "\n", '"', "### role="]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randrange(12)))
+        assert chat.escaped(text) == active.sub(r"\\\1\2", text) and chat.unescaped(text) == escaped.sub(r"\1", text)
+        assert [m.span() for m in chat.ACTIVE.finditer(text)] == [m.span() for m in active.finditer(text)]
+    start = time.time()
+    for text in ("\\" * 1_000_000, "\\" * 1_000_000 + "</turn>", ("\\" * 1000 + "x") * 1000):
+        body, begin, end = chat.render("user", text)
+        assert [t for _, t, _, _ in chat.parsed(body)] == [text]
+    assert time.time() - start < 20

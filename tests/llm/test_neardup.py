@@ -125,3 +125,13 @@ def test_exact_bound():
     part = pa.table({"shingles": pa.array([np.arange(a, b, dtype=np.uint64).tobytes() for a, b in ((0, 9), (1, 10), (0, 8), (2, 10))])})
     linked = neardup.near(part)
     assert linked(0).tolist() == [True, True, True, False] and linked(2).tolist() == [True, False, True, False]
+
+
+def test_kept_is_the_rows_own_component(spark):
+    """Two linked texts under the least doc_id are both kept by the query's rule; one of them stands for the group."""
+    words = [f"w{i}" for i in range(200)]
+    a, b, c = " ".join(words), " ".join(words[:199]), " ".join(words[1:])
+    docs = spark.createDataFrame([(5, a), (5, b), (7, c), (9, "on its own here")], "doc_id long, text string")
+    rows = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 2).collect())
+    assert rows == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 9, True)]
+    assert sorted(r.doc_id for r in neardup.deduplicated(docs, 2).collect()) == [5, 9]
