@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortframe.llm.common import WORD, ranked, table, written
 from cohortframe.llm.registry import query
@@ -19,12 +20,28 @@ from cohortframe.llm.registry import query
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2, "mix-1"
 HEX = 13  # hexadecimal digits of a draw: 52 bits
+RUN = 10_000  # equal rows are counted out in arrays of at most so many numbers
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def digest(text: Column) -> Column:
+    return F.coalesce(F.md5(text), F.lit("-"))
+
+
+def numbered(sized: DataFrame) -> DataFrame:
+    """``sized`` (doc_id, source, size, digest) with ``k``, a row's number among its equals.
+
+    Equal rows are counted with partial sums and counted out again, so that no task holds a group.
+    """
+    groups = sized.groupBy("doc_id", "source", "size", "digest").agg(F.count(F.lit(1)).alias("_n"))
+    runs = groups.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / RUN))))
+    last = F.least(F.col("_n"), (F.col("_run") + 1) * RUN) - 1
+    return runs.withColumn("k", F.explode(F.sequence(F.col("_run") * RUN, last))).drop("_n", "_run")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """Per source of ``sizes`` (source, size): source_size, weight, target.
 
@@ -55,26 +72,38 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def rates(sized: DataFrame, seed: str = SEED, **rule) -> DataFrame:
-    """``sized`` (doc_id, source, size, and others) with source_size, target and copies (how often the mix takes a row)."""
+    """``sized`` (doc_id, source, size, digest, k, and others) with source_size, target and copies (how often a row is taken)."""
     targets = source_targets(sized.select("source", "size"), **rule).withColumnRenamed("source", "_source")
     # Spark measures the written table and broadcasts it while it is small; beyond, the skew of a source is split by AQE
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))), 1, HEX), 16, 10).cast("double")
+    name = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "digest", F.col("k").cast("string"))
+    drawn = F.conv(F.substring(F.md5(name), 1, HEX), 16, 10).cast("double")
     extra = (drawn / float(16**HEX) < rate - F.floor(rate)).cast("long")
     return joined.withColumn("copies", F.floor(rate) + extra)
 
 
 def mix(docs: DataFrame, seed: str = SEED, **rule) -> DataFrame:
-    """The mixed documents, each as often as it is taken, with the columns of ``docs``."""
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    """The mixed documents, each as often as it is taken, with the columns of ``docs``.
+
+    Whole rows are shuffled to number equal ones only if there are any.
+    """
+    equal = ["doc_id", "source", "digest"]
+    sized = docs.select(
+        "doc_id", "source", words(F.col("text")).alias("size"), digest(F.col("text")).alias("digest"), F.struct("*").alias("row")
+    )
+    if sized.groupBy(*equal).count().where("count > 1").isEmpty():
+        sized = sized.withColumn("k", F.lit(0))
+    else:
+        sized = sized.withColumn("k", F.row_number().over(Window.partitionBy(*equal).orderBy("size")) - 1)
     taken = rates(sized, seed, **rule).where("copies > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 OP7_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
+         coalesce(md5(text), '-') AS digest, row_number() OVER (PARTITION BY doc_id, source, md5(text)) - 1 AS k FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
@@ -91,7 +120,7 @@ WITH sized AS (
   FROM sources, level
 ), rated AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-         CAST(CAST('0x' || substr(md5('{SEED}|' || doc_id), 1, {HEX}) AS BIGINT) AS DOUBLE) / {float(16**HEX)} AS drawn
+         CAST(CAST('0x' || substr(md5(concat_ws('|', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), '-'), digest, k)), 1, {HEX}) AS BIGINT) AS DOUBLE) / {float(16**HEX)} AS drawn
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 )
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
@@ -103,6 +132,7 @@ FROM rated
 
 @query("op7_mixing", OP7_SQL)
 def op7(spark, folder):
-    sized = table(spark, folder, "documents").select("doc_id", "source", words(F.col("text")).alias("size"))
+    text = F.col("text")
+    sized = table(spark, folder, "documents").select("doc_id", "source", words(text).alias("size"), digest(text).alias("digest"))
     taken = F.col("copies") * F.col("size")
-    return rates(sized).select("doc_id", "size", "source_size", "target", "copies", taken.alias("taken"))
+    return rates(numbered(sized)).select("doc_id", "size", "source_size", "target", "copies", taken.alias("taken"))

@@ -7,8 +7,10 @@ ids at the fewest bits that hold the vocabulary. Blocks begin at known bytes, so
 a time and read from any place (``unpack``) without the rest. Spark's writer commits the parts, so a lost executor only
 repeats its tasks.
 
-Edge cases: a null or empty text gives the end id alone; equal or null document ids are kept as separate documents, in
-the order of their text's hash, null first; a segment always holds whole documents; an empty table gives no segments.
+Edge cases: a null or empty text gives the end id alone; a text that holds an added token of the vocabulary (such as an
+end mark) gets its id there, as the library does at its defaults; equal or null document ids are kept as separate
+documents, in the order of their text's hash, null first; a segment always holds whole documents, a very long one too; an
+empty table gives no segments; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,11 +104,20 @@ class Segment:
         return self.unpack(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def added_tokens(tokenizer) -> tuple[list[str], bool, re.Pattern]:
+    """Contents of the added tokens, whether some match more than their content, and a pattern that splits at them."""
+    found = tokenizer.get_added_tokens_decoder().values()
+    contents = sorted((x.content for x in found), key=len, reverse=True)
+    whole = any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in found)
+    return contents, whole, re.compile("(" + "|".join(map(re.escape, contents)) + ")")
+
+
 def encoder(vocabulary: str):
     """A function from texts to the little-endian 32-bit ids of each, by the tokenizers library.
 
     The vocabulary never joins text over a space that lies between two other characters, nor a letter with a mark behind
-    it, so a text may be encoded in such chunks; a chunk met before is not encoded again. What was met is kept by the worker process, up to
+    it, so a text may be encoded in such chunks; a chunk met before is not encoded again. Added tokens of the vocabulary
+    are cut out before, as the library does; a text with one that also takes up its surroundings is encoded whole. What was met is kept by the worker process, up to
     ``MEMO_WORDS`` chunks, then it starts anew; this changes speed only.
     """
     from tokenizers import Tokenizer
@@ -114,10 +125,9 @@ def encoder(vocabulary: str):
     state = process_state("encoder")
     if state.get("vocabulary") != hash(vocabulary):
         tokenizer = Tokenizer.from_str(vocabulary)
-        tokenizer.encode_special_tokens = True
-        state.update(vocabulary=hash(vocabulary), tokenizer=tokenizer, memo={})
+        state.update(vocabulary=hash(vocabulary), tokenizer=tokenizer, memo={}, added=added_tokens(tokenizer))
         state["newline"] = tokenizer.encode(NEWLINE, add_special_tokens=False).ids
-    tokenizer, newline = state["tokenizer"], state["newline"]
+    tokenizer, newline, (added, whole, marks) = state["tokenizer"], state["newline"], state["added"]
 
     def learn(memo: dict[str, bytes], new: list[str]) -> None:
         """Chunks that begin with a space are encoded as one text with line ends between them."""
@@ -136,8 +146,15 @@ def encoder(vocabulary: str):
         for word, found in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             memo[word] = np.array(found.ids, "<u4").tobytes()
 
+    def chunked(text: str) -> list[str]:
+        if not any(x in text for x in added):
+            return CHUNK.findall(text)
+        if whole:
+            return [text]
+        return [x for i, part in enumerate(marks.split(text)) for x in ([part] if i % 2 else CHUNK.findall(part))]
+
     def encode(texts: list[str]) -> list[bytes]:
-        chunks = [CHUNK.findall(x) for x in texts]
+        chunks = [chunked(x) for x in texts]
         memo = state["memo"]
         if len(memo) > MEMO_WORDS:
             memo = state["memo"] = {}

@@ -30,28 +30,44 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(levels(sizes))
 
 
+def sized_rows(docs):
+    text = F.col("text")
+    return mixing.numbered(docs.select("doc_id", "source", mixing.words(text).alias("size"), mixing.digest(text).alias("digest")))
+
+
 def test_mix_takes_what_rates_say(documents):
-    sized = documents.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
-    want = {r.doc_id: r.copies for r in mixing.rates(sized).collect()}
+    want = {r.doc_id: r.copies for r in mixing.rates(sized_rows(documents)).collect()}
     mixed = mixing.mix(documents)
     assert mixed.columns == documents.columns
     got = Counter(r.doc_id for r in mixed.select("doc_id").collect())
     assert got == {k: n for k, n in want.items() if n} and max(want.values()) <= 2
 
 
-def test_taken_words_come_near_the_targets(spark):
-    docs = spark.range(60_000).selectExpr("id AS doc_id", "CAST(id % 5 AS STRING) AS source", "1 + id % 7 AS size")
-    taken, target = defaultdict(int), {}
-    for r in mixing.rates(docs).collect():
+@pytest.mark.parametrize("doc_id", ["id", "CAST(NULL AS LONG)", "id % 3"])
+@pytest.mark.parametrize("tail", ["", "id"])
+def test_taken_words_come_near_the_targets(spark, doc_id, tail):
+    text = f"concat(repeat('a ', CAST(1 + id % 7 AS INT)), '{tail}')" if not tail else "concat(repeat('a ', CAST(id % 7 AS INT)), id)"
+    docs = spark.range(60_000).selectExpr(f"{doc_id} AS doc_id", "CAST(id % 5 AS STRING) AS source", f"{text} AS text")
+    taken, target, rows = defaultdict(int), {}, mixing.rates(sized_rows(docs)).collect()
+    assert len(rows) == 60_000
+    for r in rows:
         taken[r.source] += r.copies * r.size
         target[r.source] = r.target
     assert all(abs(taken[s] - target[s]) < 0.03 * target[s] for s in target)
 
 
+def test_equal_rows_are_numbered_alike_in_both_forms(spark):
+    docs = spark.createDataFrame([(7, "a", "x y", i) for i in range(25)] + [(None, "a", "x y z", 0), (None, "b", None, 0)], "doc_id long, source string, text string, n long")
+    want = Counter()
+    for r in mixing.rates(sized_rows(docs.unionAll(docs))).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mixing.mix(docs.unionAll(docs)).collect())
+    assert got == +want and 0 < want[7, "a", 2] < 100
+
+
 def test_edges(edge, empty):
     mixed = mixing.mix(edge)
     assert mixed.columns == edge.columns
-    sized = edge.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
-    assert {r.doc_id: r.size for r in mixing.rates(sized).collect()} == {None: 5, 1: 0, 2: 0, 3: 0, 4: 30_000, 5: 7, 6: 7, 7: 1, 8: 8, 9: 5}
+    assert {r.doc_id: r.size for r in mixing.rates(sized_rows(edge)).collect()} == {None: 5, 1: 0, 2: 0, 3: 0, 4: 30_000, 5: 7, 6: 7, 7: 1, 8: 8, 9: 5}
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(edge).collect()))
     assert mixing.mix(empty).count() == 0

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import Counter
 
@@ -40,8 +41,9 @@ def test_stages(spark, folder, stages):
     leaked = {r.doc_id for r in single.collect() if any(b in r.text for b in bench)}
     gone = set(ids(single)) - set(ids(clean))
     assert leaked and leaked <= gone and gone == {r.doc_id for r in decontaminate.leaks(single, spark.read.parquet(f"{folder}/benchmark.parquet")).collect()}
-    sizes = {r.doc_id: (len(re.findall(WORD, r.text)), r.source) for r in clean.collect()}
-    takes = {r.doc_id: r.copies for r in mixing.rates(spark.createDataFrame([(i, s, n) for i, (n, s) in sizes.items()], "doc_id long, source string, size long")).collect()}
+    sized = [(r.doc_id, r.source, len(re.findall(WORD, r.text)), hashlib.md5(r.text.encode()).hexdigest(), 0) for r in clean.collect()]
+    schema = "doc_id long, source string, size long, digest string, k long"
+    takes = {r.doc_id: r.copies for r in mixing.rates(spark.createDataFrame(sized, schema)).collect()}
     assert Counter(ids(mixed)) == {i: n for i, n in takes.items() if n}
     rows = sorted((r.doc_id, r.text) for r in mixed.collect())
     assert sorted(map(tuple, tokens.drop("bits").collect())) == expected(rows)
