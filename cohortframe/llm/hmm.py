@@ -1,19 +1,23 @@
 """Language-model scoring with a hidden Markov model.
 
-Every token belongs to a class: the ``TOP`` most frequent training words and the end of a text are classes of their own,
-all other words share one by their ending. A hidden state emits a class and the class emits the word with its exact
-smoothed share of the class's training tokens, so all words of the corpus are in the model while the state tables keep a
-fixed size. Baum-Welch runs over all training texts: each pass, tasks add up expected counts for their blocks (in
-stretches of ``STRETCH`` tokens; a stretch within a text has a start distribution of its own), Spark adds the tasks' sums,
-and the driver re-estimates the tables. A text's score is its exact likelihood by the scaled forward recursion over the
-whole text.
+Training has two steps. In the first, every token belongs to a class: the ``TOP`` most frequent training words and the
+end of a text are classes of their own, all other words share one by their ending. Baum-Welch passes over all training
+texts go on until the gain in log-likelihood is below ``TOLERANCE`` of it: tasks add up expected counts for their blocks
+(in stretches of ``STRETCH`` tokens; a stretch within a text has a start distribution of its own), Spark adds the tasks'
+sums, and the driver re-estimates the tables. In the second, every word seen at least ``OWN`` times leaves its class: one
+more pass gives expected counts per word and state, a Spark table with a row per word that grows with the corpus, and each
+word gets emissions of its own, (counts + its class's share of states) / total. Words seen less often, and unseen ones,
+share what is left of their class by their smoothed counts. A text's score is its exact likelihood under the final model
+by the scaled forward recursion over the whole text.
 
 Texts are turned into blocks once: a block holds its distinct words and a stream of numbers into them. Word counts come
-from the blocks' counts, summed per word by a shuffle that holds a word once per block, and go back to the blocks.
+from the blocks' counts, summed per word by a shuffle that holds a word once per block, and go back to the blocks. The
+words' expected counts go the same way: summed per word by its 64-bit hash, joined to the blocks that hold the word. Words
+with rows in nearly every block are among the ``TOP``, whose sums stay with the driver's tables of bounded size.
 
 Edge cases: a null or empty text has the end token alone; a null doc_id is learned from; without training texts every
-count is 0 and the tables stay even; repeated rows are scored each; an empty table gives no rows; other columns are
-ignored.
+count is 0 and the tables stay even; words of equal count at the border of ``TOP`` are taken in byte order; a very long
+text is a block of its own; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from pyspark.sql.window import Window
 from cohortframe.llm.common import blobs, dropped, pieces, table, written
 from cohortframe.llm.registry import query
 
-STATES, PASSES, TOP, TAILS = 8, 5, 4096, 512
+STATES, TOP, TAILS, OWN = 8, 4096, 512, 2
+TOLERANCE = 0.002  # least gain of a pass, as a part of the log-likelihood
 BLOCK_BYTES, STRETCH, SEED = 6_000_000, 256, 3
 CLASSES = TOP + TAILS + 1
 END_CLASS = CLASSES - 1
@@ -92,7 +97,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 def word_counts(blocks: DataFrame) -> DataFrame:
     """A row per word of each block: block, at (its number there), word, c (its training count in the corpus), tail (its
-    class unless it is frequent), first (one row of every word)."""
+    class unless it is frequent), first (one row of every word), key (its hash)."""
 
     def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +116,7 @@ def word_counts(blocks: DataFrame) -> DataFrame:
     return written(
         rows.select(
             "block", "at", "word", F.sum("n").over(same).alias("c"), tail.alias("tail"),
-            (F.row_number().over(same.orderBy("block")) == 1).alias("first"),
+            (F.row_number().over(same.orderBy("block")) == 1).alias("first"), F.xxhash64("word").alias("key"),
         ),
         "words",
     )
@@ -132,42 +137,52 @@ class Counts:
         least = sizes[min(int(np.searchsorted(held, TOP)), len(sizes) - 1)]["size"] if sizes else 0
         top = once.where((F.col("c") > 0) & (size >= least)).orderBy(F.desc("c"), "word").limit(TOP).select("word", "c").collect()
         self.top = {bytes(r.word): k for k, r in enumerate(top)}
-        sums = once.groupBy("tail").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect()
-        self.tail_tokens, self.tail_words = np.zeros(TAILS), np.zeros(TAILS)
+        rare = (F.col("c") > 0) & (F.col("c") < OWN)
+        sums = once.groupBy("tail").agg(
+            F.sum("c").alias("n"), F.count_if(F.col("c") >= OWN).alias("own"), F.count_if(rare).alias("v"), F.sum(F.when(rare, F.col("c"))).alias("rest")
+        ).collect()
+        # training tokens of a tail class, its words with emissions of their own, its other words and their tokens
+        self.tail_tokens, self.own_words, self.rest_words, self.rest_tokens = np.zeros((4, TAILS))
         for r in sums:
-            self.tail_tokens[r["tail"]], self.tail_words[r["tail"]] = r.n, r.v
+            k = r["tail"]
+            self.tail_tokens[k], self.own_words[k], self.rest_words[k], self.rest_tokens[k] = r.n, r.own, r.v, r.rest or 0
         self.mass = np.zeros(CLASSES)  # training tokens per class
         for r in top:
             k = zlib.crc32(bytes(r.word)[-2:]) % TAILS
             self.tail_tokens[k] -= r.c
-            self.tail_words[k] -= 1
+            if r.c >= OWN:
+                self.own_words[k] -= 1
+            else:
+                self.rest_words[k] -= 1
+                self.rest_tokens[k] -= r.c
             self.mass[self.top[bytes(r.word)]] = r.c
         self.mass[TOP : TOP + TAILS] = self.tail_tokens
         self.mass[END_CLASS] = training_texts
 
 
 ENCODED = (
-    "doc_ids array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, within array<double>, stream binary"
+    "block long, doc_ids array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, stream binary, "
+    "classes binary, counts binary, own binary, keys binary"
 )
 
 
 def encoded(blocks: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
-    """Blocks with classes (16 bits) for words, and per document the sums that need no model."""
-    known = {k: v for k, v in vars(counts).items() if k != "top"}
+    """Blocks with a stream of word numbers (the number behind the last word is the end of a text); per word its class, its
+    count up to ``OWN``, and the numbers and keys of those with emissions of their own; per document the sums that need no
+    model."""
+    tokens, distinct, texts = counts.tokens, counts.distinct, counts.texts
     top = blocks.sparkSession.createDataFrame([(bytearray(w), k) for w, k in counts.top.items()], "word binary, top int")
-    classed = words.join(F.broadcast(top), "word", "left").select("block", "at", "c", "tail", F.coalesce("top", F.lit(-1)).alias("top"))
+    classed = words.join(F.broadcast(top), "word", "left").select("block", "at", "c", "tail", "key", F.coalesce("top", F.lit(-1)).alias("top"))
 
     def encode(key, left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(right["at"].combine_chunks()), kind="stable")
-        c, tail, top = (np.asarray(right[x].combine_chunks())[order] for x in ("c", "tail", "top"))
-        c = c.astype(np.float64)
-        classes = np.where(top >= 0, top, TOP + tail).astype(np.uint16)
-        share = (c + 1) / (known["tail_tokens"][tail] + known["tail_words"][tail] + 1)
-        within = np.where(top >= 0, 0.0, np.log10(share))
-        base = np.log10(c + 1)
-        out = {x: [] for x in ("doc_ids", "held", "n_tokens", "n_known", "base", "within", "stream")}
-        rest = np.log10(known["tokens"] + known["distinct"] + 1)
-        for ids, held, lengths, stream in zip(*(left[x].to_pylist() for x in ("doc_ids", "held", "lengths", "stream"))):
+        c, tail, top, keys = (np.asarray(right[x].combine_chunks())[order] for x in ("c", "tail", "top", "key"))
+        classes = np.append(np.where(top >= 0, top, TOP + tail), END_CLASS).astype(np.uint16)
+        own = np.flatnonzero((top < 0) & (c >= OWN)).astype("<u4")
+        base, rest = np.log10(c.astype(np.float64) + 1), np.log10(tokens + distinct + 1)
+        names = [x.split()[0] for x in ENCODED.split(", ")]
+        out = {x: [] for x in names}
+        for block, ids, held, lengths, stream in zip(*(left[x].to_pylist() for x in ("block", "doc_ids", "held", "lengths", "stream"))):
             numbers = np.frombuffer(pa.decompress(stream, 4 * sum(lengths), codec="zstd", asbytes=True), "<u4")
             ends = np.cumsum(lengths)
             starts = ends - lengths
@@ -176,25 +191,35 @@ def encoded(blocks: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
                 running = np.concatenate([[0.0], np.cumsum(values)])
                 return running[ends] - running[starts]
 
-            flat = np.empty(len(numbers) + len(ids), np.uint16)
+            flat = np.empty(len(numbers) + len(ids), "<u4")
             places = ends + np.arange(len(ids))
-            flat[places] = END_CLASS
-            flat[np.delete(np.arange(len(flat)), places)] = classes[numbers]
+            flat[places] = len(c)
+            flat[np.delete(np.arange(len(flat)), places)] = numbers
             n = np.array(lengths, np.int64) + 1
-            out["doc_ids"].append(ids)
-            out["held"].append(held)
-            out["n_tokens"].append(n)
-            out["n_known"].append(summed(c[numbers] > 0).round().astype(np.int64) + (known["texts"] > 0))
-            out["base"].append(summed(base[numbers]) + np.log10(known["texts"] + 1) - n * rest)
-            out["within"].append(summed(within[numbers]))
-            out["stream"].append(flat.tobytes())
-        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary())
+            row = (
+                block, ids, held, n, summed(c[numbers] > 0).round().astype(np.int64) + (texts > 0),
+                summed(base[numbers]) + np.log10(texts + 1) - n * rest, pa.compress(flat.tobytes(), codec="zstd", asbytes=True),
+                classes.tobytes(), np.minimum(c, OWN).astype(np.uint8).tobytes(), own.tobytes(), keys[own].astype("<i8").tobytes(),
+            )
+            for name, value in zip(names, row):
+                out[name].append(value)
+        lists = (pa.bool_(), pa.int64(), pa.int64(), pa.float64())
+        kinds = (pa.int64(), pa.list_(pa.int64()), *map(pa.list_, lists), *[pa.binary()] * 5)
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
 
     sides = blocks.select("block", "doc_ids", "held", "lengths", "stream").groupBy("block"), classed.groupBy("block")
     return written(sides[0].cogroup(sides[1]).applyInArrow(encode, ENCODED), "encoded")
 
 
+def rows_of(batch: pa.RecordBatch, arrays: dict[str, str], lists: tuple[str, ...]) -> Iterator[list]:
+    """Rows of encoded blocks: the stream, ``arrays`` (name: type) and ``lists``."""
+    for stream, *values in zip(*(batch[x].to_pylist() for x in ("stream", *arrays, *lists))):
+        found = [np.frombuffer(x, t) for x, t in zip(values, arrays.values())]
+        sizes = np.array(values[len(arrays)], np.int64)  # the first list holds the texts' tokens
+        numbers = np.frombuffer(pa.decompress(stream, 4 * int(sizes.sum()), codec="zstd", asbytes=True), "<u4")
+        yield [numbers, *found, sizes, *values[len(arrays) + 1 :]]
+
+
 class Tables:
     """Start (of texts, of later stretches), transition and emission probabilities."""
 
@@ -223,7 +248,12 @@ def by_time(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, list[int
 
 
 def expected_counts(stream: np.ndarray, first: np.ndarray, length: np.ndarray, opening: np.ndarray, tables: Tables):
-    """Baum-Welch sums over sequences of ``stream``: start, transition and emission counts.
+    """Baum-Welch sums over sequences of ``stream``: start, transition and emission counts."""
+    return baum_welch(stream, first, length, opening, tables)[:3]
+
+
+def baum_welch(stream: np.ndarray, first: np.ndarray, length: np.ndarray, opening: np.ndarray, tables: Tables):
+    """Start, transition and emission counts over sequences of ``stream``, and their log-likelihood.
 
     ``opening`` is 0 for the first stretch of a text and 1 for later ones. All sequences advance together.
     """
@@ -254,11 +284,11 @@ def expected_counts(stream: np.ndarray, first: np.ndarray, length: np.ndarray, o
         behind = emit[seen[at : at + n]] * back / scale[at : at + n, None]
         forward[at : at + n] *= back
     moves *= move
-    emitted = np.stack([np.bincount(seen, weights=forward[:, k], minlength=CLASSES) for k in range(STATES)], 1)
+    emitted = np.stack([np.bincount(seen, weights=forward[:, k], minlength=len(emit)) for k in range(STATES)], 1)
     starts = np.zeros((2, STATES))
     if len(active):
         np.add.at(starts, opening, forward[: active[0]])
-    return starts, moves, emitted
+    return starts, moves, emitted, float(np.log(scale, dtype=np.float64).sum())
 
 
 def stretches(lengths: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,31 +302,134 @@ def stretches(lengths: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.
     return first, length, (number > 0).astype(np.int64)
 
 
-def learn_pass(texts: DataFrame, tables: Tables) -> None:
-    """One Baum-Welch pass over all training texts."""
+NAMES = [f"s{k}" for k in range(STATES)]
+SUMS = 2 + STATES + CLASSES  # places of the tables' sums: starts, transitions, classes; then one for the log-likelihood
+WORD_SUM = -1  # place of a word's sums
+
+
+def pass_sums(texts: DataFrame, tables: Tables, by_word: bool) -> DataFrame:
+    """Sums of one Baum-Welch pass over all training texts: at, key, a column per state.
+
+    Rows with ``at`` from 0 are places of the tables. ``by_word`` adds the counts of words with emissions of their own as
+    rows with their key, in steps of 1/1024, and their totals per tail class behind the other places.
+    """
     sent = vars(tables)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables.__new__(Tables)
         tables.__dict__ = sent
-        sums = None
+        sums = np.zeros((SUMS + 1 + TAILS, STATES))
+
+        def row(at: np.ndarray, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(values[:, k], pa.float64()) for k in range(STATES)]
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(keys, pa.int64()), *columns], ["at", "key", *NAMES])
+
+        for batch in batches:
+            arrays = {"classes": "<u2", "own": "<u4", "keys": "<i8"}
+            for numbers, classes, own, keys, lengths, held in rows_of(batch, arrays, ("n_tokens", "held")):
+                first, length, opening = stretches(lengths, ~np.array(held, bool))
+                if not by_word:
+                    starts, moves, emitted, likelihood = baum_welch(classes[numbers], first, length, opening, tables)
+                else:
+                    local = Tables.__new__(Tables)
+                    local.__dict__ = sent | {"emit": tables.emit[classes]}
+                    starts, moves, words, likelihood = baum_welch(numbers, first, length, opening, local)
+                    found = np.round(words[own] * 1024) / 1024
+                    words[own] = 0
+                    emitted = np.stack([np.bincount(classes, words[:, k], CLASSES) for k in range(STATES)], 1)
+                    tails = classes[own] - TOP
+                    sums[SUMS + 1 :] += np.stack([np.bincount(tails, found[:, k], TAILS) for k in range(STATES)], 1)
+                    some = np.flatnonzero(found.any(1))
+                    yield row(np.full(len(some), WORD_SUM), keys[some], found[some])
+                sums[:SUMS] += np.concatenate([starts, moves, emitted])
+                sums[SUMS, 0] += likelihood
+        kept = np.flatnonzero(sums.any(1))
+        yield row(kept, np.zeros(len(kept), np.int64), sums[kept])
+
+    schema = "at int, key long, " + ", ".join(f"{x} double" for x in NAMES)
+    read = texts.select("n_tokens", "held", "stream", "classes", "own", "keys")
+    return read.mapInArrow(count, schema).groupBy("at", "key").agg(*[F.sum(x).alias(x) for x in NAMES])
+
+
+def table_sums(sums: DataFrame) -> np.ndarray:
+    """The sums of the tables, a few thousand rows at any size of the corpus."""
+    out = np.zeros((SUMS + 1 + TAILS, STATES))
+    for row in sums.where("at >= 0").select("at", *NAMES).collect():
+        out[row[0]] = row[1:]
+    return out
+
+
+def learn_classes(texts: DataFrame, tables: Tables, tolerance: float = TOLERANCE) -> list[float]:
+    """Baum-Welch on classes until the gain is below the tolerance; the log-likelihoods before each pass."""
+    path: list[float] = []
+    while len(path) < 2 or path[-1] - path[-2] >= tolerance * abs(path[-1]):
+        sums = table_sums(pass_sums(texts, tables, by_word=False))
+        tables.learn(sums[:2], sums[2 : 2 + STATES], sums[2 + STATES : SUMS])
+        path.append(float(sums[SUMS, 0]))
+    return path
+
+
+class WordModel:
+    """The final tables: of classes without the words that left them, and what a word's own emissions are made of."""
+
+    def __init__(self, counts: Counts, tables: Tables, sums: np.ndarray | None):
+        self.start, self.move = tables.start, tables.move
+        rest = counts.rest_tokens + counts.rest_words + 1
+        self.share = (np.arange(OWN)[:, None] + 1) / rest  # of a tail class, by a word's count
+        weight = tables.emit[TOP : TOP + TAILS] * self.weights(tables, sums)
+        self.lean = weight / weight.sum(1, keepdims=True)  # states of a tail class
+        if sums is None:
+            self.total, self.emit = np.ones(STATES), tables.emit
+            return
+        mass = counts.mass.copy()
+        mass[TOP : TOP + TAILS] = counts.rest_tokens
+        left = sums[2 + STATES : SUMS] + 10 * ((mass + 1) / (mass.sum() + len(mass)))[:, None]
+        own = sums[SUMS + 1 :] + counts.own_words[:, None] * self.lean
+        self.total = left.sum(0) + own.sum(0)
+        self.emit = left / self.total
+        tables.learn(sums[:2], sums[2 : 2 + STATES], sums[2 + STATES : SUMS])
+        self.start, self.move = tables.start, tables.move
+
+    @staticmethod
+    def weights(tables: Tables, sums: np.ndarray | None) -> np.ndarray:
+        """How often each state is taken."""
+        return np.ones(STATES) if sums is None else sums[2 + STATES : SUMS].sum(0) + sums[SUMS + 1 :].sum(0) + 1
+
+
+def emissions(model: dict, classes: np.ndarray, counts: np.ndarray, own: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Emissions of a block's words (the last is the end): ``found`` holds the expected counts of the words ``own``."""
+    out = model["emit"][classes]
+    tails = classes.astype(np.int64) - TOP
+    rest = np.flatnonzero((tails[:-1] >= 0))
+    out[rest] *= model["share"][np.minimum(counts[rest], OWN - 1), tails[rest], None]
+    out[own] = (found + model["lean"][tails[own]]) / model["total"]
+    return out
+
+
+def with_word_sums(texts: DataFrame, sums: DataFrame) -> DataFrame:
+    """Encoded blocks with ``sums``: the expected counts of their words with emissions of their own, in the order of ``own``."""
+
+    def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for held, lengths, stream in zip(*(batch[x].to_pylist() for x in ("held", "n_tokens", "stream"))):
-                first, length, opening = stretches(np.array(lengths, np.int64), ~np.array(held, bool))
-                found = expected_counts(np.frombuffer(stream, np.uint16), first, length, opening, tables)
-                sums = found if sums is None else tuple(a + b for a, b in zip(sums, found))
-        if sums is not None:
-            rows = np.concatenate(sums)
-            keep = np.flatnonzero(rows.any(1))
-            columns = [pa.array(rows[keep, k]) for k in range(STATES)]
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), *columns], ["at", *(f"s{k}" for k in range(STATES))])
-
-    names = [f"s{k}" for k in range(STATES)]
-    found = texts.select("held", "n_tokens", "stream").mapInArrow(count, "at int, " + ", ".join(f"{x} double" for x in names))
-    sums = np.zeros((2 + STATES + CLASSES, STATES))
-    for row in found.groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).collect():  # a row per class and state
-        sums[row[0]] = row[1:]
-    tables.learn(sums[:2], sums[2 : 2 + STATES], sums[2 + STATES :])
+            for block, keys in zip(batch["block"].to_pylist(), batch["keys"].to_pylist()):
+                found = np.frombuffer(keys, "<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), block), pa.int64()), pa.array(np.arange(len(found)), pa.int32()), pa.array(found)], ["block", "place", "key"]
+                )
+
+    def attach(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        (keys,) = left["keys"].to_pylist()
+        found = np.zeros((len(keys) // 8, STATES), "<f4")
+        places = np.asarray(right["place"].combine_chunks()) if right.num_rows else np.zeros(0, np.int32)
+        for k, name in enumerate(NAMES):
+            found[places, k] = np.asarray(right[name].combine_chunks()) if right.num_rows else 0
+        return left.drop_columns(["keys"]).append_column("sums", pa.array([found.tobytes()], pa.binary()))
+
+    index = texts.select("block", "keys").mapInArrow(list_keys, "block long, place int, key long")
+    values = sums.where(F.col("at") == WORD_SUM).select("key", *[F.col(x).cast("float").alias(x) for x in NAMES])
+    placed = index.join(values, "key").drop("key")
+    schema = ENCODED.replace("keys binary", "sums binary")
+    return texts.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(attach, schema)
 
 
 def log_likelihoods(stream: np.ndarray, lengths: np.ndarray, tables: Tables) -> np.ndarray:
@@ -315,17 +448,18 @@ def log_likelihoods(stream: np.ndarray, lengths: np.ndarray, tables: Tables) ->
     return back
 
 
-def scores(texts: DataFrame, tables: Tables) -> DataFrame:
-    sent = vars(tables)
+def scores(texts: DataFrame, model: WordModel) -> DataFrame:
+    """Scores of the texts of blocks ``with_word_sums``."""
+    sent = vars(model)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Tables.__new__(Tables)
-        tables.__dict__ = sent
+        arrays = {"classes": "<u2", "counts": "u1", "own": "<u4", "sums": "<f4"}
         for batch in batches:
-            names = ("doc_ids", "held", "n_tokens", "n_known", "base", "within", "stream")
-            for ids, held, n, known, base, within, stream in zip(*(batch[x].to_pylist() for x in names)):
-                found = log_likelihoods(np.frombuffer(stream, np.uint16), np.array(n, np.int64), tables) + np.array(within)
+            for numbers, classes, counts, own, sums, n, ids, held, known, base in rows_of(batch, arrays, ("n_tokens", "doc_ids", "held", "n_known", "base")):
+                tables = Tables.__new__(Tables)
+                tables.__dict__ = {**sent, "emit": emissions(sent, classes, counts, own, sums.reshape(-1, STATES).astype(np.float64))}
+                found = log_likelihoods(numbers, n, tables)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
                      pa.array(base, pa.float64()), pa.array(found)],
@@ -345,9 +479,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
     for used in (blocks, words):
         dropped(used)
     tables = Tables(counts.mass)
-    for _ in range(PASSES if training else 0):
-        learn_pass(texts, tables)
-    return scores(texts, tables).withColumn("train_tokens", F.lit(counts.tokens).cast("long"))
+    if training:
+        learn_classes(texts, tables)
+    sums = written(pass_sums(texts, tables, by_word=True), "word-sums")
+    model = WordModel(counts, tables, table_sums(sums) if training else None)
+    return scores(with_word_sums(texts, sums), model).withColumn("train_tokens", F.lit(counts.tokens).cast("long"))
 
 
 @query("op4_hmm_scoring")

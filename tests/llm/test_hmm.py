@@ -55,6 +55,24 @@ def test_expected_counts_by_brute_force(monkeypatch):
         assert np.allclose(a, b, atol=1e-4)
 
 
+def test_emissions_of_a_state_sum_to_one():
+    """Over the words of a small corpus, the end and one unseen word per tail class."""
+    draw = np.random.default_rng(2)
+    counts = hmm.Counts.__new__(hmm.Counts)
+    counts.rest_words, counts.own_words = draw.integers(0, 4, hmm.TAILS).astype(float), draw.integers(0, 3, hmm.TAILS).astype(float)
+    counts.rest_tokens, counts.mass = counts.rest_words.copy(), draw.integers(0, 9, hmm.CLASSES).astype(float)
+    sums = draw.random((hmm.SUMS + 1 + hmm.TAILS, hmm.STATES))
+    tails = np.repeat(np.arange(hmm.TAILS), counts.own_words.astype(int))
+    found = draw.random((len(tails), hmm.STATES))
+    sums[hmm.SUMS + 1 :] = [found[tails == k].sum(0) for k in range(hmm.TAILS)]
+    model = vars(hmm.WordModel(counts, tables(), sums))
+    rest = np.repeat(np.arange(hmm.TAILS), counts.rest_words.astype(int))
+    classes = np.concatenate([np.arange(hmm.TOP), hmm.TOP + tails, hmm.TOP + rest, hmm.TOP + np.arange(hmm.TAILS), [hmm.END_CLASS]])
+    seen = np.concatenate([np.full(hmm.TOP + len(tails), 2), np.ones(len(rest), int), np.zeros(hmm.TAILS, int)])
+    out = hmm.emissions(model, classes, seen, hmm.TOP + np.arange(len(tails)), found)
+    assert np.allclose(out.sum(0), 1)
+
+
 def test_stretches_cover_texts():
     first, length, opening = hmm.stretches(np.array([1, hmm.STRETCH, 2 * hmm.STRETCH + 3]), np.array([True, False, True]))
     assert length.tolist() == [1, hmm.STRETCH, hmm.STRETCH, 3] and opening.tolist() == [0, 0, 1, 1]
@@ -80,6 +98,25 @@ def test_counts_and_a_better_model(documents):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) and all(r.score < 0 for r in rows)
 
 
+def test_likelihood_never_falls_and_words_get_their_sums(documents, monkeypatch):
+    monkeypatch.setattr(hmm, "TOP", 64)
+    monkeypatch.setattr(hmm, "CLASSES", 64 + hmm.TAILS + 1)
+    monkeypatch.setattr(hmm, "END_CLASS", 64 + hmm.TAILS)
+    monkeypatch.setattr(hmm, "SUMS", 2 + hmm.STATES + hmm.CLASSES)
+    blocks = hmm.blocks_of(documents)
+    words = hmm.word_counts(blocks)
+    counts = hmm.Counts(words, sum(not hmm.held_out(r.doc_id) for r in documents.collect()))
+    texts, tables = hmm.encoded(blocks, words, counts), hmm.Tables(counts.mass)
+    path = hmm.learn_classes(texts, tables)
+    assert len(path) >= 2 and all(b > a for a, b in zip(path, path[1:])) and path[-1] - path[-2] < hmm.TOLERANCE * abs(path[-1])
+    sums = hmm.pass_sums(texts, tables, by_word=True)
+    got = {r.key: sum(r[n] for n in hmm.NAMES) for r in sums.where(f"at = {hmm.WORD_SUM}").collect()}
+    want = {r.key: r.c for r in words.where(f"first AND c >= {hmm.OWN}").collect() if bytes(r.word) not in counts.top}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.02 * want[k] + 0.05 for k in want) and len(want) > 500
+    block = hmm.with_word_sums(texts, sums).first()
+    assert len(block.sums) == 4 * hmm.STATES * (len(block.own) // 4)
+
+
 def test_edges(edge, empty, spark):
     key = lambda r: (str(r[0]), r[2])
     assert sorted(told(hmm.score_texts(edge)), key=key) == sorted(counts([(r.doc_id, r.text) for r in edge.collect()]), key=key)
