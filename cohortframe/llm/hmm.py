@@ -116,7 +116,7 @@ def word_counts(blocks: DataFrame) -> DataFrame:
     return written(
         rows.select(
             "block", "at", "word", F.sum("n").over(same).alias("c"), tail.alias("tail"),
-            (F.row_number().over(same.orderBy("block")) == 1).alias("first"), F.xxhash64("word").alias("key"),
+            (F.min("block").over(same) == F.col("block")).alias("first"), F.xxhash64("word").alias("key"),
         ),
         "words",
     )
@@ -172,13 +172,17 @@ def encoded(blocks: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
     model."""
     tokens, distinct, texts = counts.tokens, counts.distinct, counts.texts
     top = blocks.sparkSession.createDataFrame([(bytearray(w), k) for w, k in counts.top.items()], "word binary, top int")
-    classed = words.join(F.broadcast(top), "word", "left").select("block", "at", "c", "tail", "key", F.coalesce("top", F.lit(-1)).alias("top"))
+    # keys of other words are of no use and would be most of the shuffled bytes
+    own_key = F.when(F.col("top").isNull() & (F.col("c") >= OWN), F.col("key")).otherwise(F.lit(0).cast("long"))
+    classed = words.join(F.broadcast(top), "word", "left").select(
+        "block", "at", "c", F.coalesce("top", F.col("tail") + TOP).cast("short").alias("class"), own_key.alias("key")
+    )
 
     def encode(key, left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(right["at"].combine_chunks()), kind="stable")
-        c, tail, top, keys = (np.asarray(right[x].combine_chunks())[order] for x in ("c", "tail", "top", "key"))
-        classes = np.append(np.where(top >= 0, top, TOP + tail), END_CLASS).astype(np.uint16)
-        own = np.flatnonzero((top < 0) & (c >= OWN)).astype("<u4")
+        c, classes, keys = (np.asarray(right[x].combine_chunks())[order] for x in ("c", "class", "key"))
+        own = np.flatnonzero((classes >= TOP) & (c >= OWN)).astype("<u4")
+        classes = np.append(classes, END_CLASS).astype(np.uint16)
         base, rest = np.log10(c.astype(np.float64) + 1), np.log10(tokens + distinct + 1)
         names = [x.split()[0] for x in ENCODED.split(", ")]
         out = {x: [] for x in names}
