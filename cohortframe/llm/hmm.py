@@ -10,8 +10,9 @@ word gets emissions of its own, (counts + its class's share of states) / total.
 share what is left of their class by their smoothed counts. A text's score is its exact likelihood under the final model
 by the scaled forward recursion over the whole text.
 
-Texts are turned into blocks once: a block holds its distinct words and a stream of numbers into them. Word counts come
-from the blocks' counts, summed per word by a shuffle that holds a word once per block, and go back to the blocks. The
+Texts are turned into blocks of ``BLOCK_BYTES`` once: a block holds its distinct words and a stream of numbers into them.
+Word counts come from the blocks' counts, summed per word by a shuffle that holds a word once per block (a word in every
+block is one of the hundred thousands a block has, so no key holds a large share), and go back to the blocks. The
 words' expected counts go the same way: summed per word by its 64-bit hash, joined to the blocks that hold the word. Words
 with rows in nearly every block are among the ``TOP``, whose sums stay with the driver's tables of bounded size.
 
@@ -36,7 +37,8 @@ from cohortframe.llm.registry import query
 
 STATES, TOP, TAILS, OWN = 8, 4096, 512, 2
 TOLERANCE = 0.002  # least gain of a pass, as a part of the log-likelihood
-BLOCK_BYTES, STRETCH, SEED = 6_000_000, 256, 3
+BLOCK_BYTES, STRETCH, SEED = 24_000_000, 256, 3
+SLICE = 1 << 19  # tokens that one step of a pass holds the states of
 CLASSES = TOP + TAILS + 1
 END_CLASS = CLASSES - 1
 
@@ -259,6 +261,20 @@ def expected_counts(stream: np.ndarray, first: np.ndarray, length: np.ndarray, o
 def baum_welch(stream: np.ndarray, first: np.ndarray, length: np.ndarray, opening: np.ndarray, tables: Tables):
     """Start, transition and emission counts over sequences of ``stream``, and their log-likelihood.
 
+    Some ``SLICE`` tokens at a time, so that a large block needs no more memory than a small one.
+    """
+    starts, moves, emitted, likelihood = np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((len(tables.emit), STATES)), 0.0
+    cut = np.flatnonzero(np.diff(np.cumsum(length) // SLICE)) + 1
+    for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(length)]):
+        part = slice(begin, end)
+        found = sequence_sums(stream, first[part], length[part], opening[part], tables, emitted)
+        starts, moves, likelihood = starts + found[0], moves + found[1], likelihood + found[2]
+    return starts, moves, emitted, likelihood
+
+
+def sequence_sums(stream: np.ndarray, first: np.ndarray, length: np.ndarray, opening: np.ndarray, tables: Tables, emitted: np.ndarray):
+    """Start and transition counts and the log-likelihood of some sequences; emission counts are added to ``emitted``.
+
     ``opening`` is 0 for the first stretch of a text and 1 for later ones. All sequences advance together.
     """
     order, active = by_time(first, length)
@@ -288,11 +304,12 @@ def baum_welch(stream: np.ndarray, first: np.ndarray, length: np.ndarray, openin
         behind = emit[seen[at : at + n]] * back / scale[at : at + n, None]
         forward[at : at + n] *= back
     moves *= move
-    emitted = np.stack([np.bincount(seen, weights=forward[:, k], minlength=len(emit)) for k in range(STATES)], 1)
+    for k in range(STATES):
+        emitted[:, k] += np.bincount(seen, weights=forward[:, k], minlength=len(emit))
     starts = np.zeros((2, STATES))
     if len(active):
         np.add.at(starts, opening, forward[: active[0]])
-    return starts, moves, emitted, float(np.log(scale, dtype=np.float64).sum())
+    return starts, moves, float(np.log(scale, dtype=np.float64).sum())
 
 
 def stretches(lengths: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
