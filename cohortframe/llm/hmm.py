@@ -264,45 +264,50 @@ def baum_welch(stream: np.ndarray, first: np.ndarray, length: np.ndarray, openin
     Some ``SLICE`` tokens at a time, so that a large block needs no more memory than a small one.
     """
     starts, moves, emitted, likelihood = np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((len(tables.emit), STATES)), 0.0
+    narrow = tuple(x.astype(np.float32, copy=False) for x in (tables.emit, tables.move, tables.start))
     cut = np.flatnonzero(np.diff(np.cumsum(length) // SLICE)) + 1
     for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(length)]):
         part = slice(begin, end)
-        found = sequence_sums(stream, first[part], length[part], opening[part], tables, emitted)
+        found = sequence_sums(stream, first[part], length[part], opening[part], *narrow, emitted)
         starts, moves, likelihood = starts + found[0], moves + found[1], likelihood + found[2]
     return starts, moves, emitted, likelihood
 
 
-def sequence_sums(stream: np.ndarray, first: np.ndarray, length: np.ndarray, opening: np.ndarray, tables: Tables, emitted: np.ndarray):
+def sequence_sums(
+    stream: np.ndarray, first: np.ndarray, length: np.ndarray, opening: np.ndarray,
+    emit: np.ndarray, move: np.ndarray, start: np.ndarray, emitted: np.ndarray,
+):
     """Start and transition counts and the log-likelihood of some sequences; emission counts are added to ``emitted``.
 
     ``opening`` is 0 for the first stretch of a text and 1 for later ones. All sequences advance together.
     """
     order, active = by_time(first, length)
     first, opening = first[order], opening[order]
-    emit, move, start = (x.astype(np.float32) for x in (tables.emit, tables.move, tables.start))
     offsets = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
     seen = np.empty(offsets[-1], np.int64)
     forward = np.empty((offsets[-1], STATES), np.float32)
-    scale = np.empty(offsets[-1], np.float32)
+    scale = np.empty((offsets[-1], 1), np.float32)
+    every = np.ones((STATES, 1), np.float32)  # a product with it is a faster sum over states
     state = None
     for t, n in enumerate(active):
-        symbols = stream[first[:n] + t].astype(np.int64)
-        now = (start[opening] if t == 0 else state[:n] @ move) * emit[symbols]
-        total = now.sum(1)
-        state = now / total[:, None]
-        at = offsets[t]
-        seen[at : at + n], forward[at : at + n], scale[at : at + n] = symbols, state, total
+        now = slice(offsets[t], offsets[t + 1])
+        seen[now] = stream[first[:n] + t]
+        state = np.multiply(start[opening] if t == 0 else state[:n] @ move, emit.take(seen[now], 0), out=forward[now])
+        np.matmul(state, every, out=scale[now])
+        state /= scale[now]
     moves = np.zeros((STATES, STATES))
     behind = np.ones((0, STATES), np.float32)
     for t in range(len(active) - 1, -1, -1):
-        n, at = active[t], offsets[t]
-        back = np.ones((n, STATES), np.float32)
-        m = len(behind)
+        n, at, m = active[t], offsets[t], len(behind)
+        # what follows a token: nothing where its sequence ends
+        factor = emit.take(seen[at : at + n], 0)
+        factor /= scale[at : at + n]
         if m:
             moves += forward[at : at + m].T @ behind
-            back[:m] = behind @ move.T
-        behind = emit[seen[at : at + n]] * back / scale[at : at + n, None]
-        forward[at : at + n] *= back
+            back = behind @ move.T
+            factor[:m] *= back
+            forward[at : at + m] *= back
+        behind = factor
     moves *= move
     for k in range(STATES):
         emitted[:, k] += np.bincount(seen, weights=forward[:, k], minlength=len(emit))
@@ -353,7 +358,7 @@ def pass_sums(texts: DataFrame, tables: Tables, by_word: bool) -> DataFrame:
                     starts, moves, emitted, likelihood = baum_welch(classes[numbers], first, length, opening, tables)
                 else:
                     local = Tables.__new__(Tables)
-                    local.__dict__ = sent | {"emit": tables.emit[classes]}
+                    local.__dict__ = sent | {"emit": tables.emit.astype(np.float32)[classes]}
                     starts, moves, words, likelihood = baum_welch(numbers, first, length, opening, local)
                     found = np.round(words[own] * 1024) / 1024
                     words[own] = 0
@@ -427,41 +432,15 @@ def emissions(model: dict, classes: np.ndarray, counts: np.ndarray, own: np.ndar
     return out
 
 
-def with_word_sums(texts: DataFrame, sums: DataFrame) -> DataFrame:
-    """Encoded blocks with ``sums``: the expected counts of their words with emissions of their own, in the order of ``own``."""
-
-    def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, keys in zip(batch["block"].to_pylist(), batch["keys"].to_pylist()):
-                found = np.frombuffer(keys, "<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), block), pa.int64()), pa.array(np.arange(len(found)), pa.int32()), pa.array(found)], ["block", "place", "key"]
-                )
-
-    def attach(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        (keys,) = left["keys"].to_pylist()
-        found = np.zeros((len(keys) // 8, STATES), "<f4")
-        places = np.asarray(right["place"].combine_chunks()) if right.num_rows else np.zeros(0, np.int32)
-        for k, name in enumerate(NAMES):
-            found[places, k] = np.asarray(right[name].combine_chunks()) if right.num_rows else 0
-        return left.drop_columns(["keys"]).append_column("sums", pa.array([found.tobytes()], pa.binary()))
-
-    index = texts.select("block", "keys").mapInArrow(list_keys, "block long, place int, key long")
-    values = sums.where(F.col("at") == WORD_SUM).select("key", *[F.col(x).cast("float").alias(x) for x in NAMES])
-    placed = index.join(values, "key").drop("key")
-    schema = ENCODED.replace("keys binary", "sums binary")
-    return texts.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(attach, schema)
-
-
 def log_likelihoods(stream: np.ndarray, lengths: np.ndarray, tables: Tables) -> np.ndarray:
     """Log10 probability of every text's classes by the scaled forward recursion."""
     first = np.cumsum(lengths) - lengths
     order, active = by_time(first, lengths)
-    first, out = first[order], np.zeros(len(lengths))
+    first, out, every = first[order], np.zeros(len(lengths)), np.ones(STATES)
     state = None
     for t, n in enumerate(active):
         now = (np.repeat(tables.start[:1], n, 0) if t == 0 else state[:n] @ tables.move) * tables.emit[stream[first[:n] + t]]
-        total = now.sum(1)
+        total = now @ every
         out[:n] += np.log10(total)
         state = now / total[:, None]
     back = np.empty(len(lengths))
@@ -469,25 +448,47 @@ def log_likelihoods(stream: np.ndarray, lengths: np.ndarray, tables: Tables) ->
     return back
 
 
-def scores(texts: DataFrame, model: WordModel) -> DataFrame:
-    """Scores of the texts of blocks ``with_word_sums``."""
-    sent = vars(model)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def placed_sums(texts: DataFrame, sums: DataFrame) -> DataFrame:
+    """Expected counts of words with emissions of their own, for every block that holds them: block, place (in the block's
+    ``own``), a column per state."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = {"classes": "<u2", "counts": "u1", "own": "<u4", "sums": "<f4"}
+    def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for numbers, classes, counts, own, sums, n, ids, held, known, base in rows_of(batch, arrays, ("n_tokens", "doc_ids", "held", "n_known", "base")):
-                tables = Tables.__new__(Tables)
-                tables.__dict__ = {**sent, "emit": emissions(sent, classes, counts, own, sums.reshape(-1, STATES).astype(np.float64))}
-                found = log_likelihoods(numbers, n, tables)
+            for block, keys in zip(batch["block"].to_pylist(), batch["keys"].to_pylist()):
+                found = np.frombuffer(keys, "<i8")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                     pa.array(base, pa.float64()), pa.array(found)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                    [pa.array(np.full(len(found), block), pa.int64()), pa.array(np.arange(len(found)), pa.int32()), pa.array(found)], ["block", "place", "key"]
                 )
 
-    return texts.mapInArrow(score, schema)
+    index = texts.select("block", "keys").mapInArrow(list_keys, "block long, place int, key long")
+    values = sums.where(F.col("at") == WORD_SUM).select("key", *[F.col(x).cast("float").alias(x) for x in NAMES])
+    return index.join(values, "key").drop("key")
+
+
+def scores(texts: DataFrame, sums: DataFrame, model: WordModel) -> DataFrame:
+    """Scores of the texts of encoded blocks. ``sums`` holds the expected counts of words with emissions of their own; a
+    block meets those of its words and is scored in the same step."""
+    sent = vars(model)
+
+    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        (block,) = left.to_batches()
+        arrays = {"classes": "<u2", "counts": "u1", "own": "<u4"}
+        ((numbers, classes, counts, own, n, ids, held, known, base),) = rows_of(block, arrays, ("n_tokens", "doc_ids", "held", "n_known", "base"))
+        found = np.zeros((len(own), STATES), np.float32)
+        if right.num_rows:
+            places = np.asarray(right["place"].combine_chunks())
+            for k, name in enumerate(NAMES):
+                found[places, k] = np.asarray(right[name].combine_chunks())
+        tables = Tables.__new__(Tables)
+        tables.__dict__ = {**sent, "emit": emissions(sent, classes, counts, own, found)}
+        values = (ids, held, n, known, base, log_likelihoods(numbers, n, tables))
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+        return pa.table({x: pa.array(v, k) for x, v, k in zip(names, values, kinds)})
+
+    sides = texts.drop("keys").groupBy("block"), placed_sums(texts, sums).groupBy("block")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    return sides[0].cogroup(sides[1]).applyInArrow(score, schema)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -504,7 +505,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         learn_classes(texts, tables)
     sums = written(pass_sums(texts, tables, by_word=True), "word-sums")
     model = WordModel(counts, tables, table_sums(sums) if training else None)
-    return scores(with_word_sums(texts, sums), model).withColumn("train_tokens", F.lit(counts.tokens).cast("long"))
+    return scores(texts, sums, model).withColumn("train_tokens", F.lit(counts.tokens).cast("long"))
 
 
 @query("op4_hmm_scoring")

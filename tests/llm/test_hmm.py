@@ -113,8 +113,11 @@ def test_likelihood_never_falls_and_words_get_their_sums(documents, monkeypatch)
     got = {r.key: sum(r[n] for n in hmm.NAMES) for r in sums.where(f"at = {hmm.WORD_SUM}").collect()}
     want = {r.key: r.c for r in words.where(f"first AND c >= {hmm.OWN}").collect() if bytes(r.word) not in counts.top}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.02 * want[k] + 0.05 for k in want) and len(want) > 500
-    block = hmm.with_word_sums(texts, sums).first()
-    assert len(block.sums) == 4 * hmm.STATES * (len(block.own) // 4)
+    block = texts.first()
+    keys = np.frombuffer(block["keys"], "<i8")
+    placed = hmm.placed_sums(texts, sums).where(f"block = {block.block}").collect()
+    assert sorted(r.place for r in placed) == list(range(len(block.own) // 4))
+    assert all(math.isclose(sum(r[n] for n in hmm.NAMES), got[keys[r.place]], rel_tol=1e-5) for r in placed)
 
 
 def test_edges(edge, empty, spark):
@@ -130,3 +133,17 @@ def test_texts_without_words(spark):
     rows = [(1, ""), (2, None), (3, " ")]
     found = hmm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(told(found)) == sorted(counts(rows))
+
+
+def test_slices_of_a_block_add_up(monkeypatch):
+    model, draw = tables(6), np.random.default_rng(1)
+    lengths = draw.integers(1, 700, 40)
+    stream = draw.integers(0, hmm.CLASSES, lengths.sum()).astype(np.uint16)
+    found = hmm.stretches(lengths, draw.random(40) < 0.8)
+    whole = hmm.baum_welch(stream, *found, model)
+    monkeypatch.setattr(hmm, "SLICE", 1000)
+    for a, b in zip(whole, hmm.baum_welch(stream, *found, model)):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-4)
+    assert math.isclose(whole[2].sum(), found[1].sum(), rel_tol=1e-5)
+    none = hmm.baum_welch(stream, *hmm.stretches(lengths, np.zeros(40, bool)), model)
+    assert none[3] == 0 and not none[2].any()
