@@ -16,10 +16,11 @@ from cohortframe.operators import joins as j
 from cohortframe.operators import reshape as rs
 from cohortframe.operators import samples as sm
 from cohortframe.operators import select as sel
+from cohortframe.operators.inequality import inequality_join
 from cohortframe.plans.fixtures import ADULT_BMI, AGES, BMI, Data, q6, r6
 from cohortframe.plans.registry import query
 from cohortframe.operators.posteriors import class_order
-from cohortframe.session import bounded, shared_folder
+from cohortframe.session import bounded, shared_folder, stage
 from cohortframe.sources.tables import cohort_union, decode_labels, decode_labels_from, load_table, save_table
 
 # Label text of the social class codes (fixed values).
@@ -694,14 +695,33 @@ def _(d: Data) -> DataFrame:
     """SELECT x.id, x.age AS age_x, y.age AS age_y, round(y.bmi - x.bmi, 6) AS change FROM waves x JOIN waves y ON x.id = y.id AND x.age < y.age""",
 )
 def _(d: Data) -> DataFrame:
-    # a member has at most one value per known age, so the pairs come from the wide row without a self join
-    pairs = [
-        F.struct(F.lit(a).alias("age_x"), F.lit(b).alias("age_y"),
-                 F.round(F.col(f"bmi_{b}") - F.col(f"bmi_{a}"), 6).alias("change"))
-        for i, a in enumerate(AGES) for b in AGES[i + 1:]
-    ]
-    long = d.wave_columns().select("id", F.explode(F.array(*pairs)).alias("p")).select("id", "p.*")
-    return long.filter(F.col("change").isNotNull())
+    waves = d.waves().select("id", "age", "bmi")
+    pairs = inequality_join(waves, waves, "age", "<", "age", ["id"])
+    change = F.round(F.col("bmi_right") - F.col("bmi"), 6).alias("change")
+    return pairs.select("id", F.col("age").alias("age_x"), F.col("age_right").alias("age_y"), change)
+
+
+_CELLS = "WITH a AS (SELECT cohort, age, count(*) AS n FROM bmi_long GROUP BY 1, 2) "
+
+
+def cell_counts(d: Data) -> DataFrame:
+    return stage(d.bmi_long().groupBy("cohort", "age").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("join_theta_differ", _CELLS + "SELECT x.cohort, x.age AS age_x, y.age AS age_y, y.n - x.n AS more FROM a x JOIN a y ON x.cohort = y.cohort AND x.age != y.age")
+def _(d: Data) -> DataFrame:
+    cells = cell_counts(d)
+    pairs = inequality_join(cells, cells, "age", "!=", "age", ["cohort"])
+    return pairs.select("cohort", F.col("age").alias("age_x"), F.col("age_right").alias("age_y"), (F.col("n_right") - F.col("n")).alias("more"))
+
+
+@query("join_theta_open", _CELLS + "SELECT x.cohort AS cohort_x, x.age AS age_x, y.cohort AS cohort_y, y.age AS age_y FROM a x JOIN a y ON x.n < y.n")
+def _(d: Data) -> DataFrame:
+    cells = cell_counts(d)
+    pairs = inequality_join(cells, cells, "n", "<", "n", chunk_rows=8)
+    return pairs.select(
+        F.col("cohort").alias("cohort_x"), F.col("age").alias("age_x"), F.col("cohort_right").alias("cohort_y"), F.col("age_right").alias("age_y")
+    )
 
 
 @query(
