@@ -297,7 +297,7 @@ def _(d: Data) -> DataFrame:
     )
 
 
-_POINTS = 64
+_POINTS = 512
 
 
 @query(
