@@ -61,7 +61,7 @@ def value_ranks(df: DataFrame, x: str, by: list[str], cells: int = CELLS) -> tup
     counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("__ties"))
     points = cells * cells
     grid = [i / points for i in range(points)]
-    shape, _ = bounded(
+    shape, small = bounded(
         counts.groupBy(*by).agg(
             F.percentile_approx(x, grid, 10 * points).alias("__points"),
             F.max("__ties").alias("__top"),
@@ -77,7 +77,7 @@ def value_ranks(df: DataFrame, x: str, by: list[str], cells: int = CELLS) -> tup
         first = lookup.first()["__splits"] or []
         celled = counts.withColumn("__splits", F.lit(first) if first else F.array(F.array(F.lit(0.0))))
     else:
-        celled = join_null_safe(counts, F.broadcast(lookup), by, "inner")
+        celled = join_null_safe(counts, F.broadcast(lookup) if small else lookup, by, "inner")
     celled = celled.withColumn("__cell", _cell(F.col(x), F.col("__splits"))).drop("__splits")
     totals = celled.groupBy(*by, "__cell").agg(
         F.sum("__ties").alias("__rows"), F.count(F.lit(1)).alias("__values")
