@@ -5,7 +5,8 @@ size, and every document is emitted floor(rate) times plus one more copy with pr
 draw is a hash of seed and doc_id, so reruns and retried tasks agree.
 
 Edge cases: a null text counts no words; a null source is a source of its own, last in order; a source without words
-has target and rate 0; rows that repeat a doc_id share its draw; an empty table gives no rows; further columns stay.
+has target and rate 0; rows of equal or null doc_id draw by their text and number too; a very long text is one document,
+taken whole; an empty table gives no rows; further columns stay.
 """
 
 from __future__ import annotations

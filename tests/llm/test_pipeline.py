@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as p
 from cohortframe.llm import decontaminate, mixing, quality
-from cohortframe.llm.common import WORD
+from cohortframe.llm.common import WORD, written
 from test_neardup import brute
 from test_token_output import expected
 
@@ -58,7 +58,8 @@ def test_edges(spark, folder, edge, empty):
         for name, stage in p.STAGES[:-1]:
             docs = stage(spark, docs, folder)
             assert docs.columns == edge.columns, name
-        docs.count()
+        docs = written(docs, "mixed")
+        assert p.token_stage(spark, docs, folder).count() == docs.count()
 
 
 def test_names():
