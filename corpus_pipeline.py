@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows the stage before it kept; ``run`` writes each stage's rows as
 Parquet in the shared folder and reads them for the next. All stages but the last return the columns of ``documents``.
+
+Edge cases: null, empty and very long texts are scored by their statistics like any other and go on where accepted; they
+are never cut. Rows with a null doc_id are not linked and stay, once per text; rows that repeat a doc_id and its text
+count once; a null source is mixed as a source of its own; equal rows draw by their number too. Further columns stay up to the last
+stage, whatever their names. An empty table gives no rows at any stage.
 """
 
 from __future__ import annotations
