@@ -32,11 +32,14 @@ MAGIC = b"CFID"
 HEADER = "<4sBxxxIQQ"  # magic, bits, block, documents, ids
 BLOCK = 4096
 SEGMENT_IDS = 1 << 18
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
+JOINED = 1000  # chunks encoded as one text
 # White space of the vocabulary's own splitting rule (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 CHUNK = re.compile(f" ?[{LETTERS}]+(?=[ \n.,;:!?]|$)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+PLAIN = re.compile(f" ?[^{SPACE}]+")
+LETTERED = re.compile(f" ?[{LETTERS}]+")
 NEWLINE = "\n"
 
 
@@ -112,28 +115,51 @@ def added_tokens(tokenizer) -> tuple[list[str], bool, re.Pattern]:
     return contents, whole, re.compile("(" + "|".join(map(re.escape, contents)) + ")")
 
 
+def word_model(tokenizer):
+    """For a byte-level vocabulary that splits by its own rule: the library's model, which encodes single words, and the
+    byte-level form of each character of ``LETTERED`` chunks, which that rule never splits. Else null."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    rule = tokenizer.pre_tokenizer
+    if tokenizer.normalizer is not None or not isinstance(rule, ByteLevel) or rule.add_prefix_space or not rule.use_regex:
+        return None
+    form = ByteLevel(add_prefix_space=False, use_regex=False)
+    letters = [x for x in map(chr, range(256)) if x == " " or LETTERED.fullmatch(x)]
+    return tokenizer.model, {ord(x): form.pre_tokenize_str(x)[0][0] for x in letters}
+
+
 def encoder(vocabulary: str):
     """A function from texts to the little-endian 32-bit ids of each, by the tokenizers library.
 
     The vocabulary never joins text over a space that lies between two other characters, nor a letter with a mark behind
     it, so a text may be encoded in such chunks; a chunk met before is not encoded again. Added tokens of the vocabulary
-    are cut out before, as the library does; a text with one that also takes up its surroundings is encoded whole. What was met is kept by the worker process, up to
-    ``MEMO_WORDS`` chunks, then it starts anew; this changes speed only.
+    are cut out before, as the library does; a text with one that also takes up its surroundings is encoded whole. What was
+    met is kept by the worker process: of up to ``MEMO_WORDS`` chunks, and of as many before them, which are dropped unless
+    met again; this changes speed only.
     """
     from tokenizers import Tokenizer
 
     state = process_state("encoder")
     if state.get("vocabulary") != hash(vocabulary):
         tokenizer = Tokenizer.from_str(vocabulary)
-        state.update(vocabulary=hash(vocabulary), tokenizer=tokenizer, memo={}, added=added_tokens(tokenizer))
+        state.update(vocabulary=hash(vocabulary), tokenizer=tokenizer, memo={}, old={}, added=added_tokens(tokenizer))
         state["newline"] = tokenizer.encode(NEWLINE, add_special_tokens=False).ids
+        state["words"] = word_model(tokenizer)
     tokenizer, newline, (added, whole, marks) = state["tokenizer"], state["newline"], state["added"]
 
-    def learn(memo: dict[str, bytes], new: list[str]) -> None:
-        """Chunks that begin with a space are encoded as one text with line ends between them."""
-        plain = [x for x in new if x[0] == " " and len(x) > 1 and not x[1].isspace()] if len(newline) == 1 else []
-        for at in range(0, len(plain), 5000):
-            part = plain[at : at + 5000]
+    def learn(memo: dict[str, bytes], new: set[str]) -> None:
+        """Chunks of letters go to the model as words; others without white space but a leading space are encoded as one
+        text with line ends between them."""
+        if state["words"]:
+            model, form = state["words"]
+            words = [x for x in new if LETTERED.fullmatch(x) and x not in added]
+            for word, bytewise in zip(words, NEWLINE.join(words).translate(form).split(NEWLINE)):
+                ids = [x.id for x in model.tokenize(bytewise)]
+                memo[word] = struct.pack(f"<{len(ids)}I", *ids)
+            new.difference_update(words)
+        plain = [x for x in new if PLAIN.fullmatch(x) and x not in added] if len(newline) == 1 else []
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
             text = NEWLINE.join(part) + NEWLINE
             ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == newline[0])
@@ -142,7 +168,8 @@ def encoder(vocabulary: str):
             data = ids.tobytes()
             for word, start, end in zip(part, [0, *(4 * (ends[:-1] + 1)).tolist()], (4 * ends).tolist()):
                 memo[word] = data[start:end]
-        rest = [x for x in new if x not in memo]
+        new.difference_update(plain)
+        rest = list(new)
         for word, found in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             memo[word] = np.array(found.ids, "<u4").tobytes()
 
@@ -155,12 +182,15 @@ def encoder(vocabulary: str):
 
     def encode(texts: list[str]) -> list[bytes]:
         chunks = [chunked(x) for x in texts]
-        memo = state["memo"]
-        if len(memo) > MEMO_WORDS:
-            memo = state["memo"] = {}
-        new = {x for found in chunks for x in found if x not in memo}
+        if len(state["memo"]) > MEMO_WORDS:
+            state.update(memo={}, old=state["memo"])
+        memo, old = state["memo"], state["old"]
+        new = set().union(*chunks).difference(memo)
+        again = [x for x in new if x in old]
+        memo.update(zip(again, map(old.__getitem__, again)))
+        new.difference_update(again)
         if new:
-            learn(memo, sorted(new))
+            learn(memo, new)
         return [b"".join(map(memo.__getitem__, found)) for found in chunks]
 
     return encode

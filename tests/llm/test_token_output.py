@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -60,3 +61,42 @@ def test_edges(edge, empty):
     assert got[1].n_tokens == got[2].n_tokens == 1
     assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got[:-1]]).tolist()
     assert t.read_ids(t.write_ids(empty, t.default_tokenizer())).count() == 0
+
+
+def vocabulary(**changes):
+    return json.dumps(json.loads(open(t.default_tokenizer(), encoding="utf-8").read()) | changes)
+
+
+def test_letters_go_to_the_model_and_chunks_met_again_outlive_a_full_memo(monkeypatch):
+    letters = "".join(x for x in map(chr, range(256)) if t.LETTERED.fullmatch(x) and x != " ")
+    texts = [" ".join(a + b for b in letters) for a in letters] + ["oft Mot", "fünf oft", "Größe où", "oft"]
+    monkeypatch.setattr(t, "MEMO_WORDS", 2)
+    encode = t.encoder(vocabulary())
+    state = t.process_state("encoder")
+    state.update(memo={}, old={})
+    for text in texts:
+        assert zlib.crc32(encode([text])[0] + b"\0\0\0\0") == expected([(0, text)])[0][3], text
+    assert set(state["memo"]) == {"Größe", " où", "oft"} and set(state["old"]) == {"oft", " Mot", "fünf", " oft"}
+    state.update(memo={}, old={"Mot": b"kept"})
+    assert encode(["Mot"]) == [b"kept"] and state["memo"] == {"Mot": b"kept"}
+    state.clear()
+
+
+def test_only_a_plain_byte_level_rule_gives_a_word_model():
+    from tokenizers import Tokenizer
+
+    rule = json.loads(vocabulary())["pre_tokenizer"]
+    assert t.word_model(Tokenizer.from_str(vocabulary()))
+    for changes in ({"pre_tokenizer": rule | {"add_prefix_space": True}}, {"pre_tokenizer": rule | {"use_regex": False}},
+                    {"pre_tokenizer": None}, {"normalizer": {"type": "Lowercase"}}):
+        assert t.word_model(Tokenizer.from_str(vocabulary(**changes))) is None
+
+
+def test_texts_with_a_mark_that_takes_up_its_surroundings():
+    from tokenizers import Tokenizer
+
+    mark = json.loads(vocabulary())["added_tokens"][0] | {"lstrip": True}
+    texts = [" two\nlines  <|endoftext|> end", " one <|endoftext|>", " two\nlines"]
+    tokenizer = Tokenizer.from_str(vocabulary(added_tokens=[mark]))
+    want = [np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert t.encoder(vocabulary(added_tokens=[mark]))(texts) == want
