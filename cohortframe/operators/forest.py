@@ -19,6 +19,7 @@ from cohortframe.functions.draws import hash_uniform_np, poisson_weight_np
 BINS = 32
 LEAST = 5  # rows (bootstrap weight) on each side of a split
 STEPS = 1 << 20  # an outcome's range in whole numbers
+BLOCK = 4096  # rows whose weights are drawn at once
 
 
 def key_code(*parts) -> int:
@@ -38,9 +39,19 @@ def whole(y: np.ndarray, low: float, high: float) -> np.ndarray:
     return np.rint((y - low) / (high - low) * STEPS).astype(np.int64) if high > low else np.zeros(len(y), np.int64)
 
 
+def tree_weights(ids: np.ndarray, trees: int, code: int, seed: int) -> np.ndarray:
+    """Poisson weights, trees x rows."""
+    out = np.empty((trees, len(ids)), np.int8)
+    numbers = (code * 64 + np.arange(trees, dtype=np.int64)[:, None]) % (2**31)
+    for start in range(0, len(ids), BLOCK):
+        part = slice(start, start + BLOCK)
+        out[:, part] = poisson_weight_np(hash_uniform_np(ids[None, part], numbers, seed))
+    return out
+
+
 def bootstrap(ids: np.ndarray, trees: int, code: int, seed: int) -> np.ndarray:
     """Poisson weights, rows x trees."""
-    return np.stack([poisson_weight_np(hash_uniform_np(ids, np.full(len(ids), (code * 64 + t) % (2**31)), seed)) for t in range(trees)], 1).astype(np.int64)
+    return tree_weights(ids, trees, code, seed).T.astype(np.int64)
 
 
 class Forest:
@@ -101,16 +112,79 @@ def best_splits(sums: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.where(good, best // (BINS - 1), -1), best % (BINS - 1)
 
 
-def grow(bins: np.ndarray, y: np.ndarray, ids: np.ndarray, trees: int, depth: int, code: int, seed: int) -> Forest:
-    """A forest of rows that are all here; the passes over spread rows use the same functions."""
+def combinations(columns: list[np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' distinct combinations of bins: the number of each row's, and the bins of each (combinations x columns).
+
+    A tree tells rows apart by their bins only, so what it sums up and splits are combinations, however many rows share one.
+    """
+    code, size = np.zeros(rows, np.int64), 1
+    for column in columns:
+        radix = int(column.max(initial=0)) + 1
+        if size * radix >= 1 << 62:
+            found, code = np.unique(code, return_inverse=True)
+            size = len(found)
+        code, size = code * radix + column, size * radix
+    if size <= 4 * rows + BLOCK:
+        there = np.zeros(size, bool)
+        there[code] = True
+        count = int(there.sum())
+        code = (np.cumsum(there) - 1)[code]
+    else:
+        found, code = np.unique(code, return_inverse=True)
+        count = len(found)
+    sample = np.zeros(count, np.int64)
+    sample[code] = np.arange(rows)
+    return code, np.stack([c[sample] for c in columns], 1).astype(np.int64) if columns else np.zeros((count, 0), np.int64)
+
+
+def grow_on(place: np.ndarray, table: np.ndarray, y: np.ndarray, ids: np.ndarray, trees: int, depth: int, code: int, seed: int) -> tuple[Forest, np.ndarray]:
+    """A forest of rows at ``place`` among the combinations of ``table``, and every combination's node (trees x combinations).
+
+    The sums of a tree are taken once by combination; its levels then go over combinations, not over rows.
+    """
     forest = Forest(trees, depth)
-    weights = bootstrap(ids, trees, code, seed)
-    for level in range(depth if bins.shape[1] else 0):
-        cells, sums = histograms(bins, y, weights, forest.nodes(bins), level)
+    count, p = table.shape
+    weights, outcome = tree_weights(ids, trees, code, seed), y.astype(float)
+    sums = np.empty((2, trees, count))
+    for t in range(trees):
+        w = weights[t].astype(float)
+        sums[0, t], sums[1, t] = np.bincount(place, w, count), np.bincount(place, w * outcome, count)
+    node = np.ones((trees, count), np.int64)
+    full = 2 ** (depth + 1)
+    base, column = np.arange(trees)[:, None] * full, np.arange(count)[None, :] * p
+    flat = table.ravel()
+    used = sums[0] > 0
+    for level in range(depth if p else 0):
+        number = base + node
+        live = used & (node >= 1 << level)
+        cells, at = np.unique(number[live], return_inverse=True) if trees * full > 1 << 20 else _numbered(number[live], trees * full)
         if not len(cells):
             break
-        forest.feature[cells >> 30, cells & (1 << 30) - 1], forest.bin[cells >> 30, cells & (1 << 30) - 1] = best_splits(sums, allowed(bins.shape[1], code, cells))
-    return forest
+        w, wy, bins = sums[0][live], sums[1][live], np.broadcast_to(np.arange(count), node.shape)[live]
+        out = np.empty((len(cells), 2, p, BINS), np.int64)
+        for k in range(p):
+            key = at * BINS + table[bins, k]
+            out[:, 0, k] = np.bincount(key, w, len(cells) * BINS).reshape(-1, BINS)
+            out[:, 1, k] = np.bincount(key, wy, len(cells) * BINS).reshape(-1, BINS)
+        tree, which = cells // full, cells % full
+        forest.feature[tree, which], forest.bin[tree, which] = best_splits(out, allowed(p, code, tree << 30 | which))
+        feature = forest.feature.ravel()[number]
+        right = flat[column + np.maximum(feature, 0)] > forest.bin.ravel()[number]
+        node = np.where(feature >= 0, 2 * node + right, node)
+    return forest, node
+
+
+def _numbered(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with inverse for whole numbers below ``size``."""
+    there = np.zeros(size, bool)
+    there[values] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[values]
+
+
+def grow(bins: np.ndarray, y: np.ndarray, ids: np.ndarray, trees: int, depth: int, code: int, seed: int) -> Forest:
+    """A forest of rows that are all here; the passes over spread rows take the same sums and choices."""
+    place, table = combinations(list(bins.T), len(bins))
+    return grow_on(place, table, y, ids, trees, depth, code, seed)[0]
 
 
 def donor_order(ids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,17 +199,24 @@ def draw_donors(known: np.ndarray, known_ids: np.ndarray, asking: np.ndarray, u:
     ``u`` picks a number below the size of the pool; the pool is in the order of trees, then of ``donor_order``.
     """
     _, order = donor_order(known_ids, seed)
-    trees = known.shape[1]
-    sorted_leaves, starts, sizes = [], np.zeros(asking.shape, np.int64), np.zeros(asking.shape, np.int64)
+    return order[draw_ordered(known[order].T, asking.T, u)]
+
+
+def draw_ordered(known: np.ndarray, asking: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """``draw_donors`` for donors that are in ``donor_order`` already; nodes are trees x rows."""
+    trees, top = len(known), int(max(known.max(initial=0), asking.max(initial=0))) + 1
+    small = np.uint8 if top <= 1 << 8 else np.uint16 if top <= 1 << 16 else np.int64
+    sizes = np.stack([np.bincount(leaf, minlength=top) for leaf in known])
+    ends = np.cumsum(np.take_along_axis(sizes, asking, 1), axis=0)
+    pick = np.floor(u * ends[-1]).astype(np.int64)
+    tree = (ends <= pick).sum(0)
+    column = np.arange(asking.shape[1])
+    leaf = asking[tree, column]
+    starts = np.cumsum(sizes, axis=1) - sizes
+    place = starts[tree, leaf] + pick - (ends[tree, column] - sizes[tree, leaf])
+    out = np.empty(len(pick), np.int64)
     for t in range(trees):
-        leaf = known[order, t]
-        by_leaf = np.argsort(leaf, kind="stable")
-        sorted_leaves.append(order[by_leaf])
-        starts[:, t] = np.searchsorted(leaf[by_leaf], asking[:, t], side="left")
-        sizes[:, t] = np.searchsorted(leaf[by_leaf], asking[:, t], side="right") - starts[:, t]
-    ends = np.cumsum(sizes, axis=1)
-    pick = np.floor(u * ends[:, -1]).astype(np.int64)
-    tree = (ends <= pick[:, None]).sum(1)
-    row = np.arange(len(asking))
-    place = starts[row, tree] + pick - (ends[row, tree] - sizes[row, tree])
-    return np.array(sorted_leaves)[tree, place]
+        mine = np.flatnonzero(tree == t)
+        if len(mine):
+            out[mine] = np.argsort(known[t].astype(small), kind="stable")[place[mine]]
+    return out

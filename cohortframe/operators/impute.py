@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +42,9 @@ def imputed_long(observed: DataFrame, cells: DataFrame, ident: list[str], column
 
 # ---- chained imputation ------------------------------------------------------------------------------------------
 
-UNIT_ROWS = 200_000  # a group up to this size is one task's work per chain; larger ones are imputed by passes over all rows
+UNIT_ROWS = 1_500_000  # a group up to this size is one task's work per chain; larger ones are imputed by passes over all rows
+TASK_CELLS = 600_000  # rows x chains that a task returns at once
+TASK_CHAINS = 8  # chains of a group that share a task
 BUCKETS = 16  # parts of a leaf's donors, by hash
 
 
@@ -67,7 +71,7 @@ def chained_imputation(
     (a whole number) never predicts. Chains start at the group's median or most common code; a variable that a group never
     observes stays missing there.
 
-    Small groups go through all sweeps in one job, a task for each chain and group. Otherwise a pass over the persons grows
+    Small groups go through all sweeps in one job, a task for some chains of a group. Otherwise a pass over the persons grows
     one level of all trees of all chains and groups, persons keep one row with the drawn values of their missing cells, and
     donors arrive by an equi-join on (leaf, bucket, number). Both give the same values, on any partitioning.
     """
@@ -77,7 +81,7 @@ def chained_imputation(
     plan.missing = [c for c, n in start.agg(*[F.sum(f"__miss_{c}").alias(c) for c in plan.variables]).first().asDict().items() if n]
     plan.groups = _group_scales(start, plan)
     largest = start.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    done = _by_units(start, plan) if largest <= unit_rows else _by_passes(start, plan)
+    done = _by_units(start, plan, largest) if largest <= unit_rows else _by_passes(start, plan)
     return done.select("imp", ident, *by, *plan.helpers, *[F.col(c).cast(types[c]).alias(c) for c in plan.variables])
 
 
@@ -179,55 +183,96 @@ def _group_scales(start: DataFrame, plan: _Plan) -> dict[tuple, dict]:
     return out
 
 
-def _by_units(start: DataFrame, plan: _Plan) -> DataFrame:
-    """All sweeps of a chain in a group as one task's work."""
-    schema = T.StructType([
-        T.StructField("imp", T.IntegerType()), start.schema[plan.ident], *[start.schema[b] for b in plan.by],
-        *[T.StructField(c, T.DoubleType()) for c in (*plan.helpers, *plan.variables)],
-    ])
-    names = [*plan.helpers, *plan.variables]
-
-    def chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        *group, imp = key
-        group = plain_key(tuple(group))
-        rows = rows.sort_values(plan.ident, kind="stable")
-        ids = rows[plan.ident].to_numpy(np.int64)
-        values = {c: rows[c].to_numpy(float).copy() for c in names}
+class _Unit:
+    """The rows of a group in the order of its donors, and what its chains share: an observed value never changes."""
+
+    def __init__(self, plan: _Plan, group: tuple, rows: pa.Table):
+        ids = pc.fill_null(rows[plan.ident].cast(pa.int64()), np.iinfo(np.int64).min).to_numpy()
+        _, order = forest.donor_order(ids, plan.seed)
+        self.plan, self.group, self.ids, self.rows = plan, group, ids[order], rows.take(pa.array(order))
+        self.values = {c: self.rows[c].to_numpy().astype(float) for c in (*plan.helpers, *plan.variables)}
+        flags = {c: self.rows[f"__miss_{c}"].to_numpy() == 1 for c in plan.missing}
+        self.asking = {c: np.flatnonzero(miss) for c, miss in flags.items()}
+        self.known = {c: np.flatnonzero(~miss) for c, miss in flags.items()}
+        self.bins = {c: self.binned(c, v) for c, v in self.values.items()}
+        self.outcome, self.use, self.codes = {}, {}, {}
+        for c, known in self.known.items():
+            if c in plan.categorical:
+                codes = plan.known_codes(c, self.values[c][known])
+                self.use[c], self.codes[c] = known[codes >= 0], codes[codes >= 0]
+            else:
+                self.outcome[c] = plan.outcome(group, c, self.values[c][known])
+
+    def binned(self, c: str, values: np.ndarray) -> np.ndarray:
+        return forest.binned(values[:, None], [self.plan.groups[self.group][c][0]])[:, 0].astype(np.int8)
+
+    def chain(self, imp: int) -> dict[str, np.ndarray]:
+        """The values of the missing cells after all sweeps of a chain."""
+        plan, group = self.plan, self.group
+        values, bins = dict(self.values), dict(self.bins)
+        for target in plan.missing:
+            values[target], bins[target] = values[target].copy(), bins[target].copy()
         for sweep in range(1, plan.sweeps + 1):
             for target in plan.missing:
-                miss = rows[f"__miss_{target}"].to_numpy() == 1
-                known = ~miss
-                if not miss.any() or not known.any():
+                miss, known = self.asking[target], self.known[target]
+                if not len(miss) or not len(known):
                     continue
                 round_ = plan.round(sweep, target)
-                u = plan.pick(ids[miss], imp, round_)
+                u = plan.pick(self.ids[miss], imp, round_)
                 if target in plan.categorical:
-                    x, place = plan.design(group, target, values), plan.known_codes(target, values[target])
-                    use = known & (place >= 0)
+                    x, use = plan.design(group, target, values), self.use[target]
                     kernel = softmax_sums(len(plan.categorical[target]), x.shape[1])
-                    table = np.column_stack([np.ones(use.sum()), place[use], x[use]])
+                    table = np.column_stack([np.ones(len(use)), self.codes[target], x[use]])
                     size = (len(plan.categorical[target]) - 1) * x.shape[1]
                     sums = lambda live, k=kernel, t=table: {key: k(t, theta) for key, theta in live.items()}
                     fit = newton(None, [], [], None, {0: np.zeros(size)}, lambda theta, _: theta, size, 40, ridge=1.0, sums_of=sums).get(0)
                     if fit is not None and "cov" in fit:
                         values[target][miss] = plan.codes(target, plan.theta(fit, group, imp, round_), x[miss], u)
+                        bins[target][miss] = self.binned(target, values[target][miss])
                     continue
-                bins = plan.bins(group, target, values)
-                y = plan.outcome(group, target, values[target])
-                grown = forest.grow(bins[known], y[known], ids[known], plan.trees, plan.depth, plan.code(group, imp, round_), plan.seed)
-                node = grown.nodes(bins)
-                donors = forest.draw_donors(node[known], ids[known], node[miss], u, plan.seed)
-                values[target][miss] = values[target][known][donors]
-        out = rows[[plan.ident, *plan.by]].copy()
-        out["imp"] = imp
-        for c in names:
-            out[c] = values[c]
-        return out[schema.names]
-
-    chains = start.withColumn("imp", F.explode(F.sequence(F.lit(1), F.lit(plan.m))))
-    # a chain is a long computation on few rows: spread by chains, not by bytes
-    units = min(len(plan.groups) * plan.m, 100_000)
-    return stage(chains.repartition(units, *plan.by, "imp").groupBy(*plan.by, "imp").applyInPandas(chain, schema))
+                place, table = forest.combinations([bins[c] for c in plan.predictors(target)], len(self.ids))
+                mine = place[known]
+                code = plan.code(group, imp, round_)
+                node = forest.grow_on(mine, table, self.outcome[target], self.ids[known], plan.trees, plan.depth, code, plan.seed)[1]
+                donors = known[forest.draw_ordered(node[:, mine], node[:, place[miss]], u)]
+                values[target][miss], bins[target][miss] = values[target][donors], bins[target][donors]
+        return {c: values[c][self.asking[c]] for c in plan.missing}
+
+
+def _by_units(start: DataFrame, plan: _Plan, largest: int) -> DataFrame:
+    """All sweeps of some chains of a group as one task's work. A row comes back once for them, with an array of a value per
+    chain for every missing cell."""
+    kept = [plan.ident, *plan.by, *plan.helpers, *plan.variables, *[f"__miss_{c}" for c in plan.variables]]
+    each = min(plan.m, TASK_CHAINS, max(1, TASK_CELLS // max(1, largest)))
+    arrays = [f"__f_{c}" for c in plan.missing]
+    schema = T.StructType([
+        *[start.schema[c] for c in kept], T.StructField("__first", T.IntegerType()), *[T.StructField(a, T.ArrayType(T.DoubleType())) for a in arrays],
+    ])
+
+    def chains(key: tuple, rows: pa.Table) -> pa.Table:
+        *group, first = [k.as_py() for k in key]
+        unit = _Unit(plan, plain_key(tuple(group)), rows)
+        numbers = range(first, min(first + each, plan.m + 1))
+        done = [unit.chain(imp) for imp in numbers]
+        out = [unit.rows[c] for c in kept] + [pa.array(np.full(len(unit.ids), first, np.int32))]
+        for c in plan.missing:
+            flat = pa.array(np.column_stack([d[c] for d in done]).ravel(), from_pandas=True)
+            missing = np.ones(len(unit.ids), bool)
+            missing[unit.asking[c]] = False
+            ends = np.concatenate([[0], np.cumsum(~missing) * len(numbers)]).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(missing)))
+        return pa.table(out, names=schema.names)
+
+    parts = start.select(*kept).withColumn("__first", F.explode(F.sequence(F.lit(1), F.lit(plan.m), F.lit(each))))
+    # chains are a long computation on few rows: spread by chains, not by bytes, over partitions enough that few share one
+    units = len(plan.groups) * -(-plan.m // each)
+    spread = parts.repartition(min(max(units, min(16 * units, 64)), 100_000), *plan.by, "__first")
+    persons = stage(spread.groupBy(*plan.by, "__first").applyInArrow(chains, schema))
+    last = F.least(F.col("__first") + (each - 1), F.lit(plan.m))
+    rows = persons.withColumn("imp", F.explode(F.sequence("__first", last)))
+    drawn = {c: F.when(F.col(f"__miss_{c}") == 1, F.get(f"__f_{c}", F.col("imp") - F.col("__first"))).otherwise(F.col(c)) for c in plan.missing}
+    whole = {c: F.when(~F.isnan(v), v) for c in (*plan.helpers, *plan.variables) for v in [drawn.get(c, F.col(c)).cast("double")]}
+    return rows.withColumns(whole)
 
 
 def _by_passes(start: DataFrame, plan: _Plan) -> DataFrame:

@@ -138,3 +138,29 @@ def test_nothing_observed_and_nothing_missing(spark):
     for unit_rows in (0, 1000):
         done = {r.id: r for r in impute.chained_imputation(df, "id", ["g"], ["y", "x", "z"], {}, m=1, sweeps=1, unit_rows=unit_rows).collect()}
         assert len(done) == 30 and done[1].y is None and done[2].y == 2.0 and done[3].z is None and done[3].x == 3.0
+
+
+def test_rows_are_summed_once_a_tree(monkeypatch):
+    """Levels go over the combinations of bins that occur, not over rows."""
+    rng = np.random.default_rng(4)
+    bins = np.stack([rng.integers(0, 4, 20_000), rng.integers(0, 3, 20_000)], 1)
+    y, seen, plain = rng.integers(0, 1000, 20_000), [], np.bincount
+    monkeypatch.setattr(forest.np, "bincount", lambda x, *rest: seen.append(len(x)) or plain(x, *rest))
+    forest.grow(bins, y, np.arange(20_000), trees=3, depth=5, code=3, seed=1)
+    assert sum(seen) < 2.1 * 3 * 20_000
+
+
+@pytest.mark.parametrize("width", [0, 1, 3, 20])
+def test_combinations_tell_rows_apart(width):
+    columns = list(np.random.default_rng(1).integers(0, 32 if width > 3 else 3, (width, 500)).astype(np.int8))
+    place, table = forest.combinations(columns, 500)
+    assert (table[place] == np.array(columns).reshape(width, 500).T).all() and len(table) == len(np.unique(table, axis=0)) == place.max() + 1
+
+
+def test_ids_that_repeat_or_are_missing(spark):
+    """Rows of one id are rows of their own; all chains of a task come back, also where they do not fill the last task."""
+    rows = [(None if i == 7 else i // 2, "ab"[i % 2], None if i % 3 == 0 else float(i), float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, y double, x double")
+    done = impute.chained_imputation(df, "id", ["g"], ["y"], {}, m=impute.TASK_CHAINS + 2, sweeps=1, helpers=["x"]).collect()
+    assert sorted({r.imp for r in done}) == list(range(1, impute.TASK_CHAINS + 3)) and len(done) == 60 * (impute.TASK_CHAINS + 2)
+    assert all(r.y is not None for r in done) and sum(r.id is None for r in done) == impute.TASK_CHAINS + 2
