@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +17,10 @@ from pyspark.sql import types as T
 from cohortframe.functions.draws import hash_uniform, hash_uniform_np, poisson_weight, poisson_weight_np
 from cohortframe.operators.clean_rows import complete_rows
 from cohortframe.operators.moments import full_matrix, invert, pairs
-from cohortframe.operators.ranks import group_quantiles
+from cohortframe.operators.ranks import MAX_GROUP_ROWS, group_quantiles
+from cohortframe.session import stage
 
+TASK_REPLICATES = 20  # replicates of a group that share a task
 
 def bootstrap_moments(
     df: DataFrame, key: str, columns: list[Column], by: list[str], replicates: int, seed: int = 1,
@@ -95,13 +98,76 @@ def percentile_interval(replicates: DataFrame, value: str, by: list[str]) -> Dat
     return q.select(*by, *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("median", "lci", "uci"))])
 
 
+def weighted_spearman(x: np.ndarray, y: np.ndarray):
+    """A function of whole-number row weights: the correlation of weighted average ranks (None where a variable does not
+    vary), or no number at all without weight. Values are ordered once for all replicates."""
+    places = [np.unique(v, return_inverse=True)[1] for v in (x, y)]
+    counts = [int(p.max(initial=-1)) + 1 for p in places]
+
+    def rho(w: np.ndarray) -> tuple[bool, float | None]:
+        n = w.sum()
+        if not n > 0:
+            return False, None
+        ranks, sums, squares = [], [], []
+        for place, count in zip(places, counts):
+            mass = np.bincount(place, w, count)
+            rank = np.cumsum(mass) - mass + (mass + 1) / 2
+            sums.append(mass @ rank)
+            squares.append(mass @ (rank * rank))
+            ranks.append(rank[place])
+        (sx, sy), (sxx, syy) = sums, squares
+        spread = (sxx - sx * sx / n) * (syy - sy * sy / n)
+        return True, float((w @ (ranks[0] * ranks[1]) - sx * sy / n) / np.sqrt(spread)) if spread > 1e-9 else None
+
+    return rho
+
+
 def bootstrap_spearman(
-    df: DataFrame, key: str, pairs_of: list[tuple[str, str]], by: list[str], replicates: int, seed: int = 1
+    df: DataFrame, key: str, pairs_of: list[tuple[str, str]], by: list[str], replicates: int, seed: int = 1, unit_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Spearman correlation of every pair in every replicate, from weighted average ranks.
 
-    Rows carry their replicate weights instead of being copied; each replicate is ranked within its own group key.
+    A group of up to ``unit_rows`` rows goes to tasks of some replicates each, which order its values once. In larger ones rows
+    carry their replicate weights, and each replicate is ranked within its own group key.
     """
+    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    run = _spearman_by_units if largest <= unit_rows else _spearman_by_rows
+    return stage(run(df, key, pairs_of, by, replicates, seed))
+
+
+def _spearman_by_units(df: DataFrame, key: str, pairs_of: list[tuple[str, str]], by: list[str], replicates: int, seed: int) -> DataFrame:
+    columns = list(dict.fromkeys(c for pair in pairs_of for c in pair))
+    names = {c: f"__v{i}" for i, c in enumerate(columns)}
+    rows = df.select(*by, F.col(key).cast("long").alias("__key"), *[F.col(c).cast("double").alias(n) for c, n in names.items()])
+    rows = rows.dropna(subset=["__key"]).withColumn("__first", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(TASK_REPLICATES))))
+    schema = T.StructType([
+        *[rows.schema[b] for b in by], T.StructField("x", T.StringType()), T.StructField("y", T.StringType()),
+        T.StructField("replicate", T.IntegerType()), T.StructField("rho", T.DoubleType()),
+    ])
+
+    def correlate(group: tuple, part: pa.Table) -> pa.Table:
+        first = group[-1].as_py()
+        keys = part["__key"].to_numpy()
+        values = {c: part[n].to_numpy() for c, n in names.items()}
+        known = {pair: np.flatnonzero(~np.isnan(values[pair[0]]) & ~np.isnan(values[pair[1]])) for pair in pairs_of}
+        each = [(*pair, at, weighted_spearman(values[pair[0]][at], values[pair[1]][at])) for pair, at in known.items()]
+        found = []
+        for replicate in range(first, min(first + TASK_REPLICATES, replicates + 1)):
+            w = poisson_weight_np(hash_uniform_np(keys, np.int64(replicate), seed))
+            for x, y, at, rho in each:
+                some, value = rho(w[at])
+                if some:
+                    found.append((x, y, replicate, value))
+        made = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.float64()))]
+        fixed = [part[b].combine_chunks().take(pa.array(np.zeros(len(found), np.int64))) for b in by]
+        return pa.table([*fixed, *made], names=schema.names)
+
+    # replicates are a long computation on few rows: spread by groups and replicates, not by bytes
+    spread = rows.repartition(64, *by, "__first")
+    return spread.groupBy(*by, "__first").applyInArrow(correlate, schema)
+
+
+def _spearman_by_rows(df: DataFrame, key: str, pairs_of: list[tuple[str, str]], by: list[str], replicates: int, seed: int) -> DataFrame:
     from cohortframe.operators.joins import join_null_safe
     from cohortframe.operators.ranks import weighted_value_ranks
 

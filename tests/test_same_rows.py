@@ -54,3 +54,19 @@ def test_bounded_counts_values(spark):
 
 def test_plain_key():
     assert iterate.plain_key((float("nan"), None, pd.NaT, "a", 1.0)) == (None, None, None, "a", 1)
+
+
+def test_rank_correlations_of_replicates(spark):
+    """Whole groups in a task or rows with their weights: ties, missing values and keys, repeated keys, a missing group, no spread."""
+    from cohortframe.operators import bootstrap
+
+    nan = float("nan")
+    rows = [(i % 40 if i != 5 else None, "abcd"[i % 4] if i % 9 else None, float(i * 7 % 13), [None, nan, -0.0][i % 3] if i < 12 else float(i * 5 % 11), 1.0) for i in range(120)]
+    rows = [(*r[:2], None, *r[3:]) if r[1] == "d" else r for r in rows]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double, z double")
+    n = bootstrap.TASK_REPLICATES + 2
+    plans = [bootstrap.bootstrap_spearman(df, "id", [("x", "y"), ("y", "z")], ["g"], n, unit_rows=limit) for limit in (1000, 0)]
+    units, by_rows = ({(r.g, r.x, r.y, r.replicate): r.rho for r in plan.collect()} for plan in plans)
+    assert set(units) == set(by_rows) and len({k[0] for k in units if k[1] == "x"}) == 4 and len(units) == 9 * n
+    assert all(v is None if by_rows[k] is None else v == pytest.approx(by_rows[k], abs=1e-12) for k, v in units.items())
+    assert any(v is not None for v in units.values()) and all(v is None for k, v in units.items() if k[2] == "z")
