@@ -136,6 +136,85 @@ def mixture_kernel(values: np.ndarray, payload) -> np.ndarray:
     return np.concatenate(out)
 
 
+class Waves:
+    """Persons by their moments of the waves (k, s00 .. s22): persons seen at the same ages share them. With those fixed, all that
+    an EM step needs of a person is linear in 11 products of t and u, so a step is two matrix products a pattern."""
+
+    def __init__(self, values: np.ndarray):
+        place = pd.DataFrame(values[:, :7]).groupby(list(range(7)), sort=False).ngroup().to_numpy()
+        found, first = np.unique(place, return_index=True)
+        self.values, self.patterns, self.tables = values, None, None
+        if len(found) * 16 <= len(values):
+            order = np.argsort(place, kind="stable")
+            ends = np.cumsum(np.bincount(place, minlength=len(found)))
+            k, s, _, _ = unpack(values[first])
+            self.patterns = [(k[g], s[g], values[order[end - size : end], 7:].T) for g, (end, size) in enumerate(zip(ends, np.diff(ends, prepend=0)))]
+            self.values = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None}
+
+    def products(self) -> list[np.ndarray]:
+        """Per pattern 1, t, the products of t, and u (11 x persons)."""
+        if self.tables is None:
+            self.tables = [np.vstack([np.ones(tu.shape[1]), tu[:Q], tu[:Q][PAIRS[0]] * tu[:Q][PAIRS[1]], tu[Q]]) for _, _, tu in self.patterns]
+        return self.tables
+
+    def sums(self, model: ClassModel, theta: np.ndarray) -> np.ndarray:
+        """As ``mixture_kernel``."""
+        if self.patterns is None:
+            return mixture_kernel(self.values, (model, theta))
+        shares, curves, sigma2, d, scales = model.open(theta)
+        inverse = np.linalg.inv(d) if model.random else None
+        out = np.zeros((model.classes, 24))
+        loglik = persons = observations = 0.0
+        for (k, s, _), table in zip(self.patterns, self.products()):
+            weights, pulls = np.zeros((model.classes, len(table))), []
+            for c, g in enumerate(curves):
+                constant = k * np.log(2 * np.pi * sigma2) + g @ s @ g / sigma2
+                linear, square = -2 * g / sigma2, np.zeros((Q, Q))
+                post = pull = None
+                if model.random:
+                    post, logdet = (v[0] for v in _posterior(s[None], d * scales[c], sigma2))
+                    pull = post / sigma2  # the expected effects are pull (t - s g)
+                    square = -pull / sigma2
+                    constant = constant + logdet + g @ s @ square @ s @ g
+                    linear = linear - 2 * square @ s @ g
+                pulls.append((post, pull))
+                weights[c, 0], weights[c, 1:4], weights[c, 10] = np.log(shares[c]) - constant / 2, -linear / 2, -0.5 / sigma2
+                weights[c, 4:10] = -(square[PAIRS] * np.where(PAIRS[0] == PAIRS[1], 1, 2)) / 2
+            total = np.zeros((model.classes, len(table)))
+            for start in range(0, table.shape[1], BLOCK):
+                part = table[:, start : start + BLOCK]
+                p = weights @ part
+                top = p.max(axis=0)
+                np.exp(p - top, out=p)
+                size = p.sum(axis=0)
+                loglik += np.sum(top) + np.sum(np.log(size))
+                total += (p / size) @ part.T
+            persons, observations = persons + table.shape[1], observations + k * table.shape[1]
+            for c, (g, (post, pull)) in enumerate(zip(curves, pulls)):
+                w, t, u = total[c, 0], total[c, 1:4], total[c, 10]
+                tt = np.zeros((Q, Q))
+                tt[PAIRS] = tt[PAIRS[::-1]] = total[c, 4:10]
+                target, resid = t, u - 2 * g @ t + w * (g @ s @ g)
+                cov, size = np.zeros((Q, Q)), 0.0
+                if model.random:
+                    sg = s @ g
+                    zz = tt - np.outer(t, sg) - np.outer(sg, t) + w * np.outer(sg, sg)  # sums of (t - s g)(t - s g)'
+                    effect = pull @ (t - w * sg)
+                    both = pull @ zz @ pull.T
+                    target = t - s @ effect
+                    resid = resid - 2 * np.sum(pull * zz) + np.sum(both * s) + w * np.sum(s * post)
+                    cov, size = (both + w * post) / scales[c], np.sum(inverse * (both + w * post))
+                out[c] += np.concatenate([[w], w * s.ravel(), target, [resid], cov.ravel(), [size]])
+        return np.concatenate([[loglik, observations, persons], out.ravel()])
+
+
+PAIRS = np.triu_indices(Q)
+BLOCK = 2048  # persons whose class probabilities are made at once
+
+
 def em_update(model: ClassModel, theta: np.ndarray, sums: np.ndarray) -> tuple[float, np.ndarray]:
     loglik, observations, persons = sums[:3]
     _, old, _, d, scales = model.open(theta)
@@ -158,7 +237,7 @@ def em_update(model: ClassModel, theta: np.ndarray, sums: np.ndarray) -> tuple[f
     return loglik, model.pack(shares, curves, rss / observations, d, sizes)
 
 
-UNIT_PERSONS = 20_000  # so many persons' moments go to every task, which then fits whole models; more are summed by passes
+UNIT_PERSONS = 600_000  # so many persons' moments go to every task, which then fits whole models; more are summed by passes
 
 
 def fit_classes(
@@ -173,18 +252,18 @@ def fit_classes(
 
         def evaluate(thetas: dict) -> dict:
             tasks = {((), k): (models[k], t) for k, t in thetas.items()}
-            sums = grouped_sums(moments, [], MOMENTS, mixture_kernel, tasks)
+            sums = grouped_sums(moments, [], MOMENTS, lambda waves, task: waves.sums(*task), tasks, Waves)
             return {k: em_update(models[k], t, sums[((), k)]) for k, t in thetas.items()}
 
         return squarem(evaluate, start, cycles, tolerance)
-    values = np.column_stack([few[c].to_numpy().astype(float) for c in MOMENTS])
+    waves = Waves(np.column_stack([few[c].to_numpy().astype(float) for c in MOMENTS]))
     order = list(models)
 
     def fit(batches):
         for batch in batches:
             for place in batch["place"]:
                 k = order[place]
-                steps = lambda thetas, m=models[k]: {0: em_update(m, thetas[0], mixture_kernel(values, (m, thetas[0])))}
+                steps = lambda thetas, m=models[k]: {0: em_update(m, thetas[0], waves.sums(m, thetas[0]))}
                 state = squarem(steps, {0: start[k]}, cycles, tolerance)[0]
                 yield pd.DataFrame({
                     "place": [place], "theta": [state["theta"].tolist()], "loglik": [float(state["loglik"])],

@@ -91,3 +91,26 @@ def test_summary_by_source(spark):
     fits = spark.createDataFrame([(i, "x", 0.5, b, float(10 * i + b)) for i in range(3) for b in range(3)], "imp int, term string, tau double, replicate int, beta double")
     rows = {r.type: r for r in quantreg.summary_by_source(fits, []).collect()}
     assert rows["cc"].beta == 1.5 and rows["mi"].beta == 16.5
+
+
+@pytest.mark.parametrize("random, scaled", [(False, False), (True, False), (True, True)])
+def test_sums_by_pattern_of_waves(random, scaled, monkeypatch):
+    """Persons seen at the same ages share the matrices of a step: as many solves as patterns and classes, the sums of all persons."""
+    rng = np.random.default_rng(5)
+    design = np.column_stack([np.ones(5), np.arange(5) / 4, (np.arange(5) / 4) ** 2])
+    values = []
+    for i in range(400):
+        x = np.delete(design, i % 6, axis=0) if i % 6 < 5 else design
+        y = 20 + 3 * rng.normal() + rng.normal(size=len(x))
+        s = x.T @ x
+        values.append([len(x), *s[np.triu_indices(3)], *(x.T @ y), y @ y])
+    values = np.array(values)
+    model = classes.ClassModel(3, random, scaled)
+    theta = model.pack(np.array([0.2, 0.5, 0.3]), rng.normal(size=(3, 3)) + [20, 0, 0], 2.0, np.diag([4.0, 2.0, 1.0]) + 0.3, np.array([0.5, 2.0, 1.0]))
+    wanted = classes.mixture_kernel(values, (model, theta))
+    seen, solve = [], classes._posterior
+    monkeypatch.setattr(classes, "_posterior", lambda s, *rest: seen.append(len(s)) or solve(s, *rest))
+    assert classes.Waves(values).sums(model, theta) == pytest.approx(wanted, rel=1e-9, abs=1e-8)
+    assert sum(seen) == (18 if random else 0)
+    apart = values + np.arange(400)[:, None] * 1e-6  # ages of their own
+    assert classes.Waves(apart).sums(model, theta) == pytest.approx(classes.mixture_kernel(apart, (model, theta)), rel=1e-12)
