@@ -114,3 +114,38 @@ def test_sums_by_pattern_of_waves(random, scaled, monkeypatch):
     assert sum(seen) == (18 if random else 0)
     apart = values + np.arange(400)[:, None] * 1e-6  # ages of their own
     assert classes.Waves(apart).sums(model, theta) == pytest.approx(classes.mixture_kernel(apart, (model, theta)), rel=1e-12)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_quantiles_from_the_rows_near_the_plane(spark, ties):
+    """The least loss, with tied values, repeated keys, rows without weight, a tie-filled group and a constant column."""
+    rng = np.random.default_rng(8)
+    n = 1200
+    x, z = rng.normal(size=n), rng.integers(0, 2, n).astype(float)
+    y = 20 + x - z + rng.gamma(2, 2, n) * (1 + 0.3 * np.abs(x))
+    if ties:
+        x, y = np.round(x), np.round(y / 4)
+    rows = [(i // 2, "a" if i % 3 else None, float(y[i]), float(x[i]), float(z[i]) if i % 3 else 1.0, float(i % 4) / 2) for i in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    args = dict(y="y", xs=["x", "z"], by=["g"], taus=[0.1, 0.5, 0.9], weight="w", replicates=3, key="id")
+    plain = {(r.g, r.tau, r.replicate): r for r in quantreg.quantile_regression(df, **args).collect()}
+    near = {(r.g, r.tau, r.replicate): r for r in quantreg.quantile_regression(df, **args, screen_rows=0).collect()}
+    assert set(plain) == set(near) and len(near) == 24
+    for k, r in near.items():
+        assert r.converged and plain[k].converged and r.loss == pytest.approx(plain[k].loss, rel=3e-9) and r.gap <= 2e-9 * r.loss + 1e-6
+
+
+def test_replicates_take_few_rows(monkeypatch):
+    """The steps of a replicate go over the rows near its plane."""
+    rng = np.random.default_rng(3)
+    n, taus = 6000, [0.2, 0.6]
+    x = np.column_stack([np.ones(n), rng.normal(size=n)])
+    y = x[:, 1] + rng.normal(size=n)
+    models = np.array([(t, b) for t in taus for b in range(9)], float)
+    seen, plain = [], quantreg.near_sums
+    monkeypatch.setattr(quantreg, "near_sums", lambda x, y, w, *rest: seen.append(w.size) or plain(x, y, w, *rest))
+    path = quantreg._Path(models, np.repeat(np.quantile(y, taus), 9), x[:, 1:].mean(0), x[:, 1:].std(0), y.std(), 1.0, 1e-9)
+    quantreg._by_screens(path, x, y, np.arange(n), np.ones(n), 1)
+    assert path.done.all() and sum(seen) < 25 * len(models) * n
+    w, theta, mu = rng.integers(0, 3, (n, 4)).astype(float), rng.normal(size=(4, 2)), np.array([1.0, 1e-3, 1e-6, 1e-9])
+    assert plain(x, y, w, theta, 0.3, mu) == pytest.approx(quantreg.barrier_sums(x, y, w, theta, 0.3, mu), rel=1e-7, abs=1e-12)
