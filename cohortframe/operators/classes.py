@@ -136,14 +136,22 @@ def mixture_kernel(values: np.ndarray, payload) -> np.ndarray:
     return np.concatenate(out)
 
 
+PAIRS = np.triu_indices(Q)
+BLOCK = 2048  # persons whose class probabilities are made at once
+PATTERN_PERSONS = 2_000
+
+
 class Waves:
     """Persons by their moments of the waves (k, s00 .. s22): persons seen at the same ages share them. With those fixed, all that
-    an EM step needs of a person is linear in 11 products of t and u, so a step is two matrix products a pattern."""
+    an EM step needs of a person is linear in 11 products of t and u, so a step is two matrix products a pattern. Fewer than
+    ``least`` persons are summed one by one, as are persons whose ages are their own."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, least: int = PATTERN_PERSONS):
+        self.values, self.patterns, self.tables = values, None, None
+        if len(values) < least:
+            return
         place = pd.DataFrame(values[:, :7]).groupby(list(range(7)), sort=False).ngroup().to_numpy()
         found, first = np.unique(place, return_index=True)
-        self.values, self.patterns, self.tables = values, None, None
         if len(found) * 16 <= len(values):
             order = np.argsort(place, kind="stable")
             ends = np.cumsum(np.bincount(place, minlength=len(found)))
@@ -211,10 +219,6 @@ class Waves:
         return np.concatenate([[loglik, observations, persons], out.ravel()])
 
 
-PAIRS = np.triu_indices(Q)
-BLOCK = 2048  # persons whose class probabilities are made at once
-
-
 def em_update(model: ClassModel, theta: np.ndarray, sums: np.ndarray) -> tuple[float, np.ndarray]:
     loglik, observations, persons = sums[:3]
     _, old, _, d, scales = model.open(theta)

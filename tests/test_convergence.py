@@ -110,10 +110,10 @@ def test_sums_by_pattern_of_waves(random, scaled, monkeypatch):
     wanted = classes.mixture_kernel(values, (model, theta))
     seen, solve = [], classes._posterior
     monkeypatch.setattr(classes, "_posterior", lambda s, *rest: seen.append(len(s)) or solve(s, *rest))
-    assert classes.Waves(values).sums(model, theta) == pytest.approx(wanted, rel=1e-9, abs=1e-8)
+    assert classes.Waves(values, 0).sums(model, theta) == pytest.approx(wanted, rel=1e-9, abs=1e-8)
     assert sum(seen) == (18 if random else 0)
     apart = values + np.arange(400)[:, None] * 1e-6  # ages of their own
-    assert classes.Waves(apart).sums(model, theta) == pytest.approx(classes.mixture_kernel(apart, (model, theta)), rel=1e-12)
+    assert classes.Waves(apart, 0).sums(model, theta) == pytest.approx(classes.mixture_kernel(apart, (model, theta)), rel=1e-12)
 
 
 @pytest.mark.parametrize("ties", [False, True])
