@@ -19,6 +19,7 @@ from cohortframe.functions.draws import hash_uniform_np, poisson_weight_np
 BINS = 32
 LEAST = 5  # rows (bootstrap weight) on each side of a split
 STEPS = 1 << 20  # an outcome's range in whole numbers
+CELLS = 400_000  # trees x combinations whose levels are grown at once
 BLOCK = 4096  # rows whose weights are drawn at once
 
 
@@ -143,18 +144,29 @@ def grow_on(place: np.ndarray, table: np.ndarray, y: np.ndarray, ids: np.ndarray
     The sums of a tree are taken once by combination; its levels then go over combinations, not over rows.
     """
     forest = Forest(trees, depth)
-    count, p = table.shape
-    weights, outcome = tree_weights(ids, trees, code, seed), y.astype(float)
+    node = np.empty((trees, len(table)), np.int16 if depth < 14 else np.int64)
+    step = max(1, CELLS // max(1, len(table)))
+    outcome = y.astype(float)
+    weights = tree_weights(ids, trees, code, seed)
+    for start in range(0, trees, step):
+        node[start : start + step] = _grow_some(forest, start, weights[start : start + step], place, table, outcome, code)
+    return forest, node
+
+
+def _grow_some(forest: Forest, start: int, weights: np.ndarray, place: np.ndarray, table: np.ndarray, outcome: np.ndarray, code: int) -> np.ndarray:
+    """The trees from number ``start`` on, as many as ``weights`` has rows."""
+    trees, (count, p) = len(weights), table.shape
+    features, cuts = forest.feature[start : start + trees], forest.bin[start : start + trees]
     sums = np.empty((2, trees, count))
     for t in range(trees):
         w = weights[t].astype(float)
         sums[0, t], sums[1, t] = np.bincount(place, w, count), np.bincount(place, w * outcome, count)
     node = np.ones((trees, count), np.int64)
-    full = 2 ** (depth + 1)
+    full = 2 ** (forest.depth + 1)
     base, column = np.arange(trees)[:, None] * full, np.arange(count)[None, :] * p
     flat = table.ravel()
     used = sums[0] > 0
-    for level in range(depth if p else 0):
+    for level in range(forest.depth if p else 0):
         number = base + node
         live = used & (node >= 1 << level)
         cells, at = np.unique(number[live], return_inverse=True) if trees * full > 1 << 20 else _numbered(number[live], trees * full)
@@ -167,11 +179,11 @@ def grow_on(place: np.ndarray, table: np.ndarray, y: np.ndarray, ids: np.ndarray
             out[:, 0, k] = np.bincount(key, w, len(cells) * BINS).reshape(-1, BINS)
             out[:, 1, k] = np.bincount(key, wy, len(cells) * BINS).reshape(-1, BINS)
         tree, which = cells // full, cells % full
-        forest.feature[tree, which], forest.bin[tree, which] = best_splits(out, allowed(p, code, tree << 30 | which))
-        feature = forest.feature.ravel()[number]
-        right = flat[column + np.maximum(feature, 0)] > forest.bin.ravel()[number]
+        features[tree, which], cuts[tree, which] = best_splits(out, allowed(p, code, tree + start << 30 | which))
+        feature = features.ravel()[number]
+        right = flat[column + np.maximum(feature, 0)] > cuts.ravel()[number]
         node = np.where(feature >= 0, 2 * node + right, node)
-    return forest, node
+    return node
 
 
 def _numbered(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

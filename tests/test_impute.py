@@ -164,3 +164,12 @@ def test_ids_that_repeat_or_are_missing(spark):
     done = impute.chained_imputation(df, "id", ["g"], ["y"], {}, m=impute.TASK_CHAINS + 2, sweeps=1, helpers=["x"]).collect()
     assert sorted({r.imp for r in done}) == list(range(1, impute.TASK_CHAINS + 3)) and len(done) == 60 * (impute.TASK_CHAINS + 2)
     assert all(r.y is not None for r in done) and sum(r.id is None for r in done) == impute.TASK_CHAINS + 2
+
+
+def test_trees_grown_in_blocks_are_the_same(monkeypatch):
+    """A large group's trees are grown a few at a time, so what a task holds does not follow their number."""
+    bins, y, ids = sample()
+    whole = forest.grow(bins, y, ids, trees=5, depth=4, code=99, seed=5)
+    monkeypatch.setattr(forest, "CELLS", 250)
+    blocks = forest.grow(bins, y, ids, trees=5, depth=4, code=99, seed=5)
+    assert (whole.feature == blocks.feature).all() and (whole.bin == blocks.bin).all() and (whole.feature >= 0).any()
